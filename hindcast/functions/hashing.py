@@ -25,7 +25,7 @@ def hash_bucket(digest: Column, buckets: int) -> Column:
     """
     remainder = F.lit(0).cast("long")
     step = 16**7
-    for start in range(1, 64, 7):
+    for start in range(1, 65, 7):
         width = min(7, 65 - start)
         chunk = F.conv(F.substring(digest, start, width), 16, 10).cast("long")
         remainder = (remainder * (step if width == 7 else 16**width) + chunk) % buckets

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.hashing import hash_bucket, stable_hash
@@ -40,32 +40,27 @@ def stratified_sample(
     """Sampled keys: each flag in turn is topped up to its minimum (rows already chosen count),
     then the rest is filled uniformly to n.
 
-    The draw is a seeded hash order. A flag's top-up only ever takes the rows first in that
-    order, so every round is decided by at most n candidates per flag and n for the fill. Those
-    candidates are found in parallel by top-n limits; the final rounds then run over a table
-    of at most n * (flags + 1) rows, and no round rescans the pool.
+    The draw is a seeded hash order. A round only ever takes rows that come first in that order
+    among those with some flag, so the first n rows of each flag combination decide everything.
+    They are found in one scan (Spark prunes a ranked window before its shuffle). The rounds are
+    then columns over that table of at most n * 2^flags rows, the only thing one task sorts.
     """
     flags = list(minimums)
     ordered = pool.select(key, *flags).withColumn("_d", draw_order(seed, key))
-    candidates = ordered.orderBy("_d").limit(n)
-    for f in flags:
-        candidates = candidates.unionByName(ordered.filter(F.col(f)).orderBy("_d").limit(n))
-    rows = candidates.distinct()
-    chosen = None
+    within = Window.partitionBy(*flags).orderBy("_d")
+    rows = ordered.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= n).drop("_r")
+    rows = rows.withColumn("_in", F.lit(False))
+    everything = Window.partitionBy(F.lit(0))
+    upto = everything.orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for f in [*flags, None]:
-        free = rows if chosen is None else rows.join(chosen.select(key), key, "left_anti")
-        if chosen is None:
-            have, total = F.lit(0), F.lit(0)
-        else:
-            have = chosen.agg(F.count_if(F.col(f)) if f else F.lit(0)).scalar()
-            total = chosen.agg(F.count(F.lit(1))).scalar()
-        need = F.lit(n) - total if f is None else F.least(F.lit(int(minimums[f])) - have, F.lit(n) - total)
-        part = free.filter(F.col(f)) if f else free
-        # Ranks over the bounded candidate table only (n * (flags + 1) rows at most).
-        ranked = part.withColumn("_rank", F.expr("row_number() OVER (ORDER BY _d)"))
-        took = ranked.filter(F.col("_rank") <= need).drop("_rank")
-        chosen = took if chosen is None else chosen.unionByName(took)
-    return chosen.select(key)
+        wanted = F.col(f) if f else F.lit(True)
+        total = F.count_if("_in").over(everything)
+        room = F.lit(n) - total
+        need = F.least(F.lit(int(minimums[f])) - F.count_if(F.col("_in") & wanted).over(everything), room) if f else room
+        free = ~F.col("_in") & wanted
+        rows = rows.withColumn("_need", need).withColumn("_k", F.count_if(free).over(upto)).withColumn(
+            "_in", F.col("_in") | (free & (F.col("_k") <= F.col("_need"))))
+    return rows.filter("_in").select(key)
 
 
 def poststrat_weights(pool: DataFrame, chosen: DataFrame, key: str, stratum_col: str = "stratum") -> DataFrame:
