@@ -56,7 +56,7 @@ def zero_failure_bound(n: Column, confidence: float = 0.95) -> Column:
     """Largest failure rate still consistent with no failure in n trials."""
     if not 0.0 < confidence < 1.0:
         raise ValueError(f"confidence must be in (0, 1), got {confidence}")
-    bound = 1.0 - F.pow(F.lit(1.0 - confidence), 1.0 / n)
+    bound = 1.0 - F.pow(F.lit(1.0 - confidence), 1.0 / F.nullif(n, F.lit(0)))
     return (
         F.when(n == 0, F.lit(1.0))
         .when(n > 0, bound)

@@ -23,26 +23,16 @@ HOUR = 3_600_000_000
 DIGITS = 9
 
 
-def term_counts(tokens: Column) -> Column:
-    """ARRAY<{term, tf}> of one document, from its sorted tokens.
+def postings(docs: DataFrame, key: str, created: str, tokens: Column) -> DataFrame:
+    """(term, key, tf, doc_len, created): one row per document and distinct term.
 
-    A document's tokens are already together in its row, so counting them needs no shuffle.
+    The length is its own column before the explode, so the token array is not copied into
+    every exploded row; repeats are combined map-side (a document's tokens are in one task).
     """
-    ordered = F.array_sort(tokens)
-    previous = lambda i: F.get(ordered, i - 1)
-    starts = F.filter(
-        F.transform(ordered, lambda t, i: F.when((i == 0) | (t != previous(i)), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered)))
-    return F.zip_with(
-        starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).cast("long").alias("tf")))
-
-
-def postings(docs: DataFrame, key: str, created: str, tokens: Column) -> DataFrame:
-    """(term, key, tf, doc_len, created): one row per document and distinct term."""
-    staged = docs.select(key, F.col(created).alias("created"), tokens.alias("_tokens"))
-    rows = staged.select(
-        key, "created", F.size("_tokens").cast("long").alias("doc_len"), F.explode(term_counts(F.col("_tokens"))).alias("p"))
-    return rows.select("p.term", key, "p.tf", "doc_len", "created")
+    staged = docs.select(key, F.col(created).alias("created"), F.size(tokens).cast("long").alias("doc_len"), tokens.alias("_t"))
+    rows = staged.select(key, "created", "doc_len", F.explode("_t").alias("term"))
+    return rows.groupBy("term", key, "doc_len", "created").agg(F.count(F.lit(1)).alias("tf")).select(
+        "term", key, "tf", "doc_len", "created")
 
 
 def document_lengths(docs: DataFrame, key: str, created: str, tokens: Column) -> DataFrame:

@@ -31,7 +31,10 @@ def corpus(spark, sf):
 def index_tables(spark, sf):
     """(postings, lengths), written once: every step below scans them."""
     posts = materialise(lexical.postings(corpus(spark, sf), "number", "created", F.col("tokens")), "postings")
-    lengths = posts.groupBy("number").agg(F.first("created").alias("created"), F.first("doc_len").alias("doc_len"))
+    counted = posts.groupBy("number").agg(F.first("doc_len").alias("doc_len"))
+    # Documents without a single token still count as documents.
+    every = fx.documents(spark, sf).select("number", micros(F.col("created_at")).alias("created"))
+    lengths = every.join(counted, "number", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))
     return posts, lengths
 
 
@@ -105,7 +108,8 @@ def asof_stats(spark, sf):
 
 
 @query("bm25_asof", "issue", "dup", sql=SQL + """
-SELECT q, number, round(score, 6) AS score FROM qs JOIN sc USING (q) WHERE sc.number = qs.original""")
+SELECT qs.q, qs.original AS number, round(coalesce(score, 0), 6) AS score FROM qs
+LEFT JOIN sc ON sc.q = qs.q AND sc.number = qs.original WHERE qs.original IS NOT NULL""")
 def bm25_asof(spark, sf):
     """Exact as-of score of each query against its own original: only those pairs are scored."""
     queries = duplicate_texts(spark, sf)
@@ -195,8 +199,8 @@ def hybrid_search(spark, sf):
     return fusion.hybrid(lex, sem, "q", "number", TOP)
 
 
-@query("embed_backfill", sql="""
-SELECT doc_id AS number, 256 AS dims, length(text) > 0 AS encoded FROM documents
+@query("embed_backfill", sql=f"""
+SELECT doc_id AS number, 256 AS dims, len({tokens('text')}) > 0 AS encoded FROM documents
 WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def embed_backfill(spark, sf):
     d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("number"), "text")
@@ -334,7 +338,7 @@ lab AS (SELECT issue, as_of, string_agg(label, ',' ORDER BY label) AS labels FRO
   JOIN label_event e ON e.issue = r.issue AND epoch_us(e.at_) < r.as_of GROUP BY ALL) WHERE added GROUP BY ALL),
 st2 AS (SELECT r.issue, r.as_of, max_by(e.kind, (e.at_, e.seq)) AS kind FROM rq r
   JOIN state_event e ON e.issue = r.issue AND epoch_us(e.at_) < r.as_of GROUP BY ALL)
-SELECT h.q, h.number, h.rank, round(h.score, 4) AS score, i.title, coalesce(kind, 'open') AS state,
+SELECT h.q, h.number, h.rank, round(h.score, 4) AS score, i.title, CASE WHEN kind = 'closed' THEN 'closed' ELSE 'open' END AS state,
   coalesce(labels, '') AS labels, {SNIPPET_SQL.format('i.body')} AS snippet
 FROM hits h JOIN qs USING (q) JOIN issue i ON i.number = h.number
 LEFT JOIN lab ON lab.issue = h.number AND lab.as_of = qs.as_of

@@ -65,8 +65,9 @@ def compare(spark, con, sf_dir: str, fn, sql: str | None) -> tuple[str, int, flo
     if a[0] != b[0]:
         return f"COLUMNS {a[0]} vs {b[0]}", len(rows), spark_s, duck_s
     if a[1] != b[1]:
-        only_a = [r for r in a[1] if r not in set(b[1])][:2]
-        only_b = [r for r in b[1] if r not in set(a[1])][:2]
+        in_a, in_b = set(a[1]), set(b[1])
+        only_a = [r for r in a[1] if r not in in_b][:2]
+        only_b = [r for r in b[1] if r not in in_a][:2]
         return f"VALUES {len(a[1])} vs {len(b[1])} rows {a[0]}\n   spark {only_a}\n   duck  {only_b}", len(rows), spark_s, duck_s
     return "ok", len(rows), spark_s, duck_s
 
