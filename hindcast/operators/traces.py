@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,14 +106,13 @@ def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: flo
 def trace_digest(events: DataFrame, trace: str, step: str, line: Column, limit: int = DIGEST_CHARS) -> DataFrame:
     """(trace, events, digest): an ordered short rendering of each trace, cut at `limit` characters.
 
-    Only as many leading events as could fit are gathered (each is at least `min_line` long with
-    its newline), ranked in a window Spark prunes before the shuffle, so a huge trace gathers a
-    bounded list. The true length decides the truncation mark.
+    Only as many leading events as could fit are gathered, ranked in a window Spark prunes
+    before the shuffle, so a huge trace gathers a bounded list. The true length decides the truncation mark.
     """
     rendered = events.select(trace, step, line.alias("_l"))
     totals = rendered.groupBy(trace).agg(
         F.count(F.lit(1)).alias("events"), (F.sum(F.length("_l")) + F.count(F.lit(1)) - 1).alias("_chars"))
-    most = math.ceil(limit / 2) + 1
+    most = limit + 1  # every line takes at least its newline
     ranked = Window.partitionBy(trace).orderBy(step)
     head = rendered.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= most)
     text = head.groupBy(trace).agg(F.array_sort(F.collect_list(F.struct("_r", "_l"))).alias("_e")).select(
