@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators.ordering import counts_before
+from hindcast.sources.scratch import materialise
 
 # Fixed values of the scoring formula.
 K1 = 1.2
@@ -109,8 +110,9 @@ def pruned_topk(
        full score.
     2. Terms are taken in order of ub until their sum would reach that floor. A document that
        has only such terms cannot make the top k, so common terms generate no candidates.
-    3. Candidates that cannot reach the floor even with all skipped terms are dropped, and only
-       the survivors' skipped terms are looked up.
+    3. Candidates that cannot reach the floor even with all skipped terms are dropped, the floor
+       is raised to their k-th best partial score, and only the survivors' skipped terms are
+       looked up.
     Every step only drops documents proven to be outside the top k.
     """
     def matches(terms: DataFrame) -> DataFrame:
@@ -127,14 +129,20 @@ def pruned_topk(
         .select(q, (F.col("partial") * (1 - 1e-9)).alias("floor"))
     )
     light_first = Window.partitionBy(q).orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
-    marked = weighted.join(floor, q, "left").withColumn(
-        "_skipped", F.coalesce(F.sum("ub").over(light_first) < F.col("floor"), F.lit(False)))
+    # One row per query term, read three times below; the survivors are read twice.
+    marked = materialise(weighted.join(floor, q, "left").withColumn(
+        "_skipped", F.coalesce(F.sum("ub").over(light_first) < F.col("floor"), F.lit(False))), "marked-terms")
     skipped = marked.filter("_skipped").drop("floor", "_skipped")
     bounds = marked.groupBy(q).agg(
         F.coalesce(F.sum(F.when(F.col("_skipped"), F.col("ub"))), F.lit(0.0)).alias("_rest"),
         F.coalesce(F.first("floor"), F.lit(0.0)).alias("_floor"))
-    alive = matches(marked.filter(~F.col("_skipped")).drop("floor", "_skipped")).join(bounds, q).filter(
-        F.col("partial") + F.col("_rest") >= F.col("_floor")).select(q, key, "partial")
+    scored = materialise(matches(marked.filter(~F.col("_skipped")).drop("floor", "_skipped")).join(bounds, q).filter(
+        F.col("partial") + F.col("_rest") >= F.col("_floor")).select(q, key, "partial", "_rest"), "candidates")
+    # These partial scores hold most of the weight, so their k-th best is a much higher floor.
+    raised = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k).select(
+        q, (F.col("partial") * (1 - 1e-9)).alias("_raised"))
+    alive = materialise(scored.join(raised, q, "left").filter(
+        F.col("partial") + F.col("_rest") >= F.coalesce("_raised", F.lit(0.0))).select(q, key, "partial"), "survivors")
     looked_up = alive.select(q, key).join(skipped, q).join(index, ["term", key])
     extra = looked_up.groupBy(q, key).agg(F.sum(part).alias("extra"))
     full = alive.join(extra, [q, key], "left").select(
