@@ -25,12 +25,22 @@ def _edges(df: DataFrame, column: str, buckets: int) -> Column:
     return df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10_000)).scalar()
 
 
+def _edges_passed(edges: str, value: Column, strict: bool) -> Column:
+    """How many edges lie below (or up to) the value.
+
+    The value goes in as a one-element array, so it is computed once per row: written straight
+    into the filter, the optimiser would inline its whole expression and run it once per edge.
+    """
+    return F.transform(
+        F.array(value), lambda v: F.size(F.filter(edges, (lambda e: e < v) if strict else (lambda e: e <= v))))[0]
+
+
 def with_buckets(df: DataFrame, key: str, tie: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Add `_bucket` (a struct that sorts like (key, tie)) with balanced bucket sizes."""
     value = F.col(key).cast("double")
     staged = df.withColumn("_edges", _edges(df, key, buckets))
-    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < value)), F.lit(0))
-    upto = F.coalesce(F.size(F.filter("_edges", lambda e: e <= value)), F.lit(0))
+    below = F.coalesce(_edges_passed("_edges", value, strict=True), F.lit(0))
+    upto = F.coalesce(_edges_passed("_edges", value, strict=False), F.lit(0))
     staged = staged.withColumn("_lo", below).withColumn("_hi", upto).drop("_edges")
     if tie is None:
         sub = F.lit(0)
@@ -38,7 +48,7 @@ def with_buckets(df: DataFrame, key: str, tie: str | None = None, buckets: int =
         tied = F.col(tie).cast("double")
         staged = staged.withColumn("_tie_edges", _edges(df, tie, buckets))
         sub = F.when(
-            F.col("_hi") > F.col("_lo"), F.size(F.filter("_tie_edges", lambda e: e < tied))
+            F.col("_hi") > F.col("_lo"), _edges_passed("_tie_edges", tied, strict=True)
         ).otherwise(F.lit(0))
     bucket = F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), sub.alias("sub"))
     return staged.withColumn("_bucket", bucket).drop("_lo", "_hi", "_tie_edges")
