@@ -94,7 +94,11 @@ def mix(
             F.col("_p") > 0,
             (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))  # null: never sampled
         joined = joined.withColumn("_rank", rank)
-        return joined.withColumn("_slice", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BUCKETS))
+        # Odds against the source's mean probability: even slices whatever that probability is.
+        mean = F.col("target") / F.col("source_size") % 1
+        scaled = F.col("_rank") * F.least(F.greatest(mean, F.lit(1e-9)), F.lit(1 - 1e-9)) / (
+            1 - F.least(F.greatest(mean, F.lit(1e-9)), F.lit(1 - 1e-9)))
+        return joined.withColumn("_slice", F.floor(scaled / (1 + scaled) * BUCKETS))
 
     slices = drawn(narrow).groupBy("_s", "_slice").agg(
         F.sum("_n").alias("_words"), F.sum(F.col("_whole") * F.col("_n")).alias("_sure"), F.max("target").alias("_aim"))
