@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import gray_index, mixing, simhash
+from hindcast.llm import gray_index, huffman, mixing, simhash, toxicity
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -154,3 +157,17 @@ def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.coalesce("near", F.lit(0)).alias("near_queries"))
+
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.withColumn("s", toxicity.score(docs, F.col("text"), model))
+    return scored.select("doc_id", "s.severity", "s.p_toxic", "s.grade", (F.col("s.p_toxic") >= 0.5).alias("rejected"))
+
+
+@register("op8_token_ids")
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return huffman.roundtrip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
