@@ -8,17 +8,18 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int | None = None, ranks: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """Suffix order by prefix doubling; each round sorts only suffixes that are still tied.
 
     With `depth`, suffixes are ordered by their first `depth` symbols at least: intervals of patterns up
-    to that length, and their backward search, are the same as with the full order.
+    to that length, and their backward search, are the same as with the full order. `ranks` receives the rank of every
+    suffix by its first k symbols (equal where these are equal) for each k reached.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     bits = int(text.max() + 1).bit_length()
-    known = max(1, 63 // bits)
+    known = max(1, min(63 // bits, depth // 2 if depth else 63))
     padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(known, np.int64)])
     key = np.zeros(n, np.int64)
     for j in range(known):
@@ -30,6 +31,8 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     head = np.maximum.accumulate(np.where(fresh[:n], np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
+    if ranks is not None:
+        ranks[known] = rank.copy()
     while depth is None or known < depth:
         tied = np.flatnonzero(~(fresh[:n] & fresh[1:]))
         if not len(tied):
@@ -47,6 +50,8 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         head[tied] = np.maximum.accumulate(np.where(first, tied, 0))
         rank[order[tied]] = head[tied]
         known *= 2
+        if ranks is not None and known < depth:
+            ranks[known] = rank.copy()
     return order
 
 
@@ -106,8 +111,11 @@ class FMIndex:
     """Index of a text of symbols >= 1. Positions are those of the text given."""
 
     def __init__(self, text: np.ndarray, *, depth: int | None = None, sample: int = 32):
+        """`depth`: order suffixes by that many symbols only, keep their positions in `order`, and mark in
+        `groups` which rows share their first depth - 1 symbols."""
         closed = np.concatenate([text.astype(np.int64), [0]])  # 0 closes the text
-        self.order = order = suffix_array(closed, depth)
+        ranks: dict[int, np.ndarray] | None = None if depth is None else {}
+        self.order = order = suffix_array(closed, depth, ranks)
         self.size = n = len(closed)
         self.sigma = sigma = int(closed.max()) + 1
         self.wavelet = Wavelet(closed[order - 1], sigma)
@@ -115,7 +123,19 @@ class FMIndex:
         every = np.arange(sigma)
         # Row of the first suffix of a symbol, less where the symbol's path starts on the last level.
         self.shift = np.cumsum(counts) - counts - self.wavelet.down(every, np.zeros(sigma, np.int64))
-        self.marked = self.samples = None
+        self.marked = self.samples = self.groups = None
+        if depth is not None:
+            # Two overlapping prefixes of a known length k decide equality of depth - 1 symbols.
+            length = depth - 1
+            k = max(x for x in ranks if x <= length)
+            if 2 * k < length:  # every suffix was told apart by fewer symbols
+                self.groups = np.arange(n + 1)
+            else:
+                late = np.minimum(order + length - k, n - 1)
+                a, b = ranks[k][order], np.where(order + length - k < n, ranks[k][late], -1)
+                fresh = np.ones(n + 1, bool)
+                fresh[1:n] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                self.groups = np.flatnonzero(fresh)
         if depth is None:  # a step from row to row is exact only in the full order
             kept = order % sample == 0
             self.marked, self.samples = Bits(kept), order[kept]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import gray_index, huffman, mixing, simhash, toxicity
+from hindcast.llm import gray_index, huffman, mixing, simhash, substring, toxicity
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
@@ -171,3 +171,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return huffman.roundtrip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+REPEAT_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM i),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS x FROM r WHERE nth > 1),
+a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS x FROM d),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY x) AS kept, count(*) AS n FROM a ANTI JOIN g ON a.doc_id = g.doc_id AND a.x = g.x GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@register("op2_substring_dedup", REPEAT_SQL)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("repeat.n_words").alias("n_words"),
+        F.aggregate("repeat.spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]).alias("n_removed"),
+        F.sha2("repeat.kept", 256).alias("kept_sha256"))
