@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import gray_index, huffman, mixing, simhash, substring, toxicity
+from hindcast.llm import gray_index, huffman, lbl, mixing, simhash, substring, toxicity
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
@@ -193,3 +193,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("repeat.n_words").alias("n_words"),
         F.aggregate("repeat.spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"]).alias("n_removed"),
         F.sha2("repeat.kept", 256).alias("kept_sha256"))
+
+
+@register("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", lbl.held_out(F.col("doc_id")).alias("held_out"))
+    trained = lbl.train(docs.filter(~F.col("held_out")))
+    return lbl.score(docs, trained).withColumn("train_tokens", F.lit(trained.vocabulary.total).cast("long"))
