@@ -110,50 +110,49 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are one per distinct (doc_id, text), in order of doc_id (null smallest), then text hash; repeated rows give
     repeated result rows. `near_queries`: documents with an id divisible by 50 whose fingerprint lies within 3 bits."""
+    # An id that may be null as two plain columns: every join and aggregate below then shares one partitioning.
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     keys = materialise(
-        docs.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")).withColumn("one", F.lit(1)),
+        docs.groupBy("id", "no_id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows")).select(
+            "*", F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.lit(1).alias("one")),
         "simhash-keys")
     total = keys.count()
-    ranked = materialise(running_totals(keys, "doc_id", ["one"], tie="h").drop("one"), "simhash-ranks")
+    ranked = materialise(running_totals(keys, "doc_id", ["one"], tie="h").select("id", "no_id", "h", "n", "cum_one"), "simhash-ranks")
     after = F.when(F.col("cum_one") == 1, F.lit(total)).otherwise(F.col("cum_one") - 1)  # next in descending order
     needs = ranked.select(
-        F.col("doc_id").alias("p_doc"), F.col("h").alias("p_h"), F.floor(F.col("n") / 2).cast("int").alias("need"), after.alias("at"))
-    order = ranked.join(needs, ranked["cum_one"] == needs["at"]).drop("at")
-    own = docs.join(
-        order.select(F.col("doc_id").alias("o_doc"), F.col("h").alias("o_h"), "n", "p_doc", "p_h", "need"),
-        F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("h") == F.col("o_h"))).drop("o_doc", "o_h")
-    heads = own.select("p_doc", "p_h", F.left("text", F.col("need")).alias("head")).groupBy("p_doc", "p_h").agg(
-        F.first("head").alias("head"))
+        F.col("id").alias("p_id"), F.col("no_id").alias("p_no_id"), F.col("h").alias("p_h"),
+        F.floor(F.col("n") / 2).cast("int").alias("need"), after.alias("at"))
+    order = ranked.join(needs, ranked["cum_one"] == needs["at"]).drop("at", "cum_one")
+    own = docs.join(order, ["id", "no_id", "h"])
+    heads = own.groupBy(F.col("p_id").alias("id"), F.col("p_no_id").alias("no_id"), F.col("p_h").alias("h")).agg(
+        F.first(F.left("text", F.col("need"))).alias("head"))
     half = (F.col("n") - F.floor(F.col("n") / 2)).cast("int")
-    pairs = own.select("doc_id", "h", "n", "text").join(
-        heads, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("h") == F.col("p_h"))).select(
-        "doc_id", "h", "n", "text", F.concat(F.left("text", half), F.col("head")).alias("edited"))
+    pairs = own.select("id", "no_id", "h", "n", "text").join(heads, ["id", "no_id", "h"]).select(
+        "id", "no_id", "h", "n", "text", F.concat(F.left("text", half), F.col("head")).alias("edited"))
     both = pairs.select(
-        "doc_id", "h", "n", F.sha2("edited", 256).alias("edited_sha256"),
+        "id", "no_id", "h", "n", F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("text").alias("body")),
             F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x")).select(
-        "doc_id", "h", "n", "edited_sha256", "x.side", "x.body")
-    prints = simhash.fingerprints(both, ["doc_id", "h", "n", "edited_sha256", "side"], "body", weight=simhash.by_length)
+        "id", "no_id", "h", "n", "edited_sha256", "x.side", "x.body")
+    prints = simhash.fingerprints(both, ["id", "no_id", "h", "n", "edited_sha256", "side"], "body", weight=simhash.by_length)
     wide = materialise(
-        prints.groupBy("doc_id", "h", "n", "edited_sha256").agg(
+        prints.groupBy("id", "no_id", "h", "n", "edited_sha256").agg(
             F.max("copies").alias("copies"), F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fp"),
             F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fp")),
         "simhash-prints")
-    following = wide.select("doc_id", "h", F.col("fp").alias("next_fp")).join(
-        order.select(F.col("doc_id").alias("o_doc"), F.col("h").alias("o_h"), "p_doc", "p_h"),
-        F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("h") == F.col("o_h"))).select("p_doc", "p_h", "next_fp")
+    following = wide.select("id", "no_id", "h", F.col("fp").alias("next_fp")).join(
+        order.select("id", "no_id", "h", "p_id", "p_no_id", "p_h"), ["id", "no_id", "h"]).select(
+        F.col("p_id").alias("id"), F.col("p_no_id").alias("no_id"), F.col("p_h").alias("h"), "next_fp")
     near = simhash.near_counts(
         wide.select(F.col("fp").alias("fingerprint")),
-        wide.filter("doc_id % 50 = 0").select(F.col("fp").alias("fingerprint"), F.col("copies").alias("weight")))
-    full = wide.join(
-        following, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("h") == F.col("p_h"))).join(
-        near, wide["fp"] == near["fingerprint"], "left").withColumn(
+        wide.filter("not no_id and id % 50 = 0").select(F.col("fp").alias("fingerprint"), F.col("copies").alias("weight")))
+    full = wide.join(following, ["id", "no_id", "h"]).join(near, wide["fp"] == near["fingerprint"], "left").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return full.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", simhash.hexadecimal(F.col("fp")).alias("fingerprint"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", simhash.hexadecimal(F.col("fp")).alias("fingerprint"),
         simhash.hexadecimal(F.col("edited_fp")).alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.coalesce("near", F.lit(0)).alias("near_queries"))
