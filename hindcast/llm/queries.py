@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import gray_index, huffman, lbl, mixing, simhash, substring, toxicity
+from hindcast.llm import gray_index, huffman, lbl, mixing, pii, simhash, substring, toxicity, viterbi
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
@@ -199,3 +199,26 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", lbl.held_out(F.col("doc_id")).alias("held_out"))
     trained = lbl.train(docs.filter(~F.col("held_out")))
     return lbl.score(docs, trained).withColumn("train_tokens", F.lit(trained.vocabulary.total).cast("long"))
+
+
+#: The pseudonym key is a parameter of the operator; a real run takes it from its own secret store.
+PSEUDONYM_KEY = "test tables only"
+
+
+@register("op3_pii_pseudonyms")
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, key=PSEUDONYM_KEY)
+
+    def count(kind: str):
+        return F.size(F.filter("private.found", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", F.size("private.found").cast("long").alias("n_found"), *counts, F.col("private.text").alias("text"))
+
+
+@register("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = viterbi.sentencepiece_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return docs.select("doc_id", viterbi.token_counts(docs, F.col("text"), pieces).alias("n_tokens"))
