@@ -21,6 +21,7 @@ TOXIC = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is above 0 with probability under TOXIC, by a model of the labelled ones."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("_toxicity", toxicity.score(docs, F.col("text"), model))
     return scored.filter(F.col("_toxicity.p_toxic") < TOXIC).select(*COLUMNS)
@@ -28,12 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the smallest id."""
-    return gray_index.keep_one(docs).select(*COLUMNS)
+    return gray_index.keep_one(docs.select(*COLUMNS))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the words that benchmark windows cover."""
-    found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"), cut=True, result="_leak")
+    found = leaks.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), cut=True, result="_leak")
     hit = F.size("_leak.spans") > 0
     return found.withColumns({
         "text": F.when(hit, F.col("_leak.kept")).otherwise(F.col("text")),
@@ -43,7 +44,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs.withColumn("_size", mixing.word_count(F.col("text"))), size="_size")
+    mixed = mixing.mix(docs.select(*COLUMNS).withColumn("_size", mixing.word_count(F.col("text"))), size="_size")
     return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm import bytetext
+from hindcast.llm.columns import field, pack, packed, unpack
 from hindcast.llm.fm_index import FMIndex
 from hindcast.sources.scratch import materialise
 
@@ -167,7 +168,7 @@ def _annotate(block):
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str | None, str | None]]]:
     block, size = [], 0
-    for item, body in items.select(F.col(item_id).cast("string"), text).toLocalIterator(prefetchPartitions=False):
+    for item, body in items.select(field(item_id).cast("string"), field(text)).toLocalIterator(prefetchPartitions=False):
         block.append((item, body))
         size += len(body or "") + 64
         if size >= BLOCK_BYTES:
@@ -188,23 +189,24 @@ def decontaminate(
 
     Null or empty text: no words, no spans. Null item text: no windows. Null item id: its windows mark words but
     name no item. Repeated items count once, repeated documents are rows of their own. Empty tables give
-    empty spans. All columns of `docs` are kept; `result` must not be one of them.
+    empty spans. All columns of `docs` are kept; one named like `result` is replaced.
     """
     spark = docs.sparkSession
-    out, passes = docs, 0
-    for items_block in _blocks(items, item_id, item_text):
-        block = spark.sparkContext.broadcast(Phrases(items_block, window))
-        if passes:  # a further block: earlier findings merge into this pass's
-            out = materialise(out.withColumnRenamed(result, f"{result}_before"), "decontaminate")
-            found = out.withColumn(result, _annotate(block)(F.col(text)))
-            out = found.withColumn(result, _merged(F.col(f"{result}_before"), F.col(result))).drop(f"{result}_before")
+    out, passes = pack(docs), 0
+    for listed in _blocks(items, item_id, item_text):
+        found = _annotate(spark.sparkContext.broadcast(Phrases(listed, window)))(packed(text))
+        if passes:  # a further block: its findings merge into the earlier ones
+            out = materialise(out, "decontaminate").withColumn("_now", found)
+            out = out.select("_doc", _merged(F.col("_leak"), F.col("_now")).alias("_leak"))
         else:
-            out = docs.withColumn(result, _annotate(block)(F.col(text)))
+            out = out.withColumn("_leak", found)
         passes += 1
     if not passes:
-        block = spark.sparkContext.broadcast(Phrases([], window))
-        out = docs.withColumn(result, _annotate(block)(F.col(text)))
-    return out.withColumn(result, F.col(result).withField("kept", _cut(F.col(text), F.col(result)["spans"]))) if cut else out
+        out = out.withColumn("_leak", _annotate(spark.sparkContext.broadcast(Phrases([], window)))(packed(text)))
+    leak = F.col("_leak")
+    if cut:
+        leak = leak.withField("kept", _cut(packed(text), leak["spans"]))
+    return unpack(out, docs.columns, **{result: leak})
 
 
 def _merged(before: Column, now: Column) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm import simhash
+from hindcast.llm.columns import field, pack, packed, unpack
 from hindcast.sources.scratch import materialise
 
 RADIUS = 3
@@ -224,8 +225,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     counted in `copies`. Empty table: no rows.
     """
     seen = docs.select(
-        F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
-        simhash.ascii_lower(F.col(text)).alias("_text"))
+        field(key).alias("_key"), F.xxhash64(F.coalesce(field(text), F.lit(""))).alias("text_hash"),
+        simhash.ascii_lower(field(text)).alias("_text"))
     prints = materialise(simhash.fingerprints(seen, ["_key", "text_hash"], "_text", shingle=shingle), "simhash")
     distinct = prints.groupBy("fingerprint").agg(F.min("_key").alias("_first"))
     roots = components(near_links(distinct.select("fingerprint")))
@@ -239,14 +240,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, one of each component: the smallest key (then text hash); a repeated row stays once."""
-    found = near_duplicates(docs.select(key, text), key=key, text=text)
+    found = near_duplicates(docs, key=key, text=text).withColumnRenamed(key, "_k")
     best = found.groupBy("component_id").agg(
-        F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("text_hash").alias("h"))).alias("b"))
-    chosen = best.select(F.col("b.k").alias("_k"), F.col("b.h").alias("_h")).join(
-        found.select(F.col(key).alias("_fk"), F.col("text_hash").alias("_fh"), "copies"),
-        F.col("_k").eqNullSafe(F.col("_fk")) & (F.col("_h") == F.col("_fh"))).select("_k", "_h", F.col("copies").alias("_copies"))
-    staged = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = staged.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_h")))
-    once = kept.filter("_copies = 1").select(*docs.columns)
-    many = kept.filter("_copies > 1").dropDuplicates(["_k", "_h"]).select(*docs.columns)
-    return once.unionByName(many)
+        F.min(F.struct(F.col("_k").isNull().alias("n"), F.col("_k").alias("k"), F.col("text_hash").alias("h"))).alias("b"))
+    chosen = best.select(F.col("b.k").alias("_bk"), F.col("b.h").alias("_h")).join(
+        found, F.col("_bk").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("text_hash"))).select(
+        "_bk", "_h", F.col("copies").alias("_copies"))
+    staged = pack(docs).select("_doc", packed(key).alias("_key"), F.xxhash64(F.coalesce(packed(text), F.lit(""))).alias("_own"))
+    kept = staged.join(chosen, F.col("_key").eqNullSafe(F.col("_bk")) & (F.col("_own") == F.col("_h")))
+    once = kept.filter("_copies = 1").select("_doc")
+    many = kept.filter("_copies > 1").dropDuplicates(["_bk", "_h"]).select("_doc")
+    return unpack(once.unionByName(many), docs.columns)

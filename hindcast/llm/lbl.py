@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindcast.llm import bytetext
+from hindcast.llm.columns import pack, packed, unpack
 from hindcast.sources.scratch import materialise
 
 WORDS = 1000
@@ -318,17 +319,20 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = 1) -> Trained:
 
 
 def score(docs: DataFrame, trained: Trained, *, text: str = "text") -> DataFrame:
-    """Every row of `docs` with n_tokens, n_known, base_score and score (sums of log10 probabilities).
+    """Every row of `docs`, its text left out, with n_tokens, n_known, base_score and score (sums of log10 probabilities).
 
     Words: A-Z lower-cased, then runs of characters other than space and \\x09-\\x0D; one end per text. Null text: empty. Repeated
-    rows are scored each. The added columns must not be in `docs`.
+    rows are scored each. Columns named like the added ones are replaced.
     """
     spark = docs.sparkSession
     v = trained.vocabulary
     udf = _score(spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(trained.parameters), hash(trained.parameters.tobytes()))
     narrow = [c for c in docs.columns if c != text]
+    given = pack(docs)
     scored = materialise(
-        docs.select(*narrow, udf(F.coalesce(F.col(text), F.lit(""))).alias("_s")).withColumn("_row", F.monotonically_increasing_id()),
+        given.select(
+            F.struct(*[packed(c).alias(c) for c in narrow]).alias("_doc"), udf(F.coalesce(packed(text), F.lit(""))).alias("_s"),
+            F.monotonically_increasing_id().alias("_row")),
         "scored")
     rare = scored.select("_row", F.explode("_s.rare").alias("r")).select("_row", F.col("r.word").alias("_w"), F.col("r.n").alias("_n"))
     joined = rare.join(trained.counts, F.col("_w") == F.col("word"), "left").withColumn("_c", F.coalesce("n", F.lit(0)))
@@ -338,9 +342,10 @@ def score(docs: DataFrame, trained: Trained, *, text: str = "text") -> DataFrame
         F.sum(F.col("_n") * F.log10((F.col("_c") + SMOOTH) / v.floor)).alias("_base"),
         F.sum(F.col("_n") * F.log10((F.col("_c") + SMOOTH) / F.get(masses, F.col("_k")))).alias("_model"))
     zero = F.lit(0.0)
-    return scored.join(terms, "_row", "left").select(
-        *narrow, F.col("_s.n_tokens").alias("n_tokens"), (F.col("_s.n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        (F.col("_s.base") + F.coalesce("_base", zero)).alias("base_score"), (F.col("_s.model") + F.coalesce("_model", zero)).alias("score"))
+    return unpack(
+        scored.join(terms, "_row", "left"), narrow, n_tokens=F.col("_s.n_tokens"),
+        n_known=F.col("_s.n_known") + F.coalesce("_known", F.lit(0)), base_score=F.col("_s.base") + F.coalesce("_base", zero),
+        score=F.col("_s.model") + F.coalesce("_model", zero))
 
 
 def held_out(key: Column, parts: int = 10) -> Column:

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.llm.columns import field, pack, packed, unpack
 from hindcast.sources.scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,14 +72,14 @@ def mix(
 
     Null source: a source of its own, last. Null key: one shared random number, ties go by size. Repeated rows are rows of
     their own and share their random number. Empty documents have size 0 and take nothing from a target. Empty table: empty
-    result. Other columns are kept; source_size, target and copies must not be among them.
+    result. Other columns are kept; one named source_size, target or copies is replaced.
     """
-    own = [c for c in docs.columns]
-    narrow = materialise(
-        docs.select(
-            F.col(source).alias("_s"), F.col(size).alias("_n"), uniform(F.col(key), seed).alias("_u"),
-            (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")),
-        "mix")
+    def staged_columns(get) -> list[Column]:
+        return [
+            get(source).alias("_s"), get(size).alias("_n"), uniform(get(key), seed).alias("_u"),
+            (get(weight) if weight else F.lit(1.0)).cast("double").alias("_w")]
+
+    narrow = materialise(docs.select(*staged_columns(field)), "mix")
     aims = targets(narrow, "_s", "_n", weights, share, most)
     force = narrow.groupBy("_s").agg(F.sum(F.col("_w") * F.col("_n")).alias("_force"))
     aims = aims.alias("a").join(force.alias("f"), F.col("a._s").eqNullSafe(F.col("f._s"))).select(
@@ -109,18 +110,17 @@ def mix(
         (F.col("_aim") - F.sum("_sure").over(inside)).alias("_left"),
         (F.sum("_words").over(running) - F.col("_words")).alias("_before"), "_words",
     ).filter("_bk is not null")
-    staged = drawn(docs.withColumns({
-        "_s": F.col(source), "_n": F.col(size), "_u": uniform(F.col(key), seed),
-        "_w": (F.col(weight) if weight else F.lit(1.0)).cast("double")}))
+    staged = drawn(pack(docs).select("_doc", *staged_columns(packed)))
     staged = staged.join(slices, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_slice") == F.col("_bk")), "left")
     # A document is in when half of it or more still fits; a slice is decided as a whole unless the end falls into it.
     open_slice = F.coalesce((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_words") > F.col("_left")), F.lit(False))
-    plain = [*own, "source_size", "target"]
     closed = staged.filter(~open_slice).withColumn(
         "_in", F.coalesce(F.col("_before") + F.col("_words") <= F.col("_left"), F.lit(False)).cast("long"))
-    order = Window.partitionBy("_s").orderBy("_rank", F.col(key).asc_nulls_first(), "_n")
+    order = Window.partitionBy("_s").orderBy("_rank", packed(key).asc_nulls_first(), "_n")
     ends = staged.filter(open_slice).withColumn(
         "_in", (F.col("_before") + F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") / 2
                 <= F.col("_left")).cast("long"))
-    pick = [*plain, (F.col("_whole") + F.col("_in")).cast("long").alias("copies")]
-    return closed.select(*pick).unionByName(ends.select(*pick))
+    pick = ["_doc", "source_size", "target", "_whole", "_in"]
+    return unpack(
+        closed.select(*pick).unionByName(ends.select(*pick)), docs.columns, source_size=F.col("source_size"), target=F.col("target"),
+        copies=(F.col("_whole") + F.col("_in")).cast("long"))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.llm.columns import pack, packed, unpack
+
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
@@ -199,11 +201,11 @@ def pseudonymise(df: DataFrame, *, text: str = "text", key: str, result: str = "
     """Every row of `df` with `result`: struct(text, found: array of struct(kind, value)), values being the pseudonyms.
 
     What fails its check (a card number against Luhn, the 30th of February) stays as it is. Null text stays null, with nothing
-    found. Rows are independent: ties, repeats and empty tables need no rule. `result` must not be a column of `df`.
+    found. Rows are independent: ties, repeats and empty tables need no rule. A column named like `result` is replaced.
     """
-    body = F.col(text)
+    body = packed(text)
     matches = F.when(F.regexp_like(body, F.lit("[0-9@]")), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    staged = df.withColumn("_matches", matches)
+    staged = pack(df).withColumn("_matches", matches)
     staged = staged.withColumn(
         "_made", F.when(F.size("_matches") > 0, F.transform("_matches", lambda m: pseudonym(key, m))))
     replaced = F.concat(
@@ -211,5 +213,5 @@ def pseudonymise(df: DataFrame, *, text: str = "text", key: str, result: str = "
     pieces = F.split(body, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, replaced, lambda a, b: F.array(a, b))), "")
     found = F.filter(F.coalesce("_made", F.array().cast("array<struct<kind: string, value: string>>")), lambda p: p["value"].isNotNull())
-    return staged.withColumn(result, F.struct(
-        F.when(F.col("_made").isNotNull(), joined).otherwise(body).alias("text"), found.alias("found"))).drop("_matches", "_made")
+    made = F.struct(F.when(F.col("_made").isNotNull(), joined).otherwise(body).alias("text"), found.alias("found"))
+    return unpack(staged, df.columns, **{result: made})

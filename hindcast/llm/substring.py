@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm import bytetext
+from hindcast.llm.columns import field, pack, packed, unpack
 from hindcast.llm.fm_index import FMIndex
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
@@ -251,19 +252,22 @@ def _covered(window: int):
     return covered
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`docs` with a unique document number `n` in document order.
+def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """The packed documents with a number `n` in document order, and whether numbers are unique.
 
     Unique ids are the numbers themselves. Otherwise documents are distinct (id, text) pairs in order of id (null first) and text
     hash; repeated rows share their number.
     """
-    ids = docs.agg(F.count("*").alias("rows"), F.count(key).alias("ids"), F.count_distinct(F.col(key)).alias("distinct")).first()
+    ids = docs.agg(
+        F.count("*").alias("rows"), F.count_distinct(field(key)).alias("distinct")).first()
+    given = pack(docs)
     if ids["rows"] == ids["distinct"]:
-        return docs.withColumn("n", F.col(key).cast("long"))
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    keys = materialise(hashed.select(F.col(key).alias("_k"), F.col("_h").alias("_kh")).distinct().withColumn("one", F.lit(1)), "numbers")
+        return given.select("_doc", packed(key).cast("long").alias("n")), True
+    hashed = given.select("_doc", packed(key).alias("_i"), F.xxhash64(F.coalesce(packed(text), F.lit(""))).alias("_h"))
+    keys = materialise(
+        hashed.select(F.col("_i").alias("_k"), F.col("_h").alias("_kh")).distinct().withColumn("one", F.lit(1)), "numbers")
     ranks = materialise(running_totals(keys, "_k", ["one"], tie="_kh").select("_k", "_kh", F.col("cum_one").alias("n")), "numbers")
-    return hashed.join(ranks, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh"))).drop("_k", "_kh", "_h")
+    return hashed.join(ranks, F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh"))).select("_doc", "n"), False
 
 
 def dedup_substrings(
@@ -276,8 +280,10 @@ def dedup_substrings(
     the input. Null or empty text: no words. Ids that repeat or are null: see `numbered`; repeated rows are one document and
     get its result each. Empty table: no rows. Columns n, runs and stay are added on the way and must not be in `docs`.
     """
-    rows = numbered(docs, key, text)
-    plain = rows.select("n", F.col(text).alias("text"))
+    rows, unique = numbered(docs, key, text)
+    plain = rows.select("n", packed(text).alias("text"))
+    if not unique:
+        plain = plain.groupBy("n").agg(F.first("text").alias("text"))
     schema = "anchor bigint, n bigint, start bigint, windows bigint, again boolean"
     runs = materialise(plain.mapInArrow(_runs(window), schema), "runs")
     weight = F.when(F.col("again"), 2).otherwise(1)  # a window can repeat inside such a run
@@ -293,6 +299,7 @@ def dedup_substrings(
     segments = ready.mapInArrow(_segments(window, shards), "shard bigint, n bigint, start bigint, segment string")
     stay = segments.groupBy("shard").applyInArrow(_shard(window), "n bigint, start bigint, windows bigint")
     stay = stay.groupBy("n").agg(F.collect_list(F.struct("start", "windows")).alias("stay"))
-    own = rows.join(candidates.select("n", F.transform("runs", lambda r: F.struct(r["start"], r["windows"])).alias("runs")), "n", "left")
-    own = own.join(stay, "n", "left")
-    return own.withColumn(result, _covered(window)(F.col(text), F.col("runs"), F.col("stay"))).select(*docs.columns, result)
+    listed = candidates.select("n", F.transform("runs", lambda r: F.struct(r["start"], r["windows"])).alias("runs"))
+    judged = plain.join(listed, "n", "left").join(stay, "n", "left").select(
+        "n", _covered(window)(F.col("text"), F.col("runs"), F.col("stay")).alias("_judged"))
+    return unpack(rows.join(judged, "n"), docs.columns, **{result: F.col("_judged")})
