@@ -254,7 +254,7 @@ def _score(vocabulary, parameters, number: int):
             log_p = scorer(t.classes, t.one, t.two).astype(np.float64) / LN10
             model = np.add.reduceat(log_p, t.first)
             counts = v.counts[t.at[t.known]]
-            base = np.bincount(t.doc[t.known], weights=np.log10((counts + SMOOTH) / v.floor), minlength=docs)
+            base = np.bincount(t.doc[t.known], weights=np.log10((counts + SMOOTH) / v.floor), minlength=docs).astype(np.float64)
             base += np.log10((v.ends + SMOOTH) / v.floor)
             kinds = v.classes[t.at[t.known]] - WORDS - 1
             shared = kinds >= 0

@@ -96,7 +96,7 @@ def mix(
             (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p"))))  # null: never sampled
         joined = joined.withColumn("_rank", rank)
         # Odds against the source's mean probability: even slices whatever that probability is.
-        mean = F.col("target") / F.col("source_size") % 1
+        mean = F.try_divide("target", "source_size") % 1
         scaled = F.col("_rank") * F.least(F.greatest(mean, F.lit(1e-9)), F.lit(1 - 1e-9)) / (
             1 - F.least(F.greatest(mean, F.lit(1e-9)), F.lit(1 - 1e-9)))
         return joined.withColumn("_slice", F.floor(scaled / (1 + scaled) * BUCKETS))

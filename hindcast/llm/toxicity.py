@@ -184,7 +184,8 @@ def train(
     asked = asked.orderBy(F.xxhash64(key), key).limit(sample).withColumnRenamed(key, "_id")
     known = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(asked), F.col("_k") == F.col("_id"))
     rows = known.select("_id", "toxic", "grade", word_set(F.col("_t")).alias("words")).limit(sample)
-    return OrdinalModel.from_bytes(rows.coalesce(1).mapInArrow(_fit_task, "model binary").first()[0])
+    fitted = rows.coalesce(1).mapInArrow(_fit_task, "model binary").first()
+    return OrdinalModel.from_bytes(fitted[0]) if fitted else fit(np.zeros(0, int), np.zeros(0, np.uint64), None, np.zeros(0, bool))
 
 
 def score(df: DataFrame, text: Column, model: OrdinalModel) -> Column:
