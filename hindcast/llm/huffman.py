@@ -1,10 +1,12 @@
 """Token ids as canonical length-limited Huffman code: encode, write, read back.
 
-1. Every text is encoded by the given tokenizer; ids are counted over all documents. The counts (one per id
-   of the vocabulary) give code lengths of at most `LIMIT` bits by package-merge, and the lengths alone give the code.
-2. Documents go to range partitions in ascending id order and are encoded again, block by block. A block is a run of
+1. Every text goes through the given tokenizer once. Its ids wait in the shared folder under a working code, made from a
+   first look at `LOOK` documents (it only saves space: it covers every id), while all ids of all documents are counted.
+2. The counts (one per id of the vocabulary) give code lengths of at most `LIMIT` bits by package-merge, and the
+   lengths alone give the code.
+3. Documents go to range partitions in ascending id order and are written block by block in the final code. A block is a run of
    whole documents, decodes without any other block, and keeps the bit offset of every `STRIDE`-th id.
-3. Reading decodes all strides of a block in lock step, one table look-up per id.
+4. Reading decodes all strides of a block in lock step, one table look-up per id.
 
 The blocks are rows of a Parquet table in the shared folder (part, block, ids of documents and their lengths,
 checkpoints, bits); the code lengths are a second table beside it.
@@ -27,17 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.operators.ordering import running_totals
-from hindcast.sources.scratch import scratch_path
+from hindcast.sources.scratch import materialise, scratch_path
 
 LIMIT = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 END_ID = 2
-CACHE = 1_000_000
+CACHE = 1_500_000
+LOOK = 256
 TEXTS = 512
 #: White space other than space and line feed.
 OTHER_SPACE = tuple(
     "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
+WAITING = (
+    "doc_id bigint, h bigint, n bigint, marks array<bigint>, bits binary, ids array<bigint>, counts array<bigint>")
 BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, checkpoints array<bigint>, bits binary"
 
 
@@ -118,14 +123,15 @@ def _encoder(definition) -> Encoder:
     return _encoders[number]
 
 
-def _encoded(definition, batches, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(document ids, their token ids with the end id) of some documents at a time."""
+def _encoded(definition, batches, end: int, *more: str) -> Iterator[tuple]:
+    """(document ids, their token ids with the end id, further columns) of some documents at a time."""
     encoder, tail = _encoder(definition), np.array([end], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
             some = batch.slice(at, TEXTS)
             texts = [t or "" for t in some.column("text").to_pylist()]
-            yield some.column("doc_id").to_pylist(), [np.frombuffer(b + tail, "<u4") for b in encoder.encode(texts)]
+            ids = [np.frombuffer(b + tail, "<u4") for b in encoder.encode(texts)]
+            yield some.column("doc_id").to_pylist(), ids, *[some.column(c) for c in more]
 
 
 # --- code --------------------------------------------------------------------------------------------------------------
@@ -174,36 +180,69 @@ class Code:
         self.symbol[: spans.sum()] = np.repeat(order, spans)
         self.step[: spans.sum()] = np.repeat(self.lengths[order], spans)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """(bits, bit offset of every STRIDE-th id)."""
-        size = self.lengths[ids]
-        end = np.cumsum(size)
-        start = end - size
-        words = np.zeros(int(end[-1]) // 64 + 2 if len(ids) else 1, np.uint64)
+    def _pack(self, ids: np.ndarray, start: np.ndarray, words: int) -> np.ndarray:
+        """64-bit words with every id's code at its bit; starts ascend and codes do not overlap."""
+        out = np.zeros(words, np.uint64)
         if len(ids):
             code, word = self.codes[ids], start >> 6
-            room = 64 - (start & 63) - size
+            room = 64 - (start & 63) - self.lengths[ids]
             inside = np.where(
                 room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
             heads = np.flatnonzero(np.diff(word, prepend=-1))
-            words[word[heads]] |= np.bitwise_or.reduceat(inside, heads)
+            out[word[heads]] |= np.bitwise_or.reduceat(inside, heads)
             over = np.flatnonzero(room < 0)  # at most one id runs over into each word
-            words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes(), start[::STRIDE]
+            out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+        return out
+
+    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bits, bit offset of every STRIDE-th id)."""
+        bits, marks = self.encode_each(ids, np.array([len(ids)]))
+        return bits[0], marks[0]
+
+    def encode_each(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
+        """The bits and offsets of each of several runs of ids."""
+        end = np.cumsum(self.lengths[ids])
+        start = end - self.lengths[ids]
+        last = np.cumsum(sizes)
+        edge = np.concatenate([[0], end])[np.concatenate([[0], last])]  # bits before each run
+        words = np.diff(edge) // 64 + 2
+        base = np.cumsum(words) - words
+        own = start - np.repeat(edge[:-1], sizes)
+        raw = self._pack(ids, own + np.repeat(base * 64, sizes), int(words.sum())).astype(">u8").tobytes()
+        bits = [raw[8 * b : 8 * (b + w)] for b, w in zip(base.tolist(), words.tolist(), strict=True)]
+        firsts = last - sizes
+        return bits, [own[a : a + n : STRIDE] for a, n in zip(firsts.tolist(), sizes.tolist(), strict=True)]
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
-        words = np.append(np.frombuffer(bits, ">u8").astype(np.uint64), np.uint64(0))
-        at = checkpoints.astype(np.int64).copy()
+        return self.decode_each([bits], [checkpoints], np.array([n]))
+
+    def decode_each(self, bits: list[bytes], marks: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """The ids of several runs, one behind the other: all strides in lock step, longest first."""
+        words = np.frombuffer(b"".join([*bits, bytes(8)]), ">u8").astype(np.uint64)
+        base = np.cumsum([0] + [len(b) // 8 for b in bits])[:-1]
+        strides = np.array([len(m) for m in marks])
+        at = np.concatenate(marks).astype(np.int64) + np.repeat(base * 64, strides)
+        left = np.full(len(at), STRIDE)
+        full = np.flatnonzero(strides)
+        left[np.cumsum(strides)[full] - 1] = sizes[full] - STRIDE * (strides[full] - 1)
+        order = np.argsort(-left, kind="stable")
+        at, left = at[order], left[order]
         out = np.zeros((len(at), STRIDE), np.uint32)
-        last = n - STRIDE * (len(at) - 1)
-        for j in range(STRIDE if len(at) > 1 else last):
-            live = at if j < last else at[:-1]
+        alive = np.searchsorted(-left, -np.arange(STRIDE), side="left")  # strides longer than j
+        for j in range(STRIDE):
+            live = at[: alive[j]]
+            if not len(live):
+                break
             word, off = live >> 6, (live & 63).astype(np.uint64)
             window = (words[word] << off) | ((words[word + 1] >> np.uint64(1)) >> (np.uint64(63) - off))
             entry = (window >> np.uint64(64 - self.width)).astype(np.int64)
             out[: len(live), j] = self.symbol[entry]
-            at[: len(live)] += self.step[entry]
-        return out.ravel()[:n]
+            live += self.step[entry]
+        back = np.empty_like(out)
+        back[order] = out
+        kept = np.empty(len(at), np.int64)
+        kept[order] = left
+        return back[np.arange(STRIDE) < kept[:, None]]
 
 
 # --- jobs --------------------------------------------------------------------------------------------------------------
@@ -220,28 +259,61 @@ def _counter(definition, end: int, size: int):
     return count
 
 
-def _writer(definition, lengths, end: int):
+def _ints(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def _waiting(definition, lengths, end: int):
+    """Rows of documents in the working code; each task ends with one row of its id counts (its n is null)."""
+
+    def rows(batches):
+        code = Code(lengths.value)
+        total = np.zeros(len(lengths.value), np.int64)
+        for names, ids, hashes in _encoded(definition, batches, end, "h"):
+            joined, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
+            total += np.bincount(joined, minlength=len(total))
+            bits, marks = code.encode_each(joined, sizes)
+            none = pa.nulls(len(ids), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), hashes, pa.array(sizes), _ints(marks), pa.array(bits, pa.binary()), none, none],
+                ["doc_id", "h", "n", "marks", "bits", "ids", "counts"])
+        used = np.flatnonzero(total)
+        null = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [null, null, null, pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), _ints([used]), _ints([total[used]])],
+            ["doc_id", "h", "n", "marks", "bits", "ids", "counts"])
+
+    return rows
+
+
+def _writer(working, lengths):
     def blocks(batches):
-        code, part, number = Code(lengths.value), TaskContext.get().partitionId(), 0
-        docs, held, size = [], [], 0
+        old, code, part, number = Code(working.value), Code(lengths.value), TaskContext.get().partitionId(), 0
+        docs, held, sizes, size = [], [], [], 0
 
         def block():
             bits, checkpoints = code.encode(np.concatenate(held))
-            row = {
-                "part": part, "block": number, "doc_ids": docs, "lengths": [len(x) for x in held],
-                "checkpoints": checkpoints.tolist(), "bits": bits}
-            return pa.RecordBatch.from_pylist([row], pa.schema([
-                ("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
-                ("checkpoints", pa.list_(pa.int64())), ("bits", pa.binary())]))
-
-        for names, ids in _encoded(definition, batches, end):
-            for name, x in zip(names, ids, strict=True):
-                docs.append(name)
-                held.append(x)
-                size += len(x)
-                if size >= BLOCK_IDS:
-                    yield block()
-                    docs, held, size, number = [], [], 0, number + 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
+                 pa.array([sizes], pa.list_(pa.int64())), _ints([checkpoints]), pa.array([bits], pa.binary())],
+                ["part", "block", "doc_ids", "lengths", "checkpoints", "bits"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                n = some.column("n").to_numpy(zero_copy_only=False)
+                marks = [m.values.to_numpy(zero_copy_only=False) for m in some.column("marks")]
+                ids = old.decode_each(some.column("bits").to_pylist(), marks, n)
+                last = np.cumsum(n)
+                for name, a, b in zip(some.column("doc_id").to_pylist(), (last - n).tolist(), last.tolist(), strict=True):
+                    docs.append(name)
+                    held.append(ids[a:b])
+                    sizes.append(b - a)
+                    size += b - a
+                    if size >= BLOCK_IDS:
+                        yield block()
+                        docs, held, sizes, size, number = [], [], [], 0, number + 1
         if docs:
             yield block()
 
@@ -276,21 +348,26 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, key: str = "doc_id"
     with open(tokenizer, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     size = max(Encoder(definition.value).tokenizer.get_vocab_size(), end + 1)
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counted = plain.mapInArrow(_counter(definition, end, size), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    look = np.ones(size, np.int64)
+    for row in plain.limit(LOOK).mapInArrow(_counter(definition, end, size), "id bigint, n bigint").collect():
+        look[row["id"]] += 64 * row["n"]
+    working = spark.sparkContext.broadcast(code_lengths(look))
+    waiting = materialise(plain.mapInArrow(_waiting(definition, working, end), WAITING), "waiting-ids")
     counts = np.zeros(size, np.int64)
-    for row in counted.collect():  # one row per id of the vocabulary
-        counts[row["id"]] = row["n"]
+    tasks = waiting.filter("n is null").select(F.explode(F.arrays_zip("ids", "counts")).alias("c"))
+    for row in tasks.groupBy("c.ids").agg(F.sum("c.counts").alias("n")).collect():  # one row per id of the vocabulary
+        counts[row["ids"]] = row["n"]
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id bigint, length bigint").coalesce(
         1).write.parquet(f"{path}/code")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The hash and the row number let a range boundary fall among equal ids and among repeated rows.
-    keyed = plain.withColumn("_h", F.xxhash64("text")).withColumn("_r", F.monotonically_increasing_id())
-    ordered = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "_h", "_r").sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "_h", "_r")
-    blocks = ordered.select("doc_id", "text").mapInArrow(_writer(definition, spark.sparkContext.broadcast(lengths), end), BLOCKS)
+    keyed = waiting.filter("n is not null").select("doc_id", "h", "n", "marks", "bits", F.monotonically_increasing_id().alias("r"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("r")]
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    blocks = ordered.select("doc_id", "n", "marks", "bits").mapInArrow(_writer(working, spark.sparkContext.broadcast(lengths)), BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
