@@ -75,6 +75,15 @@ def _anchors(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nd
     return value, at, count, places > 1
 
 
+# A run travels as one integer: first word, windows (31 bits), and whether its anchor stands in it more than once.
+def _start(place: np.ndarray) -> np.ndarray:
+    return place >> 32
+
+
+def _windows(place: np.ndarray) -> np.ndarray:
+    return (place & 0xFFFFFFFF) >> 1
+
+
 def _runs(window: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +92,9 @@ def _runs(window: int):
                 starts, ends, bounds = bytetext.words(data, offsets)
                 anchor, at, count, again = _anchors(bytetext.word_hashes(data, starts, ends), bounds, window)
                 doc = np.searchsorted(bounds, at, side="right") - 1
+                place = ((at - bounds[doc]) << 32) | (count << 1) | again
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(number[first + doc]), pa.array(at - bounds[doc]), pa.array(count), pa.array(again)],
-                    ["anchor", "n", "start", "windows", "again"])
+                    [pa.array(anchor.view(np.int64)), pa.array(number[first + doc]), pa.array(place)], ["anchor", "n", "place"])
 
     return runs
 
@@ -110,7 +119,8 @@ def _segments(window: int, shards: int):
             lists = batch.column("runs")
             run_ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             flat = lists.flatten()
-            start, count, anchor, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            place, anchor, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, count = _start(place), _windows(place)
             for first, last, data, offsets in bytetext.chunks(batch.column("text")):
                 a, b = run_ends[first], run_ends[last]
                 doc = np.repeat(np.arange(first, last), np.diff(run_ends[first : last + 1]))
@@ -199,7 +209,7 @@ def _shard(window: int):
     def shard(table: pa.Table) -> pa.Table:
         got = first_windows(
             table.column("segment").combine_chunks(), table.column("n").to_numpy(), table.column("start").to_numpy(), window)
-        return pa.table([pa.array(x) for x in got], names=["n", "start", "windows"])
+        return pa.table([pa.array(got[0]), pa.array((got[1] << 32) | (got[2] << 1))], names=["n", "place"])
 
     return shard
 
@@ -213,9 +223,8 @@ def _covered(window: int):
         def windows(lists: pa.Array, first: int, last: int, bounds: np.ndarray) -> np.ndarray:
             part = lists.slice(first, last - first)
             sizes = pc.fill_null(part.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            flat = part.flatten()
-            begin = flat.field(0).to_numpy(zero_copy_only=False) + np.repeat(bounds[:-1], sizes)
-            return bytetext.ranges(begin, flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64))
+            place = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            return bytetext.ranges(_start(place) + np.repeat(bounds[:-1], sizes), _windows(place))
 
         out = []
         for first, last, data, offsets in bytetext.chunks(texts):
@@ -284,22 +293,23 @@ def dedup_substrings(
     plain = rows.select("n", packed(text).alias("text"))
     if not unique:
         plain = plain.groupBy("n").agg(F.first("text").alias("text"))
-    schema = "anchor bigint, n bigint, start bigint, windows bigint, again boolean"
-    runs = materialise(plain.mapInArrow(_runs(window), schema), "runs")
-    weight = F.when(F.col("again"), 2).otherwise(1)  # a window can repeat inside such a run
+    runs = materialise(plain.mapInArrow(_runs(window), "anchor bigint, n bigint, place bigint"), "runs")
+    weight = F.when(F.col("place") % 2 == 1, 2).otherwise(1)  # a window can repeat inside such a run
     often = runs.groupBy("anchor").agg(F.sum(weight).alias("_times")).filter("_times > 1").withColumnRenamed("anchor", "_a")
     found = runs.join(often, F.col("anchor") == F.col("_a")).select(
-        "n", F.struct("start", "windows", "anchor", (F.col("_times") > HOT).alias("hot")).alias("run"))
+        "n", F.struct("place", "anchor", (F.col("_times") > HOT).alias("hot")).alias("run"))
     candidates = materialise(found.groupBy("n").agg(F.collect_set("run").alias("runs")), "candidates")
+    span = lambda r: F.shiftright(r["place"].bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     words = candidates.agg(F.sum(F.aggregate(
         "runs", F.lit(0).cast("long"),
-        lambda t, r: t + F.when(r["hot"], r["windows"] * window).otherwise(r["windows"] + window - 1)))).first()[0] or 0
+        lambda t, r: t + F.when(r["hot"], span(r) * window).otherwise(span(r) + window - 1)))).first()[0] or 0
     shards = 1 + int(words) // SHARD_WORDS
     ready = plain.join(candidates, "n").select("n", "text", "runs")
     segments = ready.mapInArrow(_segments(window, shards), "shard bigint, n bigint, start bigint, segment string")
-    stay = segments.groupBy("shard").applyInArrow(_shard(window), "n bigint, start bigint, windows bigint")
-    stay = stay.groupBy("n").agg(F.collect_list(F.struct("start", "windows")).alias("stay"))
-    listed = candidates.select("n", F.transform("runs", lambda r: F.struct(r["start"], r["windows"])).alias("runs"))
-    judged = plain.join(listed, "n", "left").join(stay, "n", "left").select(
-        "n", _covered(window)(F.col("text"), F.col("runs"), F.col("stay")).alias("_judged"))
-    return unpack(rows.join(judged, "n"), docs.columns, **{result: F.col("_judged")})
+    stay = segments.groupBy("shard").applyInArrow(_shard(window), "n bigint, place bigint")
+    stay = stay.groupBy("n").agg(F.collect_list("place").alias("stay"))
+    listed = candidates.select("n", F.transform("runs", lambda r: r["place"]).alias("runs"))
+    # The Python step comes last: it does not keep the partitioning that the joins share.
+    judged = plain.join(listed, "n", "left").join(stay, "n", "left").join(rows, "n").select(
+        "_doc", _covered(window)(F.col("text"), F.col("runs"), F.col("stay")).alias("_judged"))
+    return unpack(judged, docs.columns, **{result: F.col("_judged")})
