@@ -38,18 +38,20 @@ def micros(ts: Column) -> Column:
     return seconds * 1000000 + fraction
 
 
+# Cumulative Poisson(1) probabilities P(X <= k), k = 0..9.
+POISSON_ONE = (
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
+    0.999998874797402, 0.9999998885745217,
+)
+
+
 def poisson_one(u: Column) -> Column:
     """A Poisson(1) draw by inverting its distribution function at the uniform `u`."""
-    # Cumulative Poisson(1) probabilities P(X <= k), k = 0..9.
-    cdf = (
-        0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-        0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-        0.999998874797402, 0.9999998885745217,
-    )
-    expr = F.when(u < cdf[0], F.lit(0))
-    for k, edge in enumerate(cdf[1:], start=1):
+    expr = F.when(u < POISSON_ONE[0], F.lit(0))
+    for k, edge in enumerate(POISSON_ONE[1:], start=1):
         expr = expr.when(u < edge, F.lit(k))
-    return expr.otherwise(F.lit(len(cdf)))
+    return expr.otherwise(F.lit(len(POISSON_ONE)))
 
 
 def zero_failure_bound(n: Column, confidence: float = 0.95) -> Column:

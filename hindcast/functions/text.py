@@ -17,7 +17,6 @@ STOPWORDS = (
 WORD_PATTERN = r"[a-z0-9_]+"
 SNIPPET_CHARS = 300
 SNIPPET_MARK = " …[truncated]"
-ISSUE_TEXT_CHARS = 20_000
 DOC_TOKENS = 1000
 QUERY_TOKENS = 400
 SHORT_BODY = 300
@@ -91,28 +90,33 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(url, r"^[a-z]+://[^/]+/?", "")
 
 
-# One piece of an ownership pattern -> the regex it stands for, tried in this order.
-GLOB_PIECES = (("**/", "(?:.*/)?"), ("**", ".*"), ("*", "[^/]*"), ("?", "[^/]"))
+def _segment_regex(segment: str) -> str:
+    """One path segment of an ownership pattern: stars and question marks stay inside it, a double star does not."""
+    def atom(found: re.Match) -> str:
+        run = found.group()
+        if run == "?":
+            return "[^/]"
+        return re.escape(run) if run[0] != "*" else ".*" if len(run) > 1 else "[^/]*"
+
+    return re.sub(r"[*]+|[?]|[^*?]+", atom, segment)
 
 
 def owner_pattern_regex(pattern: str) -> str:
-    """A gitignore-style ownership pattern as a regex over slash-free-start paths.
+    """A gitignore-style ownership pattern as a regex over paths without a leading slash.
 
-    Runs on the driver over the (small) rule table only; matching is `rlike` in the job.
+    Built segment by segment on the driver, over the (small) rule table only; matching is `rlike` in the job. A pattern of
+    one segment matches at any depth unless it starts with a slash. A closing slash asks for something below; a
+    closing `/*` for direct children; otherwise the path itself or anything below matches.
     """
-    body = pattern.strip()
-    is_directory, core = body.endswith("/"), body.strip("/")
-    anchored = body.startswith("/") or "/" in core
-    pieces = re.split(r"(\*\*/|\*\*|\*|\?)", core)
-    table = dict(GLOB_PIECES)
-    middle = "".join(table.get(p) or re.escape(p) for p in pieces if p)
-    if core.endswith("/*"):
-        tail = ""  # direct children only
-    elif is_directory:
-        tail = "/.*"
-    else:
-        tail = "(?:/.*)?"
-    return ("^" if anchored else "^(?:.*/)?") + middle + tail + "$"
+    *parents, name = [s for s in pattern.strip().split("/") if s] or ["**"]
+    out = "^" if parents or pattern.strip().startswith("/") else "^(?:.*/)?"
+    for segment in parents:
+        out += "(?:.*/)?" if segment == "**" else _segment_regex(segment) + "/"
+    if name == "**":
+        return out + ".*$"
+    if pattern.strip().endswith("/"):
+        return out + _segment_regex(name) + "/.*$"
+    return out + _segment_regex(name) + ("$" if parents and name == "*" else "(?:/.*)?$")
 
 
 SLICES = {

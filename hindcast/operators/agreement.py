@@ -130,7 +130,7 @@ def code_to_category(tags: DataFrame, item: str, codes: str, mapping: DataFrame)
 
     The taxonomy is configuration, tens of rows, hence the broadcast.
     """
-    rows = tags.select(item, F.explode(codes).alias("code")).join(F.broadcast(mapping), "code", "left")
+    rows = tags.select(item, F.explode(codes).alias("code")).join(mapping, "code", "left")
     return rows.groupBy(item).agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 

@@ -16,7 +16,7 @@ def gate_metric(deltas: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules are a configuration file's rows, hence the broadcast; a metric without one passes.
     """
-    rows = deltas.join(F.broadcast(rules), "metric", "left")
+    rows = deltas.join(rules, "metric", "left")
     ruled = F.col("max_drop").isNotNull() & F.col("delta").isNotNull()
     verdict = (
         F.when(ruled & (F.col("delta") < -F.col("max_drop")), "fail")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.operators.ordering import counts_before
+from hindcast.operators.ordering import counts_before, running_totals
 from hindcast.sources.scratch import materialise
 
 # Fixed values of the scoring formula.
@@ -186,20 +186,18 @@ def tfidf_neighbours(
     return pruned_topk(weighted, vectors, q, key, F.col("qw") * F.col("w"), k, seed_postings=seed_postings)
 
 
-def tune_threshold(best: DataFrame, limit: int = 500) -> DataFrame:
+def tune_threshold(best: DataFrame) -> DataFrame:
     """One row (threshold, f1): the similarity cut that maximises link F1; 1.01 when none is better.
 
-    best(gold, found, sim) has one row per training item. Swept over the `limit` highest distinct
-    similarities, the highest wins ties. Links are summed per similarity first, so the sweep
-    runs over at most `limit` rows.
+    best(gold, found, sim) has one row per training item. Swept over all distinct similarities with running totals, the
+    highest wins ties.
     """
     right = F.coalesce(F.col("found") == F.col("gold"), F.lit(False))
     total = best.agg(F.count("gold")).scalar()
-    per_sim = best.groupBy("sim").agg(
-        F.count_if(right).alias("tp"), F.count_if(F.col("found").isNotNull() & ~right).alias("fp"))
-    top = per_sim.orderBy(F.desc("sim")).limit(limit)
-    upto = Window.orderBy(F.desc("sim")).rowsBetween(Window.unboundedPreceding, 0)
-    swept = top.select("sim", F.sum("tp").over(upto).alias("tp"), F.sum("fp").over(upto).alias("fp"))
+    per_sim = materialise(
+        best.groupBy("sim").agg(F.count_if(right).alias("n_tp"), F.count_if(F.col("found").isNotNull() & ~right).alias("n_fp")), "sweep")
+    swept = running_totals(per_sim, "sim", ["n_tp", "n_fp"], descending=True).select(
+        "sim", F.col("cum_n_tp").alias("tp"), F.col("cum_n_fp").alias("fp"))
     denominator = F.col("tp") + F.col("fp") + total
     f1 = F.when(denominator > 0, 2.0 * F.col("tp") / denominator).otherwise(0.0)
     picked = swept.withColumn("f1", f1).agg(F.max_by(F.struct("sim", "f1"), F.struct("f1", "sim")).alias("p"))

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.text import owner_pattern_regex
 
-# Fixed values of the search.
-HITS_PER_FILE = 3
-MAX_FILE_BYTES = 1_000_000
+# Characters of a line that a report shows.
 SNIPPET = 200
 
 
@@ -23,11 +21,13 @@ def owners_of(paths: DataFrame, path: str, rules: Sequence[tuple[str, str]]) ->
     from the last rule back, with no join and the regexes compiled once.
     """
     clean = F.ltrim(F.trim(F.col(path)), F.lit("/"))
-    case = F.lit(None)
-    for pattern, owners in rules:
+    case = None
+    for pattern, owners in reversed(rules):
         hit = F.struct(F.lit(owners).alias("owners"), F.lit(pattern).alias("pattern"))
-        case = F.when(clean.rlike(owner_pattern_regex(pattern)), hit).otherwise(case)
-    out = paths.withColumn("_o", case)
+        match = clean.rlike(owner_pattern_regex(pattern))
+        case = F.when(match, hit) if case is None else case.when(match, hit)
+    none = F.lit(None).cast("struct<owners: string, pattern: string>")
+    out = paths.withColumn("_o", none if case is None else case)
     return out.select(*paths.columns, F.coalesce("_o.owners", F.lit("")).alias("owners"), "_o.pattern")
 
 
@@ -38,24 +38,26 @@ def glob_regex(glob: str) -> str:
 
 
 def file_lines_matching(
-    files: DataFrame, path: str, text: str, needle: str, *, glob: str | None = None, max_results: int = 20
+    files: DataFrame, path: str, text: str, needle: str, *, glob: str | None = None, max_results: int = 20,
+    hits_per_file: int | None = None,
 ) -> DataFrame:
     """(path, number, snippet, truncated): lines holding the needle, case-insensitively.
 
-    At most three hits per file, files in path order. Each file is one row, so its hits are
+    Files of any size in path order, those with a NUL left out; `hits_per_file` shows the first hits of each only. Each file is one row, so its hits are
     found by array functions before anything is exploded, and the path-ordered limit is a
     distributed top-n.
     """
     kept = files.filter(
-        (F.octet_length(text) <= MAX_FILE_BYTES)
-        & (F.instr(F.left(text, F.lit(4096)), "\0") == 0)
+        (F.instr(text, "\0") == 0)
         & F.contains(F.lower(text), F.lit(needle.lower()))
     )
     if glob is not None:
         kept = kept.filter(F.col(path).rlike(glob_regex(glob)))
     lines = F.transform(
         F.split(text, "\r\n|\n|\r"), lambda x, i: F.struct((i + 1).cast("long").alias("number"), x.alias("line")))
-    hits = F.slice(F.filter(lines, lambda x: F.contains(F.lower(x["line"]), F.lit(needle.lower()))), 1, HITS_PER_FILE)
+    hits = F.filter(lines, lambda x: F.contains(F.lower(x["line"]), F.lit(needle.lower())))
+    if hits_per_file is not None:
+        hits = F.slice(hits, 1, hits_per_file)
     rows = kept.select(path, F.explode(hits).alias("h")).select(
         path, "h.number", F.left(F.trim("h.line"), F.lit(SNIPPET)).alias("snippet"))
     top = rows.orderBy(path, "number").limit(max_results + 1)

@@ -72,7 +72,7 @@ def poststrat_weights(pool: DataFrame, chosen: DataFrame, key: str, stratum_col:
     weights = sizes.join(taken, stratum_col).select(
         stratum_col, (F.col("_pool") / F.col("_taken")).alias("weight")
     )
-    return picked.join(F.broadcast(weights), stratum_col).select(key, stratum_col, "weight")
+    return picked.join(weights, stratum_col).select(key, stratum_col, "weight")
 
 
 def assign_splits(
@@ -97,7 +97,7 @@ def assign_splits(
         pool = base.filter((F.col("_window") == name) & F.col("exclusion_reason").isNull())
         chosen = stratified_sample(pool, key, sizes[name], minimums[name], f"{seed}-{name}")
         weights = poststrat_weights(pool, chosen, key).select(key, "weight")
-        rows = pool.join(F.broadcast(weights), key, "left").select(  # at most sizes[name] rows
+        rows = pool.join(weights, key, "left").select(  # at most sizes[name] rows
             key,
             F.when(F.col("weight").isNotNull(), name).otherwise(f"{name}_reserve").alias("split"),
             "stratum",

@@ -159,7 +159,7 @@ def compared_items(
     sides = comparisons.select("comparison", F.explode(F.array(
         F.struct(F.lit("a").alias("side"), F.col("a").alias("run_id")),
         F.struct(F.lit("b").alias("side"), F.col("b").alias("run_id")))).alias("x")).select("comparison", "x.side", "x.run_id")
-    items = scored_items(gold, predictions, key).join(F.broadcast(sides), "run_id")
+    items = scored_items(gold, predictions, key).join(sides, "run_id")
     usable = items.filter("error IS NULL") if exclude_errors else items
     shared = usable.groupBy("comparison", key).agg(F.count_distinct("side").alias("_s")).filter("_s = 2").select("comparison", key)
     return usable.join(shared, ["comparison", key], "left_semi")
@@ -205,41 +205,40 @@ def with_gold(gold: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 
 def find_failures(items: DataFrame, key: str) -> DataFrame:
-    """(key, task, detail): what each prediction got wrong."""
-    missing = F.array_sort(F.array_except("g_labels", "p_labels"))
-    extra = F.array_sort(F.array_except("p_labels", "g_labels"))
-    parts = F.array_compact(F.array(
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))),
-        F.when(F.size(extra) > 0, F.concat(F.lit("extra: "), F.array_join(extra, ", ")))))
-    labels = F.when(F.col("human_triaged") & (F.size(parts) > 0), F.array_join(parts, "; "))
+    """(key, run_id, task, code, said, truth): what each prediction got wrong.
+
+    For labels, `said` lists those given too many and `truth` those left out.
+    """
+    def finding(task: str, wrong: Column, code: Column, said: Column, truth: Column) -> Column:
+        return F.when(wrong, F.struct(
+            F.lit(task).alias("task"), code.alias("code"), said.cast("string").alias("said"), truth.cast("string").alias("truth")))
+
+    left_out = F.array_sort(F.array_except("g_labels", "p_labels"))
+    too_many = F.array_sort(F.array_except("p_labels", "g_labels"))
     g, p = F.col("g_dup"), F.col("p_dup")
-    found = F.when(F.array_contains("p_dups", g), "among candidates").otherwise("not found")
-    link = (
-        F.when(g.eqNullSafe(p), None)
-        .when(g.isNull(), F.concat(F.lit("false duplicate: said #"), p))
-        .when(p.isNull(), F.concat(F.lit("missed duplicate of #"), g, F.lit(" ("), found, F.lit(")")))
-        .otherwise(F.concat(F.lit("wrong original: said #"), p, F.lit(", truth #"), g))
-    )
-    component = F.when(
-        F.col("g_comp").isNotNull() & ~F.col("g_comp").eqNullSafe(F.col("p_comp")),
-        F.concat(F.lit("said "), F.coalesce("p_comp", F.lit("nothing")), F.lit(", truth "), F.col("g_comp")))
-    info = F.when(
-        F.col("g_info") != F.col("p_info"),
-        F.when(F.col("p_info"), "said needs info, wrongly").otherwise("missed needs info"))
-    checks = {"T1": labels, "T2": link, "T3": component, "T4": info}
-    tasks = F.array(*[F.struct(F.lit(t).alias("task"), c.alias("detail")) for t, c in checks.items()])
-    return items.select(key, "run_id", F.explode(F.filter(tasks, lambda t: t["detail"].isNotNull())).alias("t")).select(
-        key, "run_id", "t.task", "t.detail")
-
-
-def failure_counts(rows: DataFrame, category: str, runs: Sequence[str], key: str, top: int = 6) -> DataFrame:
+    link = F.when(g.isNull(), "link_invented").when(p.isNotNull(), "link_wrong").when(
+        F.array_contains("p_dups", g), "link_only_candidate").otherwise("link_absent")
+    checks = F.array(
+        finding(
+            "T1", F.col("human_triaged") & (F.size(left_out) + F.size(too_many) > 0),
+            F.when(F.size(left_out) > 0, "labels_left_out").otherwise("labels_too_many"),
+            F.array_join(too_many, ","), F.array_join(left_out, ",")),
+        finding("T2", ~g.eqNullSafe(p), link, p, g),
+        finding(
+            "T3", F.col("g_comp").isNotNull() & ~F.col("g_comp").eqNullSafe(F.col("p_comp")), F.lit("component"),
+            F.col("p_comp"), F.col("g_comp")),
+        finding("T4", F.col("g_info") != F.col("p_info"), F.lit("info"), F.col("p_info"), F.col("g_info")))
+    return items.select(key, "run_id", F.explode(F.array_compact(checks)).alias("t")).select(key, "run_id", "t.*")
+
+
+def failure_counts(rows: DataFrame, category: str, runs: Sequence[str], key: str, top: int | None = None) -> DataFrame:
     """(category, one column per run, delta of the last over the first) on keys every run has."""
     shared = rows.groupBy(key).agg(F.count_distinct("run_id").alias("_n")).filter(F.col("_n") == len(runs)).select(key)
     kept = rows.join(shared, key, "left_semi")
     wide = kept.groupBy(category).pivot("run_id", list(runs)).agg(F.count(F.lit(1))).na.fill(0)
     total = sum((F.col(r) for r in runs[1:]), F.col(runs[0]))
-    return wide.withColumn("total", total).withColumn("delta", F.col(runs[-1]) - F.col(runs[0])).orderBy(
-        F.desc("total"), F.asc(category)).limit(top)
+    counted = wide.withColumn("total", total).withColumn("delta", F.col(runs[-1]) - F.col(runs[0]))
+    return counted if top is None else counted.orderBy(F.desc("total"), F.asc(category)).limit(top)
 
 
 def binary_counts(gold: Column, pred: Column, weight: Column) -> list[Column]:

@@ -17,7 +17,7 @@ def priced(calls: DataFrame, prices: DataFrame, model: str) -> DataFrame:
 
     The price list has one row per model and is broadcast.
     """
-    joined = calls.join(F.broadcast(prices.withColumn("_known", F.lit(True))), model, "left")
+    joined = calls.join(prices.withColumn("_known", F.lit(True)), model, "left")
     known = F.when(F.col("_known"), True).otherwise(
         F.raise_error(F.concat(F.lit("no price for model "), F.coalesce(F.col(model), F.lit("?")))).cast("boolean"))
     return joined.filter(known).drop("_known")

@@ -1,10 +1,10 @@
 """Bootstrap intervals and paired comparisons from additive sufficient statistics.
 
 A metric is a function of sums over items, so a resample is a weighted sum: no metric is ever
-recomputed row by row. Up to `EXACT_ITEMS` items (the count is checked) each resample draws
-exactly n items with replacement. Beyond that each item gets an independent Poisson(1) weight
-per resample: the same distribution in the limit, no join, no shuffle of draws, and the partial
-aggregate leaves one row per resample and task.
+recomputed row by row. In each resample an item has an independent Poisson(1) weight, drawn from a hash
+of (seed, resample, item): one law at every size, no join, no shuffle of draws, no count beforehand, and the
+partial aggregate leaves one row per resample and task. `exact=True` asks for draws of exactly n items instead;
+that numbers the items of a group in one window and is meant for small groups.
 """
 
 from __future__ import annotations
@@ -18,39 +18,44 @@ from hindcast.functions.numeric import poisson_one, uniform
 
 RESAMPLES = 1000
 CONFIDENCE = 0.95
-EXACT_ITEMS = 20_000
 POINT, WEIGHTED = 0, -1  # values of `r` that are not resamples
 
 
 def resampled(
     items: DataFrame, key: str, *, by: Sequence[str] = (), resamples: int = RESAMPLES, seed: str = "0",
-    weight: str | None = None, exact_items: int = EXACT_ITEMS,
+    weight: str | None = None, exact: bool = False,
 ) -> DataFrame:
     """Items repeated as (r, w, ...): r = 0 the data itself, r = -1 with sampling weights, r >= 1
-    the resamples. Resampling is within each `by` group and its draws depend on nothing else."""
+    the resamples. An item's weight in a resample depends on (seed, r, key) only, or with `exact` on its place in its group."""
     by = list(by)
-    base = items.withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
+    columns = list(items.columns)
+    numbers = F.sequence(F.lit(1), F.lit(resamples))
     own = [F.struct(F.lit(POINT).alias("r"), F.lit(1.0).alias("w"))]
     if weight:
-        own.append(F.struct(F.lit(WEIGHTED).alias("r"), F.col("_w").alias("w")))
-    columns = [c for c in items.columns]
-    plain = base.select(*columns, F.explode(F.array(*own)).alias("_x")).select(*columns, "_x.r", "_x.w")
-    numbers = F.sequence(F.lit(1), F.lit(resamples))
-    if items.limit(exact_items + 1).count() > exact_items:
-        rows = items.withColumn("r", F.explode(numbers))
-        drawn = rows.withColumn("w", poisson_one(uniform(seed, F.col("r"), F.col(key))).cast("double"))
-        return plain.unionByName(drawn.filter("w > 0").select(*columns, "r", "w"))
-    # At most exact_items rows from here on.
+        own.append(F.struct(F.lit(WEIGHTED).alias("r"), F.col(weight).cast("double").alias("w")))
+    if not exact:
+        drawn = F.transform(numbers, lambda r: F.struct(
+            r.alias("r"), poisson_one(uniform(seed, r, F.col(key))).cast("double").alias("w")))
+        every = F.concat(F.array(*own), F.filter(drawn, lambda x: x["w"] > 0))
+        return items.select(*columns, F.explode(every).alias("_x")).select(*columns, "_x.r", "_x.w")
+    plain = items.select(*columns, F.explode(F.array(*own)).alias("_x")).select(*columns, "_x.r", "_x.w")
     group = Window.partitionBy(*(by or [F.lit(0)]))
     placed = items.withColumn("_i", F.row_number().over(group.orderBy(key)) - 1).withColumn(
         "_n", F.count(F.lit(1)).over(group))
     draws = placed.select(*by, "_i", "_n", F.explode(numbers).alias("r")).select(
         *by, "r", F.floor(uniform(seed, F.col("r"), F.col("_i")) * F.col("_n")).cast("int").alias("_i"))
     counted = draws.groupBy(*by, "r", "_i").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    drawn = counted.join(F.broadcast(placed.drop("_n")), [*by, "_i"])
+    drawn = counted.join(placed.drop("_n"), [*by, "_i"])
     return plain.unionByName(drawn.select(*columns, "r", "w"))
 
 
+def _statistics(items: DataFrame, key: str, sums: Mapping[str, Column], by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Only what a resample needs of an item: its statistics travel through the explode, not its row."""
+    kept = [*by, *([weight] if weight and weight not in by else [])]
+    return items.select(
+        *kept, *([key] if key not in kept else []), *[c.cast("double").alias(f"_sum_{n}") for n, c in sums.items()])
+
+
 def resample_sums(rows: DataFrame, sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """(by..., r, sums...): weighted sums of item columns per resample."""
     return rows.groupBy(*by, "r").agg(*[F.sum(F.col("w") * c.cast("double")).alias(n) for n, c in sums.items()])
@@ -81,12 +86,13 @@ def intervals(per_r: DataFrame, metrics: Sequence[str], by: Sequence[str] = (),
 def bootstrap_ci(
     items: DataFrame, key: str, sums: Mapping[str, Column], metrics: Mapping[str, Column], *,
     by: Sequence[str] = (), resamples: int = RESAMPLES, seed: str = "0", weight: str | None = None,
-    confidence: float = CONFIDENCE, exact_items: int = EXACT_ITEMS,
+    confidence: float = CONFIDENCE, exact: bool = False,
 ) -> DataFrame:
     """Percentile intervals of several metrics in one job. `sums` are item columns, `metrics`
     expressions over their sums."""
-    rows = resampled(items, key, by=by, resamples=resamples, seed=seed, weight=weight, exact_items=exact_items)
-    per_r = resample_sums(rows, sums, by).select(*by, "r", *[c.alias(n) for n, c in metrics.items()])
+    rows = resampled(
+        _statistics(items, key, sums, by, weight), key, by=by, resamples=resamples, seed=seed, weight=weight, exact=exact)
+    per_r = resample_sums(rows, {n: F.col(f"_sum_{n}") for n in sums}, by).select(*by, "r", *[c.alias(n) for n, c in metrics.items()])
     return intervals(per_r, list(metrics), by, confidence)
 
 
@@ -129,13 +135,13 @@ def significant(low: Column, high: Column) -> Column:
 def paired_bootstrap(
     items: DataFrame, key: str, sums: Mapping[str, Column], a: Mapping[str, Column], b: Mapping[str, Column], *,
     by: Sequence[str] = (), resamples: int = RESAMPLES, seed: str = "0", confidence: float = CONFIDENCE,
-    exact_items: int = EXACT_ITEMS,
+    exact: bool = False,
 ) -> DataFrame:
     """B minus A on the same draws; an item row carries both systems' statistics."""
     if set(a) != set(b):
         raise ValueError("both systems need the same metrics")
-    rows = resampled(items, key, by=by, resamples=resamples, seed=seed, exact_items=exact_items)
-    per_r = resample_sums(rows, sums, by).select(
+    rows = resampled(_statistics(items, key, sums, by), key, by=by, resamples=resamples, seed=seed, exact=exact)
+    per_r = resample_sums(rows, {n: F.col(f"_sum_{n}") for n in sums}, by).select(
         *by, "r", *[c.alias(f"a_{n}") for n, c in a.items()], *[c.alias(f"b_{n}") for n, c in b.items()])
     return paired_deltas(per_r, list(a), by, confidence)
 

@@ -9,7 +9,7 @@ from hindcast.operators import agreement as ag
 from hindcast.operators import uncertainty as un
 from hindcast.operators.calibration import best_type
 from hindcast.plans import fixtures as fx
-from hindcast.plans.oracle import u
+from hindcast.plans.oracle import poisson_one, u
 from hindcast.plans.registry import query
 from hindcast.plans.scoring import all_predictions, rounded
 from hindcast.sources.tables import read_table
@@ -93,9 +93,8 @@ def bias_shift(spark, sf):
 @query("system_rubric_scores", sql=f"""
 WITH c AS (SELECT role AS system, conv_id * 1000 + turn AS item, CASE WHEN {u("'e'", 'conv_id', 'turn')} < 0.1 THEN 1
     ELSE 1 + floor({u("'s'", 'conv_id', 'turn')} * 4) END::DOUBLE AS v, ({u("'e'", 'conv_id', 'turn')} < 0.1)::INT AS empty FROM conversations),
-i AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY item) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM c),
-d AS (SELECT system, r, CAST(floor({u("'0'", 'r', 'i')} * n) AS BIGINT) AS i FROM i, range(1, 1001) t(r)),
-m AS (SELECT system, r, avg(v) AS m FROM d JOIN i USING (system, i) GROUP BY ALL)
+d AS (SELECT system, r, v, {u("'0'", 'r', 'item')} AS uu FROM c, range(1, 1001) t(r)),
+m AS (SELECT system, r, sum(w * v) / sum(w) AS m FROM (SELECT system, r, v, {poisson_one('uu')} AS w FROM d) GROUP BY ALL)
 SELECT system, (SELECT count(*) FROM c WHERE c.system = m.system) AS comments, (SELECT CAST(sum(empty) AS BIGINT) FROM c WHERE c.system = m.system) AS empty,
   round((SELECT avg(v) FROM c WHERE c.system = m.system), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high
 FROM m GROUP BY system""")

@@ -18,23 +18,27 @@ EVENT_SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING
 
 
 @query("jsonl_scan", sql="""
-SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events
-WHERE event_id % 97 <> 0 GROUP BY 1
-UNION ALL SELECT 'quarantined', count(*), NULL FROM events WHERE event_id % 97 = 0""")
+SELECT event_type AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum, NULL AS first_line, NULL AS last_line FROM events
+WHERE event_id % 97 <> 0 AND event_id % 89 <> 0 GROUP BY 1
+UNION ALL SELECT 'quarantined', count(*), NULL, min(line), max(line) FROM (
+  SELECT CASE WHEN event_id % 97 = 0 THEN left('{"event_id":' || event_id || ',"ts":"2024', 20)
+    ELSE '{"event_id":' || event_id || ',"value":"none"}' END AS line
+  FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0)""")
 def jsonl_scan(spark, sf):
     path = scratch_path(spark, "events-jsonl")
     e = tables.read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     line = F.to_json(F.struct("*"))
-    # Every 97th line is cut short, and a blank line follows it.
+    # Every 97th line is cut short, and a blank line follows it; every 89th has a word where a number belongs.
+    mistyped = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"value":"none"}'))
     broken = F.concat(F.left(line, F.lit(20)), F.lit("\n"))
-    e.select(F.when(F.col("event_id") % 97 == 0, broken).otherwise(line).alias("value")).write.text(path)
+    e.select(F.when(F.col("event_id") % 97 == 0, broken).when(F.col("event_id") % 89 == 0, mistyped).otherwise(line).alias("value")).write.text(path)
     scan = tables.scan_jsonl(spark, path, EVENT_SCHEMA)
-    # One pass: the corrupt flag is a grouping key, so good and quarantined rows are counted together.
-    kind = F.when(F.col(tables.CORRUPT).isNotNull(), "quarantined").otherwise(F.col("event_type"))
-    return scan.groupBy(kind.alias("kind")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(tables.CORRUPT).isNull(), F.col("event_id"))).alias("id_sum"),
-    )
+    good, bad = tables.split_quarantine(scan)
+    none = F.lit(None).cast("string")
+    counted = good.groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+    lines = bad.agg(F.count(F.lit(1)).alias("n"), F.min(tables.CORRUPT).alias("first_line"), F.max(tables.CORRUPT).alias("last_line"))
+    return counted.select("*", none.alias("first_line"), none.alias("last_line")).unionByName(
+        lines.select(F.lit("quarantined").alias("kind"), "n", F.lit(None).cast("long").alias("id_sum"), "first_line", "last_line"))
 
 
 @query("jsonl_append", sql="""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hindcast.functions.numeric import POISSON_ONE
 from collections.abc import Sequence
 
 
@@ -11,6 +12,12 @@ def u(*parts: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE)"
 
 
+def poisson_one(u_sql: str) -> str:
+    """The Poisson(1) draw at a uniform: how many of its cumulative probabilities the uniform has passed."""
+    edges = ", ".join(f"{p!r}::DOUBLE" for p in POISSON_ONE)
+    return f"len(list_filter([{edges}], lambda e: e <= {u_sql}))"
+
+
 def ratio(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) <> 0 THEN ({a})::DOUBLE / ({b}) ELSE 0.0::DOUBLE END)"
 

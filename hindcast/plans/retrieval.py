@@ -393,7 +393,7 @@ def tfidf_neighbours(spark, sf):
 best AS (SELECT l.doc_id, d.original AS gold, nn.number AS found, coalesce(nn.score, 0.0) AS sim FROM labels l
   LEFT JOIN dup d ON d.number = l.doc_id LEFT JOIN nn ON nn.q = l.doc_id AND rank = 1),
 s AS (SELECT sim, count(*) FILTER (WHERE found = gold) AS tp,
-  count(*) FILTER (WHERE found IS NOT NULL AND found IS DISTINCT FROM gold) AS fp FROM best GROUP BY sim ORDER BY sim DESC LIMIT 500),
+  count(*) FILTER (WHERE found IS NOT NULL AND found IS DISTINCT FROM gold) AS fp FROM best GROUP BY sim),
 c AS (SELECT sim, sum(tp) OVER (ORDER BY sim DESC) AS tp, sum(fp) OVER (ORDER BY sim DESC) AS fp FROM s)
 SELECT round(sim, 6) AS threshold, round(2.0 * tp / (tp + fp + (SELECT count(gold) FROM best)), 6) AS f1
 FROM c ORDER BY 2.0 * tp / (tp + fp + (SELECT count(gold) FROM best)) DESC, sim DESC LIMIT 1""")

@@ -281,18 +281,16 @@ def failures_sql(run):
     j = f"FROM gold g JOIN {p} p USING (doc_id)"
     miss = "list_sort(list_filter(g.labels, lambda v: NOT list_contains(p.labels, v)))"
     ext = "list_sort(list_filter(p.labels, lambda v: NOT list_contains(g.labels, v)))"
-    return f"""SELECT doc_id, '{run}' AS run_id, task, detail FROM (
-SELECT doc_id, 'T1' AS task, concat_ws('; ', CASE WHEN len({miss}) > 0 THEN 'missing: ' || array_to_string({miss}, ', ') END,
-  CASE WHEN len({ext}) > 0 THEN 'extra: ' || array_to_string({ext}, ', ') END) AS detail {j} WHERE human_triaged
-UNION ALL SELECT doc_id, 'T2', CASE WHEN g.duplicate_of IS NULL THEN 'false duplicate: said #' || p.duplicate_of
-    WHEN p.duplicate_of IS NULL THEN 'missed duplicate of #' || g.duplicate_of || CASE WHEN list_contains(duplicate_candidates, g.duplicate_of)
-      THEN ' (among candidates)' ELSE ' (not found)' END
-    ELSE 'wrong original: said #' || p.duplicate_of || ', truth #' || g.duplicate_of END {j}
-  WHERE g.duplicate_of IS DISTINCT FROM p.duplicate_of
-UNION ALL SELECT doc_id, 'T3', 'said ' || coalesce(p.component, 'nothing') || ', truth ' || g.component {j}
+    return f"""SELECT doc_id, '{run}' AS run_id, 'T1' AS task,
+  CASE WHEN len({miss}) > 0 THEN 'labels_left_out' ELSE 'labels_too_many' END AS code,
+  array_to_string({ext}, ',') AS said, array_to_string({miss}, ',') AS truth {j}
+  WHERE human_triaged AND len({miss}) + len({ext}) > 0
+UNION ALL SELECT doc_id, '{run}', 'T2', CASE WHEN g.duplicate_of IS NULL THEN 'link_invented' WHEN p.duplicate_of IS NOT NULL THEN 'link_wrong'
+    WHEN list_contains(duplicate_candidates, g.duplicate_of) THEN 'link_only_candidate' ELSE 'link_absent' END,
+  p.duplicate_of::VARCHAR, g.duplicate_of::VARCHAR {j} WHERE g.duplicate_of IS DISTINCT FROM p.duplicate_of
+UNION ALL SELECT doc_id, '{run}', 'T3', 'component', p.component, g.component {j}
   WHERE g.component IS NOT NULL AND g.component IS DISTINCT FROM p.component
-UNION ALL SELECT doc_id, 'T4', CASE WHEN p.needs_info THEN 'said needs info, wrongly' ELSE 'missed needs info' END {j}
-  WHERE g.needs_info <> p.needs_info) WHERE detail <> ''"""
+UNION ALL SELECT doc_id, '{run}', 'T4', 'info', p.needs_info::VARCHAR, g.needs_info::VARCHAR {j} WHERE g.needs_info <> p.needs_info"""
 
 
 @query("find_failures", *GP, sql=failures_sql("a"))
@@ -300,15 +298,12 @@ def find_failures(spark, sf):
     return failures(spark, sf, "a")
 
 
-CATEGORY = ("CASE task WHEN 'T1' THEN split_part(detail, ':', 1) ELSE task END")
-
-
 @query("failure_counts", "gold", "pred_a", "pred_b", sql=f"""
 WITH f AS ({failures_sql('a')} UNION ALL {failures_sql('b')}),
 s AS (SELECT doc_id FROM f GROUP BY doc_id HAVING count(DISTINCT run_id) = 2),
-c AS (SELECT {CATEGORY} AS category, count(*) FILTER (WHERE run_id = 'a') AS a, count(*) FILTER (WHERE run_id = 'b') AS b
+c AS (SELECT code AS category, count(*) FILTER (WHERE run_id = 'a') AS a, count(*) FILTER (WHERE run_id = 'b') AS b
   FROM f WHERE doc_id IN (SELECT doc_id FROM s) GROUP BY 1)
-SELECT category, a, b, a + b AS total, b - a AS delta FROM c ORDER BY total DESC, category LIMIT 6""")
+SELECT category, a, b, a + b AS total, b - a AS delta FROM c""")
 def failure_counts(spark, sf):
     rows = failures(spark, sf, "a").unionByName(failures(spark, sf, "b"))
-    return sc.failure_counts(rows.withColumn("category", F.expr(CATEGORY)), "category", ["a", "b"], "doc_id")
+    return sc.failure_counts(rows.withColumnRenamed("code", "category"), "category", ["a", "b"], "doc_id")

@@ -8,7 +8,7 @@ from hindcast.functions.numeric import prf, r6, zero_failure_bound
 from hindcast.operators import uncertainty as un
 from hindcast.operators.scoring import scored_items
 from hindcast.plans import fixtures as fx
-from hindcast.plans.oracle import u
+from hindcast.plans.oracle import poisson_one, u
 from hindcast.plans.registry import query
 from hindcast.sources.tables import read_table
 
@@ -19,13 +19,14 @@ def info_items(spark, sf, run):
     return items.select("doc_id", (gi & pi).alias("tp"), (~gi & pi).alias("fp"), (gi & ~pi).alias("fn"))
 
 
-DRAWS_SQL = f"""it AS (SELECT g.doc_id, row_number() OVER (ORDER BY g.doc_id) - 1 AS i, count(*) OVER () AS n,
+DRAWS_SQL = f"""it AS (SELECT g.doc_id,
   (g.needs_info AND a.needs_info)::INT AS tp, (NOT g.needs_info AND a.needs_info)::INT AS fp, (g.needs_info AND NOT a.needs_info)::INT AS fn,
   (g.needs_info AND b.needs_info)::INT AS tp2, (NOT g.needs_info AND b.needs_info)::INT AS fp2, (g.needs_info AND NOT b.needs_info)::INT AS fn2
   FROM gold g JOIN pred_a a USING (doc_id) JOIN pred_b b USING (doc_id)),
-dr AS (SELECT r, CAST(floor({u("'0'", 'r', 'i')} * n) AS BIGINT) AS i FROM it, range(1, 1001) t(r)),
-pr AS (SELECT r, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tp2) AS tp2, sum(fp2) AS fp2, sum(fn2) AS fn2
-  FROM dr JOIN it USING (i) GROUP BY r UNION ALL
+du AS (SELECT r, it.*, {u("'0'", 'r', 'doc_id')} AS uu FROM it, range(1, 1001) t(r)),
+dr AS (SELECT r, {poisson_one('uu')} AS w, tp, fp, fn, tp2, fp2, fn2 FROM du),
+pr AS (SELECT r, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn, sum(w * tp2) AS tp2, sum(w * fp2) AS fp2, sum(w * fn2) AS fn2
+  FROM dr GROUP BY r UNION ALL
   SELECT 0, sum(tp), sum(fp), sum(fn), sum(tp2), sum(fp2), sum(fn2) FROM it),
 m AS (SELECT r, CASE WHEN tp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS a,
   CASE WHEN tp2 + fn2 > 0 THEN 2.0::DOUBLE * tp2 / (2 * tp2 + fp2 + fn2) END AS b FROM pr)"""

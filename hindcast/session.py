@@ -28,14 +28,19 @@ def build_session(app: str = "hindcast", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def temporary_folder(master: str) -> str:
+    """A folder of this machine for a local master; on a cluster executors could not see it."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="hindcast-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is named."""
+    """The shared checkpoint folder the cluster names; a temporary one only in local mode with none named."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="hindcast-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or temporary_folder(context.master)
     context.setCheckpointDir(named)
     return named

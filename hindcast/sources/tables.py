@@ -13,16 +13,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Typed JSON-lines scan with a quarantine column; blank lines are skipped by the source.
+    """Typed JSON-lines scan with a quarantine column; blank lines are skipped.
 
-    Lines that do not parse keep their text in `_corrupt_record` instead of failing the scan.
+    A line that does not parse, or has a value of another type in any column of the schema, keeps its text in
+    `_corrupt_record`. Every line is parsed with the whole schema, so which lines are good does not depend on the columns read.
     """
-    return (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{schema}, {CORRUPT} STRING", options).alias("_line")).select("_line.*")
 
 
 def split_quarantine(scan: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,27 +32,27 @@ def items(spark, rows):
 
 def test_multilabel_and_links(spark):
     rows = [
-        (1, ["bug", "stdlib"], ["bug"], 10, 10), (2, ["feature"], ["feature", "stdlib"], 20, 99), (3, ["bug"], [], None, 40),
-        (4, [], [], None, None), (5, [], [], 30, None)]
+        (1, ["a", "b", "c"], ["a", "b"], 11, 11), (2, ["a"], ["a", "c"], 22, 22), (3, ["c"], ["c", "a"], None, 7),
+        (4, [], ["b"], None, None), (5, ["b"], [], 33, 50)]
     scores = {r["metric"]: r["point"] for r in scoring.point_scores(items(spark, rows)).collect()}
-    assert scores["t1_micro_f1"] == pytest.approx(4 / 7)
-    assert scores["t1_macro_f1"] == pytest.approx(5 / 9)
-    assert scores["t2_link_f1"] == pytest.approx(1 / 3)
-    assert scores["t2_detect_f1"] == pytest.approx(2 / 3)
+    assert scores["t1_micro_f1"] == pytest.approx(8 / 13)
+    assert scores["t1_macro_f1"] == pytest.approx(0.6)
+    assert scores["t2_link_f1"] == pytest.approx(4 / 7)
+    assert scores["t2_detect_f1"] == pytest.approx(6 / 7)
     # No component and no needs-info positives: undefined, not zero.
     assert scores["t3_accuracy"] is None and scores["t4_f1"] is None
 
 
 def test_weighted_binary(spark):
-    df = spark.createDataFrame([(True, True, 1.0), (True, False, 3.0)], "g boolean, p boolean, w double")
+    df = spark.createDataFrame([(True, True, 2.0), (True, False, 1.0), (False, True, 4.0)], "g boolean, p boolean, w double")
     counts = scoring.with_prf(df.agg(*scoring.binary_counts(F.col("g"), F.col("p"), F.col("w"))))
-    assert one(counts)["f1"] == pytest.approx(0.4)
+    assert one(counts)["f1"] == pytest.approx(4 / 9)
 
 
 def test_percentile_and_bound(spark):
-    df = spark.createDataFrame([(10.0,), (20.0,), (30.0,), (40.0,)], "v double")
+    df = spark.createDataFrame([(3.0,), (50.0,), (8.0,), (7.0,), (20.0,)], "v double")
     r = one(df.agg(uncertainty.percentile_linear(F.col("v"), 50).alias("a"), uncertainty.percentile_linear(F.col("v"), 95).alias("b")))
-    assert (r["a"], r["b"]) == (25.0, pytest.approx(38.5))
+    assert (r["a"], r["b"]) == (8.0, pytest.approx(44.0))
     b = one(spark.range(1).select(zero_failure_bound(F.lit(50)).alias("n"), zero_failure_bound(F.lit(0)).alias("z")))
     assert b["n"] == pytest.approx(0.058, abs=1e-3) and b["z"] == 1.0
 
@@ -194,14 +194,45 @@ def test_near_repeats_equal_brute_force(spark):
 def test_poisson_and_exact_bootstrap_agree(spark):
     df = spark.range(3000).select("id", (F.col("id") % 4 == 0).alias("hit"))
     args = ({"n": F.lit(1), "hit": F.col("hit")}, {"rate": F.col("hit") / F.col("n")})
-    exact = one(uncertainty.bootstrap_ci(df, "id", *args, resamples=200))
-    poisson = one(uncertainty.bootstrap_ci(df, "id", *args, resamples=200, exact_items=100))
+    exact = one(uncertainty.bootstrap_ci(df, "id", *args, resamples=200, exact=True))
+    poisson = one(uncertainty.bootstrap_ci(df, "id", *args, resamples=200))
     assert exact["point"] == poisson["point"] == 0.25
     for side in ("low", "high"):
         assert exact[side] == pytest.approx(poisson[side], abs=0.006)
         assert abs(exact[side] - 0.25) == pytest.approx(1.96 * (0.25 * 0.75 / 3000) ** 0.5, abs=0.004)
 
 
+def test_bootstrap_has_one_law_at_every_size(spark):
+    """An item's weights depend on seed, resample and item only: the same among ten items and among 20,001."""
+    draws = lambda n: uncertainty.resampled(spark.range(n), "id", resamples=20).filter("id < 10 AND r > 0")
+    few, many = ({(r["id"], r["r"]): r["w"] for r in draws(n).collect()} for n in (10, 20_001))
+    assert few == many and 100 < len(few) < 150
+
+
+def test_malformed_lines_come_back_whole(spark, tmp_path):
+    from hindcast.sources import tables
+
+    lines = ['{"a":1,"b":2.5}', '{"a":2,"b":"zzz"}', '{"a":3,', "", '{"a":4}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    good, bad = tables.split_quarantine(tables.scan_jsonl(spark, str(tmp_path), "a LONG, b DOUBLE"))
+    assert {r[0] for r in bad.collect()} == {lines[1], lines[2]}
+    assert {r["a"] for r in good.select("a").collect()} == {1, 4}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from hindcast import session
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.temporary_folder("spark://host:7077")
+    assert session.temporary_folder("local[8]")
+
+
+def test_threshold_sweeps_all_similarities(spark):
+    rows = [(i, None, i + 0.5, 1 - i / 2000) for i in range(900)] + [(5000 + i, 7.0, 7.0, 0.4 - i / 1000) for i in range(200)]
+    best = spark.createDataFrame(rows, "number long, gold double, found double, sim double")
+    assert one(lexical.tune_threshold(best))["threshold"] == pytest.approx(0.4 - 199 / 1000)
+
+
 def test_whole_file_is_refused(spark):
     answers = spark.createDataFrame([(1, ["bug"], None), (2, ["bug", "feature"], "core")], "id long, labels array<string>, component string")
     known = answers.select("id")
