@@ -285,13 +285,25 @@ class Trained:
         self.vocabulary, self.parameters, self.counts = vocabulary, parameters, counts
 
 
+def frequent_words(words: DataFrame) -> DataFrame:
+    """The words of the highest counts, HEAD at most: whole counts only, so that no task sends its own HEAD rows to be ranked."""
+    classes = words.groupBy("n").agg(F.count("*").alias("_same")).orderBy(F.desc("n")).limit(HEAD).collect()
+    taken, least = 0, None
+    for row in classes:
+        taken += row["_same"]
+        if taken > HEAD:
+            break
+        least = row["n"]
+    return words.filter(F.lit(False)) if least is None else words.filter(F.col("n") >= least)
+
+
 def train(docs: DataFrame, *, text: str = "text", rounds: int = 1) -> Trained:
     """Learn from every row of `docs`. Null text: an end only. Empty table: all words are unseen."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = materialise(texts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     words = counts.filter(F.col("word") != END)
-    head = words.orderBy(F.col("n").desc(), "word").limit(HEAD).collect()  # HEAD rows at most
+    head = sorted(frequent_words(words).collect(), key=lambda r: (-r["n"], r["word"]))
     ends = counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
     totals = counts.filter("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     frequent = {r["word"] for r in head[:WORDS]}
