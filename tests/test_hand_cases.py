@@ -155,7 +155,10 @@ def test_dense_blocks_agree(spark):
     v = spark.createDataFrame(rows, "number long, created long, embedding array<double>")
     q = v.select(F.col("number").alias("q"), F.col("created").alias("as_of"), "embedding")
     whole = {tuple(r) for r in dense.dense_topk(q, v, "number", 3).collect()}
-    assert whole == {tuple(r) for r in dense.dense_topk(q, v, "number", 3, block=7).collect()}
+    assert whole == {tuple(r) for r in dense.dense_topk(q, v, "number", 3, block=7, chunk=11).collect()}
+    out = spark.createDataFrame([(r[0], r[1]) for r in whole if r[3] == 1], "q long, number long")
+    without = dense.dense_topk(q, v, "number", 2, block=7, chunk=11, exclude=out).collect()
+    assert {(r["q"], r["number"], r["rank"] + 1) for r in without} == {(r[0], r[1], r[3]) for r in whole if r[3] > 1}
 
 
 def test_running_totals_with_a_hot_value(spark):
