@@ -26,31 +26,36 @@ def last_before(
 ) -> DataFrame:
     """The last event before each request's moment, per `sub` (e.g. label) within the key.
 
-    Events are first compressed to one row per (key, sub, day), a partial aggregate, so a key
-    with a third of all events shuffles days, not events. Each compressed row is valid until
-    the next one, which makes the history join yield one row per (request, sub). Only the
-    request's own day is looked up at event level, by an equi join on (key, day).
+    Looked up in three steps: the last event day before the request's day, the last minute before its minute inside that
+    day, the last moment before its own inside that minute; the finest one found holds. In each step events are first compressed to
+    one row per unit by a partial aggregate, the requested units ride in the same timeline, and a window carries the
+    value forward. No step pairs requests with events: rows are events, or requested units once per `sub`, which is
+    what comes out.
     """
-    keys, subs = [key], list(sub)
-    value = F.struct(*payload)
+    subs = list(sub)
     order = F.struct(F.col(at), F.col(seq))
-    day = F.col(at).cast("date")
-    asked = requests.select(key, as_of).distinct().withColumn("_rday", F.col(as_of).cast("date"))
-    daily = events.groupBy(*keys, *subs, day.alias("_day")).agg(
-        F.max_by(value, order).alias("_v"), F.max(order).alias("_o")
-    )
-    timeline = Window.partitionBy(*keys, *subs).orderBy("_day")
-    valid = daily.withColumn("_until", F.lead("_day").over(timeline))
-    carried = asked.join(valid, key).filter(
-        (F.col("_day") < F.col("_rday")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("_rday")))
-    )
-    same_day = (
-        asked.join(events.withColumn("_rday", day), [key, "_rday"])
-        .filter(F.col(at) < F.col(as_of))
-        .select(key, as_of, *subs, value.alias("_v"), order.alias("_o"))
-    )
-    both = carried.select(key, as_of, *subs, "_v", "_o").unionByName(same_day)
-    return both.groupBy(key, as_of, *subs).agg(F.max_by("_v", "_o").alias("_v")).select(key, as_of, *subs, "_v.*")
+
+    def units(moment: Column) -> list[Column]:
+        exact = micros(moment)
+        return [F.unix_date(moment.cast("date")).cast("long"), F.floor(exact / 60_000_000), exact]
+
+    names = ["_day", "_minute", "_exact"]
+    asked = requests.select(key, as_of).distinct().select("*", *[u.alias(n) for n, u in zip(names, units(F.col(as_of)), strict=True)])
+    seen = events.select(
+        key, *subs, F.struct(*payload).alias("_v"), order.alias("_o"), *[u.alias(n) for n, u in zip(names, units(F.col(at)), strict=True)])
+    found = None
+    for level, unit in enumerate(names):
+        inside = [key, *names[max(0, level - 1) : level]]  # a minute lies in one day, a moment in one minute
+        happened = seen.groupBy(*inside, *subs, unit).agg(F.max_by("_v", "_o").alias("_v"))
+        wanted = asked.select(*inside, unit).distinct().join(seen.select(*inside, *subs).distinct(), inside)
+        marks = happened.withColumn("_asked", F.lit(False)).unionByName(
+            wanted.select(*inside, *subs, unit, F.lit(None).cast(happened.schema["_v"].dataType).alias("_v"), F.lit(True).alias("_asked")))
+        earlier = Window.partitionBy(*inside, *subs).orderBy(unit).rangeBetween(Window.unboundedPreceding, -1)
+        carried = marks.withColumn("_last", F.last("_v", ignorenulls=True).over(earlier)).filter("_asked AND _last IS NOT NULL")
+        part = asked.join(carried.select(*inside, *subs, unit, "_last"), [*inside, unit]).select(
+            key, as_of, *subs, "_last", F.lit(level).alias("_level"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy(key, as_of, *subs).agg(F.max_by("_last", "_level").alias("_v")).select(key, as_of, *subs, "_v.*")
 
 
 def title_at_creation(issues: DataFrame, renames: DataFrame, key: str) -> DataFrame:

@@ -50,7 +50,7 @@ def asof_stats(terms: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFr
 
     df counts are first summed per (term, hour), so what meets the queries is calendar-sized per
     term even when a term is in a third of all documents; only a query's own hour is looked at
-    posting by posting.
+    moment by moment.
     """
     collection = counts_before(
         terms, "as_of", lengths, "created", {"n_docs": F.count(F.lit(1)), "sum_len": F.sum("doc_len")})
@@ -64,10 +64,13 @@ def asof_stats(terms: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFr
         hours.select("term", "_h", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask")))
     before = Window.partitionBy("term").orderBy("_h").rangeBetween(Window.unboundedPreceding, -1)
     earlier = marks.withColumn("_df", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter("_ask = 1")
-    own_hour = (
-        asked.join(wanted.withColumn("_h", F.floor(F.col("created") / HOUR)), ["term", "_h"])
-        .filter("created < as_of").groupBy("term", "as_of").agg(F.count(F.lit(1)).alias("_own"))
-    )
+    # Inside the hour requests ride in the timeline of moments, so nothing pairs them with postings.
+    moments = wanted.groupBy("term", F.col("created").alias("_at")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_ask", F.lit(0))
+    inside = moments.unionByName(
+        asked.select("term", F.col("as_of").alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_ask")))
+    strictly = Window.partitionBy("term", "_h").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    own_hour = inside.withColumn("_h", F.floor(F.col("_at") / HOUR)).withColumn(
+        "_own", F.sum("_n").over(strictly)).filter("_ask = 1").select("term", F.col("_at").alias("as_of"), "_own")
     df = asked.join(earlier.select("term", "_h", "_df"), ["term", "_h"]).join(
         own_hour, ["term", "as_of"], "left").select(
         "term", "as_of", (F.col("_df") + F.coalesce("_own", F.lit(0))).alias("df"))
