@@ -4,7 +4,8 @@ A window with no partition key sorts the whole table in one task. Here rows are
 value-ordered buckets whose edges are approximate quantiles (one small aggregate, read back as
 a scalar subquery). Totals per bucket are few, so their running sum is cheap; the row-level
 window then runs inside each bucket. The edges only balance the work: any edges give exact
-results.
+results. The number of buckets follows the number of rows, and the input is written once before it is read for
+edges, totals and rows.
 
 A value so frequent that it is an edge itself gets a bucket of its own, and such a bucket is
 split further by the tie-break column, so a third of all rows on one value is no hot task.
@@ -17,22 +18,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.sources.scratch import materialise
+
 BUCKETS = 128
+ROWS_PER_BUCKET = 20_000
+MOST_BUCKETS = 4096  # edges are one array in every task
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of about ROWS_PER_BUCKET rows; beyond MOST_BUCKETS of them buckets grow instead."""
+    return max(8, min(MOST_BUCKETS, df.count() // ROWS_PER_BUCKET + 1))
 
 
 def _edges(df: DataFrame, column: str, buckets: int) -> Column:
     points = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10_000)).scalar()
+    return df.agg(F.percentile_approx(F.col(column).cast("double"), points, max(10_000, 10 * buckets))).scalar()
 
 
 def _edges_passed(edges: str, value: Column, strict: bool) -> Column:
-    """How many edges lie below (or up to) the value.
+    """How many edges lie below (or up to) the value, by binary search; none for null.
 
     The value goes in as a one-element array, so it is computed once per row: written straight
-    into the filter, the optimiser would inline its whole expression and run it once per edge.
+    into the search, the optimiser would inline its whole expression and run it once per step.
     """
-    return F.transform(
-        F.array(value), lambda v: F.size(F.filter(edges, (lambda e: e < v) if strict else (lambda e: e <= v))))[0]
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(MOST_BUCKETS.bit_length()))])
+
+    def search(v: Column) -> Column:
+        def further(at: Column, step: Column) -> Column:
+            edge = F.get(F.col(edges), at + step - 1)  # null beyond the last edge
+            return F.when(edge < v if strict else edge <= v, at + step).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), further)
+
+    return F.transform(F.array(value), search)[0]
 
 
 def with_buckets(df: DataFrame, key: str, tie: str | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -63,13 +81,14 @@ def running_totals(
     descending: bool = False,
     inclusive: bool = True,
     prefix: str = "cum_",
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Running sums of `sums` over the whole table in (key, tie) order, as `cum_<name>`.
 
     (key, tie) must be unique: aggregate by key first, or pass a unique tie-break.
     """
-    staged = with_buckets(df, key, tie, buckets)
+    df = materialise(df, "ordering")
+    staged = with_buckets(df, key, tie, bucket_count(df) if buckets is None else buckets)
     per_bucket = staged.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     # One row per bucket: the count is bounded by the number of edges, whatever the data size.
