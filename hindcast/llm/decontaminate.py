@@ -26,6 +26,7 @@ from hindcast.sources.scratch import materialise
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 2 << 20
 RESULT = "struct<n_words: bigint, spans: array<struct<start: bigint, end: bigint>>, items: array<string>, kept: string>"
 _ARROW = pa.struct([
     ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -159,7 +160,7 @@ def _annotate(block):
     def annotate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             rows = []
-            for _, _, data, offsets in bytetext.chunks(batch):
+            for _, _, data, offsets in bytetext.chunks(batch, SHARD_BYTES):
                 rows.extend(_shard(block.value, data, offsets))
             yield pa.array(rows, _ARROW)
 

@@ -35,7 +35,7 @@ LIMIT = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 END_ID = 2
-CACHE = 1_500_000
+CACHE = 1_000_000
 LOOK = 256
 TEXTS = 512
 #: White space other than space and line feed.

@@ -121,7 +121,7 @@ def _segments(window: int, shards: int):
             flat = lists.flatten()
             place, anchor, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             start, count = _start(place), _windows(place)
-            for first, last, data, offsets in bytetext.chunks(batch.column("text")):
+            for first, last, data, offsets in bytetext.chunks(batch.column("text"), 4 * bytetext.CHUNK_BYTES):
                 a, b = run_ends[first], run_ends[last]
                 doc = np.repeat(np.arange(first, last), np.diff(run_ends[first : last + 1]))
                 starts, ends, bounds = bytetext.words(data, offsets)
