@@ -94,7 +94,7 @@ def bias_shift(spark, sf):
 WITH c AS (SELECT role AS system, conv_id * 1000 + turn AS item, CASE WHEN {u("'e'", 'conv_id', 'turn')} < 0.1 THEN 1
     ELSE 1 + floor({u("'s'", 'conv_id', 'turn')} * 4) END::DOUBLE AS v, ({u("'e'", 'conv_id', 'turn')} < 0.1)::INT AS empty FROM conversations),
 d AS (SELECT system, r, v, {u("'0'", 'r', 'item')} AS uu FROM c, range(1, 1001) t(r)),
-m AS (SELECT system, r, sum(w * v) / sum(w) AS m FROM (SELECT system, r, v, {poisson_one('uu')} AS w FROM d) GROUP BY ALL)
+m AS (SELECT system, r, sum(w * v) / sum(w) AS m FROM (SELECT system, r, v, {poisson_one('uu')} AS w FROM d) GROUP BY ALL HAVING sum(w) > 0)
 SELECT system, (SELECT count(*) FROM c WHERE c.system = m.system) AS comments, (SELECT CAST(sum(empty) AS BIGINT) FROM c WHERE c.system = m.system) AS empty,
   round((SELECT avg(v) FROM c WHERE c.system = m.system), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high
 FROM m GROUP BY system""")
