@@ -15,16 +15,14 @@ from hindcast.llm.queries import TOKENIZERS, table
 from hindcast.sources.scratch import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes when it is likelier toxic than not.
-TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade is above 0 with probability under TOXIC, by a model of the labelled ones."""
+    """Documents whose grade is above 0 with probability under toxicity.REJECT, by a model of the labelled ones."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.withColumn("_toxicity", toxicity.score(docs, F.col("text"), model))
-    return scored.filter(F.col("_toxicity.p_toxic") < TOXIC).select(*COLUMNS)
+    return scored.filter(F.col("_toxicity.p_toxic") < toxicity.REJECT).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_held_out_toxicity(spark):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
     model = toxicity.train(docs, labels.filter(~fold))
     scored = docs.join(labels.filter(fold), "doc_id").select("toxic", toxicity.score(docs, F.col("text"), model).alias("s")).collect()
-    right = sum((r.s.p_toxic >= 0.5) == (r.toxic == 1) for r in scored)
+    right = sum((r.s.p_toxic >= toxicity.REJECT) == (r.toxic == 1) for r in scored)
     assert right / len(scored) >= 0.97 and any(r.toxic == 1 for r in scored)
     assert all(0 <= r.s.severity <= 2 for r in scored)
 
