@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.llm import bytetext
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise, scratch_path
 
@@ -35,7 +36,7 @@ LIMIT = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 END_ID = 2
-CACHE = 1_000_000
+CACHE = 700_000
 LOOK = 256
 TEXTS = 512
 #: White space other than space and line feed.
@@ -132,6 +133,7 @@ def _encoded(definition, batches, end: int, *more: str) -> Iterator[tuple]:
             texts = [t or "" for t in some.column("text").to_pylist()]
             ids = [np.frombuffer(b + tail, "<u4") for b in encoder.encode(texts)]
             yield some.column("doc_id").to_pylist(), ids, *[some.column(c) for c in more]
+        bytetext.release()
 
 
 # --- code --------------------------------------------------------------------------------------------------------------
