@@ -64,13 +64,17 @@ def route_cascade(cheap: DataFrame, full: DataFrame, key: str, tau: float) -> Da
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         part = f"part={batch_id}"
-        batch.select(key, "signal", "escalated").write.mode("overwrite").parquet(f"{path}/log/{part}")
-        kept = batch.filter(~F.col("escalated")).withColumn("decided_by", F.lit("cheap tier"))
-        kept.write.mode("overwrite").parquet(f"{path}/kept/{part}")
-        up = batch.filter("escalated").join(f, key).select(
-            key, "signal", F.col("_fa").alias("answer"), (F.col("cost") + F.col("_fc")).alias("cost"), "escalated",
-            F.lit("escalated").alias("decided_by"))
-        up.write.mode("overwrite").parquet(f"{path}/escalated/{part}")
+        batch = batch.persist()  # three sinks, one computation of the micro-batch
+        try:
+            batch.select(key, "signal", "escalated").write.mode("overwrite").parquet(f"{path}/log/{part}")
+            kept = batch.filter(~F.col("escalated")).withColumn("decided_by", F.lit("cheap tier"))
+            kept.write.mode("overwrite").parquet(f"{path}/kept/{part}")
+            up = batch.filter("escalated").join(f, key).select(
+                key, "signal", F.col("_fa").alias("answer"), (F.col("cost") + F.col("_fc")).alias("cost"), "escalated",
+                F.lit("escalated").alias("decided_by"))
+            up.write.mode("overwrite").parquet(f"{path}/escalated/{part}")
+        finally:
+            batch.unpersist()
 
     run_available(routed.writeStream.foreachBatch(sink), "router", spark)
     columns = [key, "signal", "escalated", "answer", "cost", "decided_by"]
