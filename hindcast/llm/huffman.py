@@ -36,9 +36,9 @@ LIMIT = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 END_ID = 2
-CACHE = 700_000
+CACHE = 500_000
 LOOK = 256
-TEXTS = 512
+TEXTS = 128
 #: White space other than space and line feed.
 OTHER_SPACE = tuple(
     "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
