@@ -1,14 +1,16 @@
 """Log-bilinear language model: counts over the whole corpus, noise-contrastive training, normalised scores.
 
-Words fall into classes: each of the `WORDS` most frequent is its own, the others share `OTHERS` classes by their last two bytes, and
-the end of a text is a class. The model predicts the next class from the two before it: the context vector is
-R[h1] * c1 + R[h2] * c2 (elementwise), a class scores its product with Q[class] plus a bias. Within a shared class a
-word has its share of the counts. So every token has a normalised probability, and the normaliser of a context is one
-matrix product, kept per worker for all contexts met.
-
-Training is one pass over all training tokens: every task runs noise-contrastive estimation (noise: the class frequencies, shared by a
-batch) on its own texts from the same start, and Spark averages the parameters by tokens. Counts are one aggregate over all training
-words. Only the `HEAD` most frequent words travel to the tasks; the rare words of a text meet their counts in a join.
+Each of the `HEAD` most frequent words is a unit with its own vectors, as target and as context. A rarer word belongs to one of
+`OTHERS` classes by its last two bytes and to a leaf of that class by its hash; a leaf is a unit. The number of leaves follows the
+number of rarer words up to `LEAVES` a class. The end of a text is a unit. The model predicts the next unit from the two before it in
+two steps: the context vector R[h1] * c1 + R[h2] * c2 (elementwise) first chooses a class - the end, one of the `ALONE` most frequent
+words, a group of the other head words by their endings, or a class of rarer words - and then the unit inside the class. Both
+steps score products with a vector plus a bias, and both are normalised exactly. Within a leaf a word has its share of the counts.
+
+Training is one pass over all training tokens: every task runs noise-contrastive estimation for both steps (noise: the frequencies of the
+classes, shared by a batch, and of the units of a class) on its own texts from the same start, and Spark averages each unit's vectors by
+the times a task moved them. Counts are one aggregate over all training words. Only the `HEAD` most frequent words travel to the
+tasks; the rare words of a text meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -26,13 +28,18 @@ from hindcast.llm import bytetext
 from hindcast.llm.columns import pack, packed, unpack
 from hindcast.sources.scratch import materialise
 
-WORDS = 1000
-OTHERS = 24
 HEAD = 65_536
+ALONE = 127
+GROUPS = 192
+OTHERS = 24
+LEAVES = 2048
+PER_LEAF = 8  # words of a leaf, as long as LEAVES allows
 SMOOTH = 0.1
 SIZE = 24
 NOISE = 24
+INNER = 4
 BATCH = 4096
+BLOCK = 256
 RATE = 0.1
 END = ""  # no word is empty
 LN10 = np.log(10.0)
@@ -45,39 +52,58 @@ def _suffix_class(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return (last * 31 + before) % OTHERS
 
 
-@F.arrow_udf(T.IntegerType())
-def suffix_class(words: pa.Array) -> pa.Array:
-    """The shared class of a word, were it not frequent; -1 for the end of text."""
-    data, offsets = bytetext.string_bytes(words)
-    starts, ends = offsets[:-1], offsets[1:]
-    full = ends > starts
-    out = np.full(len(starts), -1, np.int32)
-    if full.any():
-        out[full] = _suffix_class(data, starts[full], ends[full])
-    return pa.array(out)
+def _leaf(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
+    """0 .. OTHERS * width - 1: the leaf of a word, were it rare."""
+    return _suffix_class(data, starts, ends) * width + (hashes >> np.uint64(20)).astype(np.int64) % width
+
+
+def leaf_of(width: int):
+    @F.arrow_udf(T.IntegerType())
+    def leaf(words: pa.Array) -> pa.Array:
+        """The leaf of a word (not empty)."""
+        data, offsets = bytetext.string_bytes(words)
+        starts, ends = offsets[:-1], offsets[1:]
+        return pa.array(_leaf(data, starts, ends, bytetext.word_hashes(data, starts, ends), width).astype(np.int32))
+
+    return leaf
+
+
+class Units:
+    """Frequencies of the units, those of a class side by side: class k has the units bounds[k] .. bounds[k + 1] - 1."""
+
+    def __init__(self, weights: np.ndarray, bounds: np.ndarray):
+        self.bounds = bounds
+        self.noise = (weights + SMOOTH) / (weights + SMOOTH).sum()
+        self.owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.cumulative = np.cumsum(self.noise)
+        self.classes = np.add.reduceat(self.noise, bounds[:-1])
+        self.inside = self.noise / self.classes[self.owner]
+        self.many = np.diff(bounds) > 1
+
+    def __len__(self) -> int:
+        return len(self.noise)
 
 
 class Vocabulary:
-    """The most frequent words with counts and classes, and the weight of each shared class."""
+    """The most frequent words with counts and units, and the weight of each leaf."""
 
     def __init__(self, words: list[str], counts: list[int], ends: int, total: int, distinct: int, masses: np.ndarray):
         raw = [w.encode() for w in words]
         hashes = np.array([bytetext.hash_of(w) for w in raw], np.uint64)
-        classes = np.arange(1, len(words) + 1)
-        if len(words) > WORDS:
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            stop = np.cumsum([len(w) for w in raw])
-            start = stop - [len(w) for w in raw]
-            classes[WORDS:] = WORDS + 1 + _suffix_class(data, start[WORDS:], stop[WORDS:])
+        # Words of like endings are neighbours in a group.
+        order = list(range(min(ALONE, len(words)))) + sorted(range(ALONE, len(words)), key=lambda i: raw[i][::-1])
+        units = np.empty(len(words), np.int64)
+        units[order] = np.arange(1, len(words) + 1)
         by = np.argsort(hashes)
-        self.hashes, self.counts, self.classes = hashes[by], np.array(counts, np.int64)[by], classes[by]
+        self.hashes, self.counts, self.units = hashes[by], np.array(counts, np.int64)[by], units[by]
         self.ends, self.total, self.distinct = ends, total, distinct
-        self.masses = masses  # sum of count + SMOOTH over the words of a shared class, and one unseen word
-        frequent = np.zeros(WORDS + 1 + OTHERS)
-        frequent[0] = ends
-        frequent[1 : min(len(words), WORDS) + 1] = counts[:WORDS]
-        frequent[WORDS + 1 :] = masses
-        self.noise = (frequent + SMOOTH) / (frequent + SMOOTH).sum()
+        self.masses = masses  # sum of count + SMOOTH over the words of a leaf, and one unseen word
+        self.width = len(masses) // OTHERS
+        self.rest = 1 + len(words)  # unit of the first leaf
+        alone = min(ALONE, len(words))
+        groups = np.linspace(1 + alone, self.rest, min(GROUPS, len(words) - alone) + 1).astype(np.int64)
+        bounds = np.concatenate([np.arange(1 + alone), groups, self.rest + self.width * np.arange(1, OTHERS + 1)])
+        self.noise = Units(np.concatenate([[ends], np.array(counts, float)[order], masses]), bounds)
 
     @property
     def floor(self) -> float:
@@ -85,7 +111,7 @@ class Vocabulary:
 
 
 class Tokens:
-    """Classes of the tokens of some texts, the end of text included."""
+    """Units of the tokens of some texts, the end of text included."""
 
     def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray):
         self.data = bytetext.LOWER[data]
@@ -96,104 +122,162 @@ class Tokens:
             self.known = vocabulary.hashes[self.at] == hashes
         else:
             self.at, self.known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        word_class = np.empty(len(hashes), np.int64)
-        word_class[self.known] = vocabulary.classes[self.at[self.known]]
-        rare = ~self.known
-        word_class[rare] = WORDS + 1 + _suffix_class(self.data, self.starts[rare], self.ends[rare])
+        word_unit = np.empty(len(hashes), np.int64)
+        word_unit[self.known] = vocabulary.units[self.at[self.known]]
+        rare = np.flatnonzero(~self.known)
+        self.leaves = _leaf(self.data, self.starts[rare], self.ends[rare], hashes[rare], vocabulary.width)  # of the rare tokens
+        word_unit[rare] = vocabulary.rest + self.leaves
         docs = len(offsets) - 1
         self.doc = np.repeat(np.arange(docs), np.diff(self.bounds))
-        self.classes = np.zeros(len(hashes) + docs, np.int64)
-        self.classes[np.arange(len(hashes)) + self.doc] = word_class
+        self.units = np.zeros(len(hashes) + docs, np.int64)
+        self.units[np.arange(len(hashes)) + self.doc] = word_unit
         self.first = self.bounds[:-1] + np.arange(docs)  # token number of each text's first token
-        self.one = np.zeros(len(self.classes), np.int64)
-        self.two = np.zeros(len(self.classes), np.int64)
-        self.one[1:] = self.classes[:-1]
-        self.two[2:] = self.classes[:-2]
+        self.one = np.zeros(len(self.units), np.int64)
+        self.two = np.zeros(len(self.units), np.int64)
+        self.one[1:] = self.units[:-1]
+        self.two[2:] = self.units[:-2]
         self.one[self.first] = self.two[self.first] = 0
         second = self.first + 1
         self.two[second[second < len(self.two)]] = 0
 
 
 class Model:
-    def __init__(self, noise: np.ndarray, size: int = SIZE):
+    """Rows of a unit (context, target, bias of the second step), then rows of a class (target, bias of the first), then positions."""
+
+    def __init__(self, units: Units, size: int = SIZE):
         rng = np.random.default_rng(7)
-        n = len(noise)
-        self.noise = noise
-        self.shapes = [(n, size), (n, size), (2, size), (n,)]
-        self.context = rng.normal(0, 0.1, (n, size))
-        self.target = rng.normal(0, 0.1, (n, size))
-        self.position = np.array([[1.0] * size, [0.5] * size])
-        self.bias = np.log(noise)
+        self.units, self.size = units, size
+        n, k = len(units), len(units.classes)
+        self.unit = np.zeros((n, 2 * size + 1), np.float32)
+        self.unit[:, :size] = rng.normal(0, 0.1, (n, size))
+        self.unit[:, -1] = np.log(units.inside)
+        self.top = np.zeros((k, size + 1), np.float32)
+        self.top[:, :size] = rng.normal(0, 0.1, (k, size))
+        self.top[:, -1] = np.log(units.classes)
+        self.position = np.array([[1.0] * size, [0.5] * size], np.float32)
+        self._views()
+
+    def _views(self) -> None:
+        size = self.size
+        self.context, self.target, self.bias = self.unit[:, :size], self.unit[:, size:-1], self.unit[:, -1]
+        self.top_target, self.top_bias = self.top[:, :size], self.top[:, -1]
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.position, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.unit, self.top, self.position)])
 
     def load(self, flat: np.ndarray) -> Model:
-        parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1])
-        self.context, self.target, self.position, self.bias = (p.reshape(s) for p, s in zip(parts, self.shapes, strict=True))
+        shapes = [self.unit.shape, self.top.shape, self.position.shape]
+        parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+        self.unit, self.top, self.position = (np.array(p, np.float32).reshape(s) for p, s in zip(parts, shapes, strict=True))
+        self._views()
         return self
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> int:
-        """One pass of noise-contrastive estimation with Adagrad; returns the tokens seen."""
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+        """One pass of noise-contrastive estimation with Adagrad; returns the tokens seen, and how often each unit's context
+        vector and target vector were moved."""
         rng = np.random.default_rng(11)
-        n, size = self.context.shape
-        expected = np.log(NOISE * self.noise)
-        power = [np.full_like(x, 1e-3) for x in (self.context, self.target, self.position, self.bias)]
+        u, size = self.units, self.size
+        n, k = len(u), len(u.classes)
+        expected = np.log(NOISE * u.classes).astype(np.float32)
+        expected_inside = np.log(INNER * u.inside).astype(np.float32)
+        past = [np.full_like(x, 1e-3) for x in (self.context, self.target, self.bias, self.top_target, self.top_bias, self.position)]
         column = np.arange(size)
-        cumulative = np.cumsum(self.noise)
-        seen = 0
+        cumulative = np.cumsum(u.classes)
+        before = np.concatenate([[0.0], u.cumulative])
+        seen, as_context, as_target = 0, np.zeros(n, np.int64), np.zeros(n, np.int64)
 
-        def scatter(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        def summed(rows: np.ndarray, values: np.ndarray, length: int) -> np.ndarray:
             flat = (rows[:, None] * size + column).ravel()
-            return np.bincount(flat, weights=values.ravel(), minlength=n * size).reshape(n, size)
+            return np.bincount(flat, weights=values.ravel(), minlength=length * size).reshape(length, size)
+
+        def move(value: np.ndarray, power: np.ndarray, gradient: np.ndarray, at=slice(None)) -> None:
+            gradient = (gradient / np.sqrt(b)).astype(np.float32)
+            grown = power[at] + gradient * gradient
+            power[at] = grown
+            value[at] += RATE * gradient / np.sqrt(grown)
 
         for word, one, two in batches:
             b = len(word)
             seen += b
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), n - 1)
+            kind = u.owner[word]
+            drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), k - 1)
             r1, r2 = self.context[one], self.context[two]
             hidden = r1 * self.position[0] + r2 * self.position[1]
-            q = self.target[word]
-            true = 1 / (1 + np.exp((hidden * q).sum(1) + self.bias[word] - expected[word]))
-            false = -1 / (1 + np.exp(-(hidden @ self.target[drawn].T + self.bias[drawn] - expected[drawn])))
-            back = true[:, None] * q + false @ self.target[drawn]
-            g_target = scatter(word, true[:, None] * hidden)
+            q = self.top_target[kind]
+            true = 1 / (1 + np.exp((hidden * q).sum(1) + self.top_bias[kind] - expected[kind]))
+            false = -1 / (1 + np.exp(-(hidden @ self.top_target[drawn].T + self.top_bias[drawn] - expected[drawn])))
+            back = true[:, None] * q + false @ self.top_target[drawn]
+            g_target = summed(kind, true[:, None] * hidden, k)
             np.add.at(g_target, drawn, false.T @ hidden)
-            g_bias = np.bincount(word, weights=true, minlength=n)
+            g_bias = np.bincount(kind, weights=true, minlength=k)
             np.add.at(g_bias, drawn, false.sum(0))
-            g_context = scatter(one, back * self.position[0]) + scatter(two, back * self.position[1])
-            g_position = np.stack([(back * r1).sum(0), (back * r2).sum(0)])
-            for value, gradient, past in zip(
-                (self.context, self.target, self.position, self.bias), (g_context, g_target, g_position, g_bias), power, strict=True):
-                gradient /= np.sqrt(b)
-                past += gradient * gradient
-                value += RATE * gradient / np.sqrt(past)
-        return seen
+            # Inside the class: noise from the units of the token's own class.
+            some = np.flatnonzero(u.many[kind])
+            low, high = u.bounds[kind[some]], u.bounds[kind[some] + 1]
+            at = before[low][:, None] + rng.random((len(some), INNER)) * (before[high] - before[low])[:, None]
+            cells = np.empty((len(some), 1 + INNER), np.int64)
+            cells[:, 0] = word[some]
+            cells[:, 1:] = np.clip(np.searchsorted(u.cumulative, at), low[:, None], high[:, None] - 1)
+            h, t = hidden[some], self.target[cells]
+            pull = -1 / (1 + np.exp(-(np.einsum("ms,mjs->mj", h, t) + self.bias[cells] - expected_inside[cells])))
+            pull[:, 0] += 1
+            back[some] += np.einsum("mj,mjs->ms", pull, t)
+            touched, index = np.unique(cells, return_inverse=True)
+            index = index.ravel()
+            as_target[touched] += np.bincount(index, minlength=len(touched))
+            g_unit = summed(index, pull[:, :, None] * h[:, None, :], len(touched))
+            move(self.target, past[1], g_unit, touched)
+            move(self.bias, past[2], np.bincount(index, weights=pull.ravel(), minlength=len(touched)), touched)
+            met, index = np.unique(np.concatenate([one, two]), return_inverse=True)
+            as_context[met] += np.bincount(index, minlength=len(met))
+            g_context = summed(index, np.concatenate([back * self.position[0], back * self.position[1]]), len(met))
+            move(self.context, past[0], g_context, met)
+            move(self.top_target, past[3], g_target)
+            move(self.top_bias, past[4], g_bias)
+            move(self.position, past[5], np.stack([(back * r1).sum(0), (back * r2).sum(0)]))
+        return seen, as_context, as_target
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """Row-wise log of the sum of exponentials; the argument is overwritten."""
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top + np.log(logits.sum(axis=1))
 
 
 class Scorer:
-    """Normalised log-probabilities; normalisers of contexts met so far are kept."""
+    """Normalised log-probabilities of units."""
 
     def __init__(self, model: Model):
-        self.context = model.context.astype(np.float32)
-        self.target = model.target.astype(np.float32)
-        self.position = model.position.astype(np.float32)
-        self.bias = model.bias.astype(np.float32)
-        self.n = len(self.bias)
-        self.normaliser = np.full(self.n * self.n, np.nan, np.float32)
+        self.units, self.n = model.units, len(model.units)
+        self.context, self.position = np.ascontiguousarray(model.context), model.position
+        self.target, self.bias = np.ascontiguousarray(model.target), np.ascontiguousarray(model.bias)
+        self.top_target, self.top_bias = np.ascontiguousarray(model.top_target), np.ascontiguousarray(model.top_bias)
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.position[0] + self.context[two] * self.position[1]
 
     def __call__(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        pair = one * self.n + two
-        fresh = np.unique(pair[np.isnan(self.normaliser[pair])])
-        for at in range(0, len(fresh), BATCH):
-            some = fresh[at : at + BATCH]
-            logits = self.hidden(some // self.n, some % self.n) @ self.target.T + self.bias
-            top = logits.max(axis=1)
-            self.normaliser[some] = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        return np.einsum("ij,ij->i", self.hidden(one, two), self.target[word]) + self.bias[word] - self.normaliser[pair]
+        u = self.units
+        kind = u.owner[word]
+        pair, index = np.unique(one * self.n + two, return_inverse=True)
+        normaliser = np.empty(len(pair), np.float32)
+        for at in range(0, len(pair), 1024):
+            some = pair[at : at + 1024]
+            normaliser[at : at + 1024] = _log_sum(self.hidden(some // self.n, some % self.n) @ self.top_target.T + self.top_bias)
+        hidden = self.hidden(one, two)
+        out = np.einsum("ij,ij->i", hidden, self.top_target[kind]) + self.top_bias[kind] - normaliser[index]
+        inner = np.flatnonzero(u.many[kind])
+        inner = inner[np.argsort(kind[inner], kind="stable")]
+        out[inner] += np.einsum("ij,ij->i", hidden[inner], self.target[word[inner]]) + self.bias[word[inner]]
+        edges = np.searchsorted(kind[inner], np.arange(len(u.classes) + 1))
+        for k in np.flatnonzero(np.diff(edges)):
+            target, bias = (x[u.bounds[k] : u.bounds[k + 1]] for x in (self.target, self.bias))
+            for at in range(edges[k], edges[k + 1], 1024):
+                some = inner[at : min(at + 1024, edges[k + 1])]
+                out[some] -= _log_sum(hidden[some] @ target.T + bias)
+        return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +301,47 @@ def _train_task(vocabulary, start):
             for batch in batches:
                 for _, _, data, offsets in bytetext.chunks(batch.column("text")):
                     t = Tokens(vocabulary.value, data, offsets)
-                    order = np.random.default_rng(5).permutation(len(t.classes))
+                    order = np.random.default_rng(5).permutation(len(t.units))
                     for at in range(0, len(order), BATCH):
                         some = order[at : at + BATCH]
-                        yield t.classes[some], t.one[some], t.two[some]
+                        yield t.units[some], t.one[some], t.two[some]
 
-        seen = model.train(parts())
+        seen, as_context, as_target = model.train(parts())
         if seen:
-            flat = model.parameters()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], ["i", "v", "w"])
+            # A row of a unit has two weights, its context vector's and its target's; classes and positions the tokens seen.
+            moved = np.stack([as_context, as_target], axis=1).astype(np.float32)
+            for i, at in enumerate(range(0, len(moved), BLOCK)):
+                yield _block(i, model.unit[at : at + BLOCK], moved[at : at + BLOCK])
+            rest = np.concatenate([model.top.ravel(), model.position.ravel()])
+            yield _block(-1, rest, np.array([seen], np.float32))
 
     return task
 
 
+def _block(i: int, value: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {"i": pa.array([i], pa.int32()), "v": pa.array([value.tobytes()], pa.binary()), "w": pa.array([weight.tobytes()], pa.binary())})
+
+
+def _average(start):
+    def average(table: pa.Table) -> pa.Table:
+        """The tasks' values of one block; what no task moved keeps its start."""
+        i = table["i"][0].as_py()
+        total = mass = None
+        for v, w in zip(table["v"], table["w"], strict=True):
+            weight = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+            value = np.frombuffer(v.as_py(), np.float32).astype(np.float64)
+            if i >= 0:
+                weight = np.repeat(weight.reshape(-1, 2), [SIZE, SIZE + 1], axis=1).ravel()
+            total = value * weight if total is None else total + value * weight
+            mass = weight if mass is None else mass + weight
+        at = max(i, 0) * BLOCK * (2 * SIZE + 1) if i >= 0 else len(start.value) - len(total)
+        made = np.where(mass > 0, total / np.maximum(mass, 1e-9), start.value[at : at + len(total)]).astype(np.float32)
+        return pa.table({"at": pa.array([at], pa.int64()), "v": pa.array([made.tobytes()], pa.binary())})
+
+    return average
+
+
 _scorers: dict[int, Scorer] = {}
 
 
@@ -251,15 +362,12 @@ def _score(vocabulary, parameters, number: int):
         for first, last, data, offsets in bytetext.chunks(texts):
             t = Tokens(v, data, offsets)
             docs = last - first
-            log_p = scorer(t.classes, t.one, t.two).astype(np.float64) / LN10
+            log_p = scorer(t.units, t.one, t.two).astype(np.float64) / LN10
             model = np.add.reduceat(log_p, t.first)
             counts = v.counts[t.at[t.known]]
             base = np.bincount(t.doc[t.known], weights=np.log10((counts + SMOOTH) / v.floor), minlength=docs).astype(np.float64)
             base += np.log10((v.ends + SMOOTH) / v.floor)
-            kinds = v.classes[t.at[t.known]] - WORDS - 1
-            shared = kinds >= 0
-            model += np.bincount(
-                t.doc[t.known][shared], weights=np.log10((counts[shared] + SMOOTH) / v.masses[kinds[shared]]), minlength=docs)
+            model -= np.bincount(t.doc[~t.known], weights=np.log10(v.masses[t.leaves]), minlength=docs)
             tokens = np.diff(t.bounds) + 1
             known = np.bincount(t.doc[t.known], minlength=docs) + (v.ends > 0)
             rare = np.flatnonzero(~t.known)
@@ -306,16 +414,12 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = 1) -> Trained:
     head = sorted(frequent_words(words).collect(), key=lambda r: (-r["n"], r["word"]))
     ends = counts.filter(F.col("word") == END).agg(F.sum("n")).first()[0] or 0
     totals = counts.filter("n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    frequent = {r["word"] for r in head[:WORDS]}
-    shared = words.select(suffix_class("word").alias("k"), "n").groupBy("k").agg(F.sum(F.col("n") + SMOOTH).alias("m")).collect()
-    masses = np.full(OTHERS, SMOOTH)  # one unseen word each
-    for row in shared:
+    rest = words.filter(F.col("n") < head[-1]["n"]) if head else words
+    width = OTHERS * PER_LEAF
+    width = min(LEAVES, 1 << max(2, (max(0, int(totals["v"]) - len(head)) // width).bit_length()))
+    masses = np.full(OTHERS * width, SMOOTH)  # one unseen word each
+    for row in rest.select(leaf_of(width)("word").alias("k"), "n").groupBy("k").agg(F.sum(F.col("n") + SMOOTH).alias("m")).collect():
         masses[row["k"]] += row["m"]
-    if frequent:
-        own = pa.array([r["word"] for r in head[:WORDS]])
-        data, offsets = bytetext.string_bytes(own)
-        np.subtract.at(masses, _suffix_class(data, offsets[:-1], offsets[1:]), np.array([r["n"] for r in head[:WORDS]]) + SMOOTH)
-        masses = np.maximum(masses, SMOOTH)
     vocabulary = Vocabulary(
         [r["word"] for r in head], [r["n"] for r in head], int(ends), int(totals["n"] or 0), int(totals["v"]), masses)
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
@@ -324,9 +428,11 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = 1) -> Trained:
         start = spark.sparkContext.broadcast(parameters)
         # As many tasks as cores: each sees enough text for the average to be of trained models.
         parts = texts.coalesce(max(1, spark.sparkContext.defaultParallelism))
-        sums = parts.mapInArrow(_train_task(shared_vocabulary, start), "i bigint, v double, w double")
-        for row in sums.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect():  # one row per parameter
-            parameters[row["i"]] = row["v"]
+        sums = parts.mapInArrow(_train_task(shared_vocabulary, start), "i int, v binary, w binary")
+        parameters = parameters.copy()
+        for row in sums.groupBy("i").applyInArrow(_average(start), "at bigint, v binary").collect():  # the parameters, once
+            part = np.frombuffer(row["v"], np.float32)
+            parameters[row["at"] : row["at"] + len(part)] = part
     return Trained(vocabulary, parameters, counts)
 
 
@@ -348,11 +454,10 @@ def score(docs: DataFrame, trained: Trained, *, text: str = "text") -> DataFrame
         "scored")
     rare = scored.select("_row", F.explode("_s.rare").alias("r")).select("_row", F.col("r.word").alias("_w"), F.col("r.n").alias("_n"))
     joined = rare.join(trained.counts, F.col("_w") == F.col("word"), "left").withColumn("_c", F.coalesce("n", F.lit(0)))
-    masses = F.array(*[F.lit(float(m)) for m in v.masses])
-    terms = joined.withColumn("_k", suffix_class("_w")).groupBy("_row").agg(
+    terms = joined.groupBy("_row").agg(
         F.sum(F.when(F.col("_c") > 0, F.col("_n")).otherwise(0)).alias("_known"),
         F.sum(F.col("_n") * F.log10((F.col("_c") + SMOOTH) / v.floor)).alias("_base"),
-        F.sum(F.col("_n") * F.log10((F.col("_c") + SMOOTH) / F.get(masses, F.col("_k")))).alias("_model"))
+        F.sum(F.col("_n") * F.log10(F.col("_c") + SMOOTH)).alias("_model"))  # the leaf's weight is in _s.model
     zero = F.lit(0.0)
     return unpack(
         scored.join(terms, "_row", "left"), narrow, n_tokens=F.col("_s.n_tokens"),

@@ -103,6 +103,23 @@ def test_language_model_edge_rows(spark, monkeypatch):
     assert lbl.score(empty(spark).withColumn("t", F.col("text")), nothing).count() == 0
 
 
+@pytest.mark.parametrize("head", [65_536, 50])
+def test_context_tells_rare_words_with_equal_endings_apart(spark, monkeypatch, head):
+    monkeypatch.setattr(lbl, "HEAD", head)  # 50: every word looked at below is past the head
+    rng = np.random.default_rng(4)
+    texts = []
+    for turn in range(200):
+        words = rng.permutation([f"common{i}" for i in range(1200)] * 2).tolist()  # over 1,000 words are more frequent than the pairs
+        for i in range(40):
+            words[60 * i] += f" first{i}xx second{i}yy"
+        texts.append((turn, " ".join(words)))
+    trained = lbl.train(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4))
+    right = " ".join(f"common{i} first{i}xx second{i}yy" for i in range(40))
+    swapped = " ".join(f"common{i} first{i}xx second{(i + 1) % 40}yy" for i in range(40))
+    a, b = sorted(lbl.score(spark.createDataFrame([(0, right), (1, swapped)], "doc_id bigint, text string"), trained).collect())
+    assert a.base_score == pytest.approx(b.base_score) and a.score > b.score + 4
+
+
 # --- token counts
 
 
