@@ -4,7 +4,8 @@ Numbers and dates that pass their own check are permuted inside their format by
 valid card number is a valid card number, of a date a date. The permutation is one to one on the valid values of the format, so equal
 values stay equal in every document and different ones stay different.
 
-  card    13-19 digits, plain or in groups, Luhn-valid: all digits but the first and the check digit; the check digit is renewed
+  card    13-19 digits, plain or in groups, Luhn-valid: all digits but the first and the check digit; the check digit is renewed.
+          In a longer run of groups the first valid stretch from border to border, and what is valid behind it, see `_cards`
   phone   North American numbers in ten digits: all but the digits that may not be 0 or 1
   ssn     area, group and serial of an assignable number
   ip      IPv4 address
@@ -27,11 +28,15 @@ KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?<=\d{4}-\d{2}-\d{2})(?=T\d)|(?![\w/-]|\.\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
-    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+# Chunks of digits and hyphens with single spaces between, 13 digits or more in sight; a date, SSN or phone number is no part of it.
+_PHONE = r"(?:1[ -])?\d{3}[ -]\d{3}[ -]\d{4}(?![\w-])"  # not with the country code joined on: "1486 123 4539" goes on a card
+_CHUNK = r"\d++(?:-\d++)*+(?![\w-])"
+PATTERNS["card"] = (
+    rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){_CHUNK}(?: (?!{PATTERNS['date']}|{PATTERNS['ssn']}|{_PHONE}){_CHUNK})*+")
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 FIRST_DAY, DAYS = "1900-01-01", 319 * 229  # 1900-01-01 .. 2099-12-31
 
@@ -102,12 +107,52 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def _card(key: str, match: Column) -> Column:
+    """One card number, known to be valid."""
     def renewed(digits: Column) -> Column:
         n = F.length(digits)
         body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permuted_digits(key, "card", F.substr(digits, F.lit(2), n - 2)))
         return _with(body, lambda b: refill(match, F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
-    return _with(_digits(match), lambda d: F.when(luhn_sum(d) % 10 == 0, renewed(d)))
+    return _with(_digits(match), renewed)
+
+
+def _cards(key: str, match: Column) -> Column:
+    """array of struct(kind, value): the run of digit groups cut into card numbers and, with null kind, what lies between.
+
+    From the left, each group starts a number if some run of whole groups from there has 13-19 digits and is Luhn-valid. Of several,
+    16 digits go first, then 15, then the others from the shortest: a code of three digits behind a number may fit the check by
+    chance. A group in no number stays as it is.
+    """
+    groups = F.regexp_extract_all(match, F.lit(r"\d+[ -]?"), F.lit(0))
+    none = F.array().cast("array<struct<kind: string, value: string>>")
+
+    def scan(parts: Column) -> Column:
+        def runs(i: Column) -> Column:
+            """The valid runs that start at group i, the best first: struct(rank, n, raw)."""
+            lengths = F.sequence(F.lit(1), F.least(F.size(parts) - i, F.lit(19)))
+            tried = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, i + 1, n), "").alias("raw")))
+            sized = F.transform(tried, lambda r: F.struct(r["n"].alias("n"), r["raw"].alias("raw"), _digits(r["raw"]).alias("d")))
+            valid = F.filter(sized, lambda r: F.length(r["d"]).between(13, 19) & (luhn_sum(r["d"]) % 10 == 0))
+            rank = lambda d: F.when(F.length(d) == 16, 0).when(F.length(d) == 15, 1).otherwise(F.length(d))
+            return F.array_sort(F.transform(valid, lambda r: F.struct(rank(r["d"]).alias("rank"), r["n"].alias("n"), r["raw"].alias("raw"))))
+
+        def take(state: Column, i: Column) -> Column:
+            def taken(best: Column) -> Column:
+                number = F.regexp_replace(best["raw"], "[ -]$", "")
+                behind = F.substr(best["raw"], F.length(number) + 1, F.lit(1))
+                found = F.array(
+                    F.struct(F.lit("card").alias("kind"), _card(key, number).alias("value")),
+                    F.struct(F.lit(None).cast("string").alias("kind"), behind.alias("value")))
+                left = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.get(parts, i).alias("value")))
+                return F.when(best.isNotNull(), F.struct((i + best["n"]).alias("next"), F.concat(state["out"], found).alias("out"))).otherwise(
+                    F.struct((i + 1).alias("next"), F.concat(state["out"], left).alias("out")))
+
+            return F.when(i < state["next"], state).otherwise(_with(F.get(runs(i), F.lit(0)), taken))
+
+        start = F.struct(F.lit(0).alias("next"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, take, lambda s: s["out"])
+
+    return _with(groups, scan)
 
 
 def _phone(key: str, match: Column) -> Column:
@@ -183,18 +228,21 @@ def _email(key: str, match: Column) -> Column:
     return F.concat(F.rpad(F.substr(letters, F.lit(1), F.least(at - 1, F.lit(128))), at - 1, "x"), F.substr(match, at, F.length(match)))
 
 
-MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 def pseudonym(key: str, match: Column) -> Column:
-    """struct(kind, value) of one match; kind and value are null when it fails its format's check."""
+    """array of struct(kind, value): the pieces that replace one match; kind is null for a piece that stays as it is."""
     out = None
     for kind in KINDS:
-        value = MAKERS[kind](key, match)
-        made = F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        if kind == "card":
+            made = _cards(key, match)
+        else:
+            value = MAKERS[kind](key, match)
+            made = F.array(F.struct(F.when(value.isNotNull(), kind).alias("kind"), F.coalesce(value, match).alias("value")))
         hit = F.regexp_like(match, F.lit(f"^(?:{PATTERNS[kind]})$"))
         out = F.when(hit, made) if out is None else out.when(hit, made)
-    return out
+    return out.otherwise(F.array(F.struct(F.lit(None).cast("string").alias("kind"), match.alias("value"))))
 
 
 def pseudonymise(df: DataFrame, *, text: str = "text", key: str, result: str = "private") -> DataFrame:
@@ -209,9 +257,10 @@ def pseudonymise(df: DataFrame, *, text: str = "text", key: str, result: str = "
     staged = staged.withColumn(
         "_made", F.when(F.size("_matches") > 0, F.transform("_matches", lambda m: pseudonym(key, m))))
     replaced = F.concat(
-        F.zip_with("_matches", "_made", lambda m, p: F.coalesce(p["value"], m)), F.array(F.lit("")))
+        F.zip_with("_matches", "_made", lambda m, p: F.coalesce(F.array_join(F.transform(p, lambda x: x["value"]), ""), m)), F.array(F.lit("")))
     pieces = F.split(body, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, replaced, lambda a, b: F.array(a, b))), "")
-    found = F.filter(F.coalesce("_made", F.array().cast("array<struct<kind: string, value: string>>")), lambda p: p["value"].isNotNull())
+    pieces_made = F.coalesce(F.flatten("_made"), F.array().cast("array<struct<kind: string, value: string>>"))
+    found = F.filter(pieces_made, lambda p: p["kind"].isNotNull())
     made = F.struct(F.when(F.col("_made").isNotNull(), joined).otherwise(body).alias("text"), found.alias("found"))
     return unpack(staged, df.columns, **{result: made})

@@ -228,6 +228,24 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert (a[:2], a[3:5], a[6:]) == (b[3:5], b[:2], b[6:])
 
 
+def test_pseudonyms_inside_longer_runs(spark):
+    card, date = "4539 5787 6362 1486", "2021-02-28"
+    texts = [
+        card, date, f"card {card} 12/27", f"ref 12 {card}.", "4539578763621486 123", f"{card} {card}", f"12 {card} 123 {card} 9",
+        f"at {date}T10:00:00Z", f"{date}Tx", "1234 5678 9012 3456 12",
+        f"{card} {date}", f"{card} 12th", f"{card} 12-34x", f"12 {card} 389-555-5010", "389-555-5010", "7 " * 9000 + card]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.private for r in pii.pseudonymise(docs, key="k").collect()}
+    c, d = got[0].text, got[1].text
+    assert c != card and d != date
+    plain = c.replace(" ", "")
+    expected = [c, d, f"card {c} 12/27", f"ref 12 {c}.", f"{plain} 123", f"{c} {c}", f"12 {c} 123 {c} 9", f"at {d}T10:00:00Z", texts[8], texts[9],
+        f"{c} {d}", f"{c} 12th", f"{c} 12-34x", f"12 {c} {got[14].text}", got[14].text]
+    assert got[14].text != texts[14] and got[15].text.startswith("7 7 7")
+    assert [got[i].text for i in range(15)] == expected
+    assert [len(got[i].found) for i in range(15)] == [1, 1, 1, 1, 1, 2, 2, 1, 0, 0, 2, 1, 1, 2, 1]
+
+
 def test_the_network_permutes(spark):
     pairs = spark.range(319 * 229).select(
         pii.feistel("k", "date", F.floor(F.col("id") / 229), F.col("id") % 229, 319, 229).alias("p"))
