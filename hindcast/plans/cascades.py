@@ -73,7 +73,10 @@ def tiers(spark, sf):
                                    fold_of(F.concat(F.lit("doc#"), "doc_id")).alias("fold")), "tiers")
 
 
-F1_METRIC = {"t4_f1": prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]}
+def f1_metric():
+    return {"t4_f1": prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]}
+
+
 TIERS_SQL = f"""ti AS (SELECT g.doc_id, round({self_sql('a')}, 2) AS signal, a.cost_usd AS bc, b.cost_usd * 5 AS fc,
   g.needs_info AS g, a.needs_info AS c, b.needs_info AS f,
   CAST(('0x' || substr(sha256('"doc#' || g.doc_id || '"'), 57, 8))::BIGINT % 2 AS INT) AS fold {JOIN})"""
@@ -94,12 +97,12 @@ ACC_SQL = "avg((g = p)::INT)"
 @query("cascade_curve", *AB, sql=f"""WITH {TIERS_SQL}, {curve_sql('cv', 'true', F1_SQL)}
 SELECT tau, round(escalated, 6) AS escalated, round(cost_per_1000, 6) AS cost_per_1000, round(m, 6) AS t4_f1 FROM cv""")
 def cascade_curve(spark, sf):
-    return rounded(cs.cascade_curve(tiers(spark, sf), SUMS, F1_METRIC), "escalated", "cost_per_1000", "t4_f1")
+    return rounded(cs.cascade_curve(tiers(spark, sf), SUMS, f1_metric()), "escalated", "cost_per_1000", "t4_f1")
 
 
 @query("choose_tau", *AB, sql=f"WITH {TIERS_SQL}, {curve_sql('cv', 'true', F1_SQL)} SELECT tau FROM cv_tau")
 def choose_tau(spark, sf):
-    return cs.choose_tau(cs.cascade_curve(tiers(spark, sf), SUMS, F1_METRIC), ["t4_f1"], 0.02)
+    return cs.choose_tau(cs.cascade_curve(tiers(spark, sf), SUMS, f1_metric()), ["t4_f1"], 0.02)
 
 
 @query("cross_fitted", *AB, sql=f"""WITH {TIERS_SQL}, {curve_sql('c0', 'fold <> 0', F1_SQL)}, {curve_sql('c1', 'fold <> 1', F1_SQL)},
@@ -108,7 +111,7 @@ p AS (SELECT *, CASE WHEN signal < tau THEN f ELSE c END AS p FROM r)
 SELECT (SELECT tau FROM c0_tau) AS tau_0, (SELECT tau FROM c1_tau) AS tau_1, round(avg((signal < tau)::INT), 6) AS escalated,
   round(1000 * avg(bc + CASE WHEN signal < tau THEN fc ELSE 0 END), 6) AS cost_per_1000, round({F1_SQL}, 6) AS t4_f1 FROM p""")
 def cross_fitted(spark, sf):
-    out = cs.cross_fitted(tiers(spark, sf), "fold", 2, SUMS, F1_METRIC, 0.02)
+    out = cs.cross_fitted(tiers(spark, sf), "fold", 2, SUMS, f1_metric(), 0.02)
     return rounded(out, "escalated", "cost_per_1000", "t4_f1")
 
 
