@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import gray_index, huffman, lbl, mixing, pii, simhash, substring, toxicity, viterbi
+from hindcast.llm import gray_index, huffman, lbl, mixing, pii, simhash, substring, toxicity, viterbi, whitening
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
@@ -222,3 +222,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = viterbi.sentencepiece_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
     return docs.select("doc_id", viterbi.token_counts(docs, F.col("text"), pieces).alias("n_tokens"))
+
+
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    long = rows.select("vec_id", F.col("white.deviation").alias("deviation"), F.posexplode("white.whitened").alias("at", "whitened"))
+    return long.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"), "whitened", F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"))
