@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import gray_index, huffman, lbl, mixing, pii, simhash, substring, toxicity, viterbi, whitening
+from hindcast.llm import cover_tree, gray_index, huffman, lbl, mixing, pii, simhash, substring, toxicity, viterbi, whitening
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
@@ -233,3 +233,21 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
         F.col("deviation").try_cast("long").alias("deviation"), "whitened", F.get(explained, F.col("at")).alias("explained"),
         F.lit(error).alias("identity_error"))
+
+
+NEAREST_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.x, d.x)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id OR q.x <> d.x WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@register("op13_exact_top_k", NEAREST_SQL)
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cover_tree.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
