@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import decontaminate as leaks
-from hindcast.llm import cover_tree, gray_index, huffman, lbl, mixing, pii, simhash, substring, toxicity, viterbi, whitening
+from hindcast.llm import cover_tree, gray_index, huffman, lbl, mixing, pii, prefix_trie, simhash, substring, toxicity, viterbi, whitening
 from hindcast.operators.ordering import running_totals
 from hindcast.sources.scratch import materialise
 
@@ -235,6 +235,37 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(error).alias("identity_error"))
 
 
+CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))"""
+TRIE_SQL = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM r GROUP BY conv_id),
+h AS (SELECT *, (xor({CRC}, 4294967295::BIGINT) % 4)::INT AS h FROM l),
+b AS (
+  SELECT h.conv_id, list_concat(coalesce(base.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN l base ON base.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, len(turns) AS length, d AS depth, turns[1:d] AS path FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+n AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = depth), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[depth].text, '[^ 	-]+')) END AS saved
+  FROM p GROUP BY depth, path),
+c AS (SELECT a.depth, a.path, count(*) AS n FROM n a JOIN n b ON b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path GROUP BY a.depth, a.path),
+m AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM n LEFT JOIN c USING (depth, path)),
+u AS (
+  SELECT m.depth AS at, unnest(range(0, m.depth + 1)) AS depth, m.path AS whole, m.saved, (m.n_children = 0)::INT AS leaf FROM m),
+s AS (SELECT depth, whole[1:depth] AS path, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY ALL)
+SELECT m.conv_id, m.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s USING (depth, path) LEFT JOIN m o ON m.depth > 0 AND o.depth = m.depth - 1 AND o.path = m.path[1:m.depth - 1]
+"""
+
+
+@register("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 NEAREST_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
