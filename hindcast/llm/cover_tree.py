@@ -40,6 +40,7 @@ SHRINK = 0.5     # a child's reach against its parent's
 LEAF = 16
 LEADS = 64
 WIDE = 1024      # data nodes met at once
+TASKS = 8192     # at most
 LOWEST = -(1 << 62)
 
 
@@ -323,6 +324,8 @@ def top_k(
     shards = [-(-groups[g].n // cell) if g in groups else 0 for g in range(len(tops))]
     firsts = np.concatenate([[0], np.cumsum(shards)]).tolist()
 
+    tasks = min(2 * firsts[-1], TASKS)  # left to itself, the engine would merge small partitions into few long tasks
+
     def of_pivot(values: list, kind: str) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("pivot"))
 
@@ -337,7 +340,7 @@ def top_k(
     def meet(visits: DataFrame, name: str) -> DataFrame:
         """`visits`: queries with the cells that they go to."""
         sent = visits.select(F.explode("cells").alias("cell"), F.lit(1).alias("kind"), "block", "id", "floor", "x")
-        together = cells.unionByName(sent).repartition("cell").sortWithinPartitions("cell", "kind", "block")
+        together = cells.unionByName(sent).repartition(tasks, "cell").sortWithinPartitions("cell", "kind", "block")
         return materialise(together.mapInArrow(_search(k + 1), "qid bigint, score bigint, vec_id bigint, same boolean"), name)
 
     own = F.when(of_pivot(shards, "int") > 0, F.sequence(of_pivot(firsts[:-1], "int"), of_pivot(firsts[1:], "int") - 1))
