@@ -1,4 +1,4 @@
-"""Time-aware lexical retrieval: inverted index, as-of statistics, exact pruned top-k.
+"""Time-aware lexical retrieval: postings, as-of statistics, BM25 and TF-IDF queries of the block-max index.
 
 Collection statistics (N, average length, document frequency) are computed per query over
 documents created strictly before it, so nothing later shapes a ranking.
@@ -9,19 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.operators import blocks
 from hindcast.operators.ordering import counts_before, running_totals
 from hindcast.sources.scratch import materialise
 
 # Fixed values of the scoring formula.
 K1 = 1.2
 B = 0.75
-# Rarest terms used to find a first lower bound on the k-th score: enough postings to hold k
-# documents many times over, few enough to stay cheap.
-SEED_POSTINGS = 2_000
 HOUR = 3_600_000_000
-# Scores are compared at this many digits, so the order in which a sum was taken cannot
-# decide between equal documents.
-DIGITS = 9
 
 
 def postings(docs: DataFrame, key: str, created: str, tokens: Column) -> DataFrame:
@@ -74,11 +69,22 @@ def asof_stats(terms: DataFrame, index: DataFrame, lengths: DataFrame) -> DataFr
     df = asked.join(earlier.select("term", "_h", "_df"), ["term", "_h"]).join(
         own_hour, ["term", "as_of"], "left").select(
         "term", "as_of", (F.col("_df") + F.coalesce("_own", F.lit(0))).alias("df"))
+    return _with_collection(terms.join(df, ["term", "as_of"]), collection)
+
+
+def _with_collection(terms: DataFrame, collection: DataFrame) -> DataFrame:
     avgdl = F.col("sum_len") / F.col("n_docs")
-    return terms.join(df, ["term", "as_of"]).join(collection, "as_of").filter("df > 0").withColumn(
+    return terms.join(collection, "as_of").filter("df > 0").withColumn(
         "avgdl", F.when(avgdl > 0, avgdl).otherwise(F.lit(1.0))).drop("sum_len")
 
 
+def index_stats(terms: DataFrame, index: blocks.Index) -> DataFrame:
+    """`asof_stats` from the blocks of an index."""
+    collection = counts_before(
+        terms, "as_of", index.lengths(), "created", {"n_docs": F.count(F.lit(1)), "sum_len": F.sum("doc_len")})
+    return _with_collection(terms.join(index.document_frequency(terms), ["term", "as_of"]), collection)
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -96,97 +102,52 @@ def pair_scores(pairs: DataFrame, weighted: DataFrame, index: DataFrame, q: str,
     return pairs.select(q, key).join(scored, [q, key], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def pruned_topk(
-    weighted: DataFrame,
-    index: DataFrame,
-    q: str,
-    key: str,
-    part: Column,
-    k: int,
-    exclude: DataFrame | None = None,
-    seed_postings: int = SEED_POSTINGS,
+def bm25_queries(stats: DataFrame) -> DataFrame:
+    """(q, as_of, terms, weights, mean) for `blocks.search`: one row per query, from its as-of statistics."""
+    rows = stats.select("q", "as_of", "avgdl", F.struct("term", idf(F.col("n_docs"), F.col("df")).alias("w")).alias("t"))
+    return rows.groupBy("q", "as_of").agg(F.collect_list("t").alias("t"), F.first("avgdl").alias("mean")).select(
+        "q", "as_of", F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), "mean")
+
+
+def bm25_topk(
+    queries: DataFrame, index: blocks.Index, key: str, k: int, tokens: Column, exclude: DataFrame | None = None
 ) -> DataFrame:
-    """(q, key, score, rank): exact top k by (score desc, key asc) without scoring every match.
-
-    `weighted` holds (q, as_of, term, df, ub, ...), ub being the most the term can add.
-    1. Each query's rarest terms give partial scores; the k-th best is a floor for the k-th
-       full score.
-    2. Terms are taken in order of ub until their sum would reach that floor. A document that
-       has only such terms cannot make the top k, so common terms generate no candidates.
-    3. Candidates that cannot reach the floor even with all skipped terms are dropped, the floor
-       is raised to their k-th best partial score, and only the survivors' skipped terms are
-       looked up.
-    Every step only drops documents proven to be outside the top k.
-    """
-    def matches(terms: DataFrame) -> DataFrame:
-        rows = terms.join(index, "term").filter("created < as_of")
-        scored = rows.groupBy(q, key).agg(F.sum(part).alias("partial"))
-        return scored if exclude is None else scored.join(exclude, [q, key], "left_anti")
-
-    rare_first = Window.partitionBy(q).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = weighted.withColumn("_before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).filter(
-        F.col("_before") < seed_postings)
-    best = Window.partitionBy(q).orderBy(F.desc("partial"))
-    floor = (
-        matches(seeds).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k)
-        .select(q, (F.col("partial") * (1 - 1e-9)).alias("floor"))
-    )
-    light_first = Window.partitionBy(q).orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
-    # One row per query term, read three times below; the survivors are read twice.
-    marked = materialise(weighted.join(floor, q, "left").withColumn(
-        "_skipped", F.coalesce(F.sum("ub").over(light_first) < F.col("floor"), F.lit(False))), "marked-terms")
-    skipped = marked.filter("_skipped").drop("floor", "_skipped")
-    bounds = marked.groupBy(q).agg(
-        F.coalesce(F.sum(F.when(F.col("_skipped"), F.col("ub"))), F.lit(0.0)).alias("_rest"),
-        F.coalesce(F.first("floor"), F.lit(0.0)).alias("_floor"))
-    scored = materialise(matches(marked.filter(~F.col("_skipped")).drop("floor", "_skipped")).join(bounds, q).filter(
-        F.col("partial") + F.col("_rest") >= F.col("_floor")).select(q, key, "partial", "_rest"), "candidates")
-    # These partial scores hold most of the weight, so their k-th best is a much higher floor.
-    raised = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k).select(
-        q, (F.col("partial") * (1 - 1e-9)).alias("_raised"))
-    alive = materialise(scored.join(raised, q, "left").filter(
-        F.col("partial") + F.col("_rest") >= F.coalesce("_raised", F.lit(0.0))).select(q, key, "partial"), "survivors")
-    looked_up = alive.select(q, key).join(skipped, q).join(index, ["term", key])
-    extra = looked_up.groupBy(q, key).agg(F.sum(part).alias("extra"))
-    full = alive.join(extra, [q, key], "left").select(
-        q, key, F.round(F.col("partial") + F.coalesce("extra", F.lit(0.0)), DIGITS).alias("score"))
-    order = Window.partitionBy(q).orderBy(F.desc("score"), F.asc(key))
-    return full.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def with_bm25_weights(stats: DataFrame, k1: float = K1) -> DataFrame:
-    """Adds idf and ub: a term adds less than idf * (k1 + 1), whatever its frequency."""
-    weighted = stats.withColumn("idf", idf(F.col("n_docs"), F.col("df")))
-    return weighted.withColumn("ub", F.col("idf") * (k1 + 1))
+    """(q, key, score, rank): exact as-of BM25 top k of queries (q, as_of, ...), without the (q, key) pairs of `exclude`."""
+    terms = materialise(query_terms(queries, "q", "as_of", tokens), "terms")
+    stats = index_stats(terms, index)
+    return blocks.search(index, bm25_queries(stats), key, k, blocks.Bm25(K1, B), exclude=exclude)
 
 
-def tfidf_weights(index: DataFrame, key: str, fitted: DataFrame) -> DataFrame:
-    """(term, key, created, w): L2-normalised sublinear TF-IDF of documents, idf from `fitted`.
+def fit_idf(term_rows: DataFrame, key: str, min_df: int = 2) -> DataFrame:
+    """(term, df, n_fit, idf) over (key, term, ...) rows, one per document and distinct term."""
+    n = term_rows.agg(F.count_distinct(key)).scalar()
+    fitted = term_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).withColumn("n_fit", n)
+    return fitted.withColumn("idf", F.log((1 + F.col("n_fit")) / (1 + F.col("df"))) + 1)
 
-    `fitted` is (term, df, n_fit), learnt on the training rows only; unseen terms drop out.
-    """
-    raw = (1 + F.log("tf")) * (F.log((1 + F.col("n_fit")) / (1 + F.col("df"))) + 1)
-    rows = index.join(fitted, "term").select("term", key, "created", raw.alias("_w"))
+
+def tfidf_weights(index: DataFrame, key: str, fitted: DataFrame) -> DataFrame:
+    """(term, key, created, w): L2-normalised sublinear TF-IDF of documents, idf from `fitted`; unseen terms drop out."""
+    rows = index.join(fitted, "term").select("term", key, "created", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
     norms = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
     return rows.join(norms, key).select("term", key, "created", (F.col("_w") / F.col("_n")).alias("w"))
 
 
-def fit_idf(index: DataFrame, key: str, min_df: int = 2) -> DataFrame:
-    n = index.agg(F.count_distinct(key)).scalar()
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).withColumn("n_fit", n)
-
-
-def tfidf_neighbours(
-    queries: DataFrame, vectors: DataFrame, q: str, key: str, k: int = 5, seed_postings: int = SEED_POSTINGS
-) -> DataFrame:
-    """(q, key, score, rank): nearest earlier documents by cosine, never itself, score > 0.
+def tfidf_neighbours(docs: DataFrame, train: DataFrame, key: str, tokens: Column, k: int = 5, two_rounds: bool = True) -> DataFrame:
+    """(q, key, score, rank): for each document of `train` (key) the nearest earlier documents by cosine, never itself, score > 0.
 
-    `queries` is (q, as_of, term, w) and `vectors` (term, key, created, w), both normalised.
+    L2-normalised sublinear TF-IDF; document frequencies are learnt on the training rows only, and terms they hold once drop out.
     """
-    per_term = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("_top"))
-    weighted = queries.withColumnRenamed("w", "qw").join(per_term, "term").withColumn(
-        "ub", F.col("qw") * F.col("_top")).drop("_top")
-    return pruned_topk(weighted, vectors, q, key, F.col("qw") * F.col("w"), k, seed_postings=seed_postings)
+    index = blocks.build_index(docs, key, "created", tokens)
+    own = docs.join(train.select(key).distinct(), key, "left_semi").select(key, "created", F.explode(tokens).alias("term"))
+    counted = materialise(own.groupBy(key, "created", "term").agg(F.count(F.lit(1)).alias("tf")), "tfidf-queries")
+    fitted = materialise(fit_idf(counted, key), "tfidf-idf")
+    weighted = counted.join(fitted, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    lists = weighted.groupBy(key, "created").agg(
+        F.collect_list(F.struct("term", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    queries = lists.select(
+        F.col(key).alias("q"), F.col("created").alias("as_of"), F.col("t.term").alias("terms"),
+        F.transform("t.w", lambda w: w / F.col("norm")).alias("weights"), F.lit(1.0).alias("mean"))
+    return blocks.search(index, queries, key, k, blocks.Cosine(), idf=fitted, two_rounds=two_rounds)
 
 
 def tune_threshold(best: DataFrame) -> DataFrame:

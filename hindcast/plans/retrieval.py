@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import text as tx
 from hindcast.functions.numeric import micros, r6
-from hindcast.operators import asof, dense, fusion, lexical, uncertainty
+from hindcast.operators import asof, blocks, dense, fusion, lexical, uncertainty
 from hindcast.operators.sampling import time_window
 from hindcast.plans import fixtures as fx
 from hindcast.plans import history as hist
@@ -61,13 +61,12 @@ def all_queries(spark, sf):
 def weighted_terms(spark, sf, queries, posts, lengths):
     terms = lexical.query_terms(queries, "q", "as_of", tx.tokenize(F.col("text")))
     stats = lexical.asof_stats(materialise(terms, "terms"), posts, lengths)
-    return materialise(lexical.with_bm25_weights(stats), "weights")
+    return materialise(stats.withColumn("idf", lexical.idf(F.col("n_docs"), F.col("df"))), "weights")
 
 
-def bm25_ranking(spark, sf, queries, k):
-    posts, lengths = index_tables(spark, sf)
-    weighted = weighted_terms(spark, sf, queries, posts, lengths)
-    return lexical.pruned_topk(weighted, posts, "q", "number", lexical.bm25_part(), k)
+def bm25_ranking(spark, sf, queries, k, exclude=None):
+    index = blocks.build_index(corpus(spark, sf), "number", "created", F.col("tokens"))
+    return lexical.bm25_topk(queries, index, "number", k, tx.tokenize(F.col("text")), exclude)
 
 
 DOCS_SQL = f"""docs AS (SELECT number, epoch_us(created_at) AS created,
@@ -126,6 +125,20 @@ def bm25_topk(spark, sf):
     return top.select("q", "number", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+EXCLUDED_SQL = SQL.rstrip() + f""", ex AS (SELECT q, number, round(score, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC, number) AS rank
+  FROM sc JOIN qs USING (q) WHERE qs.q >= 0 AND number <> original)
+SELECT * FROM ex WHERE rank <= {TOP}"""
+
+
+@query("bm25_excluding", "issue", "dup", sql=EXCLUDED_SQL)
+def bm25_excluding(spark, sf):
+    """Hard negatives: what each duplicate finds when its known original must not be among the answers."""
+    queries = duplicate_texts(spark, sf)
+    known = queries.select("q", F.col("original").alias("number"))
+    top = bm25_ranking(spark, sf, queries, TOP, exclude=known)
+    return top.select("q", "number", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def vectors(spark, sf):
     e = read_table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("number"), F.col("vec_id").alias("created"), "embedding")
@@ -372,15 +385,9 @@ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score
 def neighbours(spark, sf, k):
     """Training rows are the labelled documents; every document is a possible neighbour."""
     docs = fx.documents(spark, sf).select(
-        "number", micros(F.col("created_at")).alias("created"),
-        tx.tokenize(tx.issue_text(F.col("title"), F.col("body"))).alias("tokens"))
-    index = materialise(lexical.postings(docs, "number", "created", F.col("tokens")), "tfidf-postings")
+        "number", micros(F.col("created_at")).alias("created"), tx.issue_text(F.col("title"), F.col("body")).alias("text"))
     train = read_table(spark, sf, "labels").select(F.col("doc_id").alias("number"))
-    fitted = lexical.fit_idf(index.join(train, "number", "left_semi"), "number")
-    vecs = materialise(lexical.tfidf_weights(index, "number", fitted), "tfidf")
-    queries = vecs.join(train, "number", "left_semi").select(
-        F.col("number").alias("q"), F.col("created").alias("as_of"), "term", "w")
-    return lexical.tfidf_neighbours(queries, vecs, "q", "number", k)
+    return lexical.tfidf_neighbours(docs, train, "number", tx.tokenize(F.col("text")), k)
 
 
 @query("tfidf_neighbours", "issue", sql=f"WITH {TFIDF_SQL} SELECT q, number, round(score, 6) AS score, rank FROM nn")

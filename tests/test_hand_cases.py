@@ -6,12 +6,13 @@ import datetime as dt
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hindcast.functions import text as tx
 from hindcast.functions.numeric import zero_failure_bound
-from hindcast.operators import agreement, annotation, asof, dense, lexical, scoring, silver, traces, uncertainty
+from hindcast.operators import agreement, annotation, asof, blocks, dense, lexical, scoring, silver, traces, uncertainty
 from hindcast.operators.ordering import counts_before, running_totals
 
 
@@ -123,30 +124,65 @@ def corpus(spark, n=60, seed=1):
     return spark.createDataFrame(rows, "number long, created long, tokens array<string>")
 
 
-def ranking(spark, docs, k, **kw):
-    index = lexical.postings(docs, "number", "created", F.col("tokens"))
+def ranking(spark, docs, k, exclude=None, **kw):
+    index = blocks.build_index(docs, "number", "created", F.col("tokens"), **kw)
+    flat = lexical.postings(docs, "number", "created", F.col("tokens"))
     lengths = lexical.document_lengths(docs, "number", "created", F.col("tokens"))
     queries = docs.filter("number BETWEEN 20 AND 40").select(F.col("number").alias("q"), F.col("created").alias("as_of"), "tokens")
     terms = lexical.query_terms(queries, "q", "as_of", F.col("tokens"))
-    weighted = lexical.with_bm25_weights(lexical.asof_stats(terms, index, lengths))
-    top = lexical.pruned_topk(weighted, index, "q", "number", lexical.bm25_part(), k, **kw)
-    brute = weighted.join(index, "term").filter("created < as_of").groupBy("q", "number").agg(
+    stats = lexical.asof_stats(terms, flat, lengths)
+    assert sorted(lexical.index_stats(terms, index).collect()) == sorted(stats.select(lexical.index_stats(terms, index).columns).collect())
+    weighted = stats.withColumn("idf", lexical.idf(F.col("n_docs"), F.col("df")))
+    top = lexical.bm25_topk(queries, index, "number", k, F.col("tokens"), exclude)
+    brute = weighted.join(flat, "term").filter("created < as_of").groupBy("q", "number").agg(
         F.round(F.sum(lexical.bm25_part()), 9).alias("score"))
-    return {(r["q"], r["rank"]): (r["number"], r["score"]) for r in top.collect()}, brute
-
-
-def test_pruned_topk_equals_brute_force_and_ignores_the_future(spark):
-    docs = corpus(spark)
-    top, brute = ranking(spark, docs, 5, seed_postings=20)
+    if exclude is not None:
+        brute = brute.join(exclude, ["q", "number"], "left_anti")
     expected = {}
     rows = sorted(((r["q"], -r["score"], r["number"]) for r in brute.collect()))
     for q in {r[0] for r in rows}:
-        for rank, r in enumerate([r for r in rows if r[0] == q][:5], start=1):
-            expected[(q, rank)] = (r[2], -r[1])
+        for rank, r in enumerate([r for r in rows if r[0] == q][:k], start=1):
+            expected[(q, rank)] = (r[2], pytest.approx(-r[1], abs=2e-9))
+    return {(r["q"], r["rank"]): (r["number"], r["score"]) for r in top.collect()}, expected
+
+
+def test_block_search_equals_brute_force_and_ignores_the_future(spark):
+    docs = corpus(spark)
+    top, expected = ranking(spark, docs, 5, shard_docs=20)
     assert top == expected
     future = spark.createDataFrame([(900 + i, 10_000 + i, ["w1", "w2"] * 9) for i in range(20)], docs.schema)
-    later, _ = ranking(spark, docs.unionByName(future), 5, seed_postings=20)
-    assert later == top
+    assert ranking(spark, docs.unionByName(future), 5)[0] == expected
+
+
+def test_block_search_with_copies_hot_times_and_exclusions(spark):
+    docs = corpus(spark, 40).unionByName(corpus(spark, 40).selectExpr("number + 100 AS number", "created", "tokens")).unionByName(
+        spark.createDataFrame([(300 + i, 5, ["w1", "w2", "w3"]) for i in range(30)], "number long, created long, tokens array<string>"))
+    out = spark.createDataFrame([(q, n) for q in range(20, 41) for n in (0, 300, 301)], "q long, number long")
+    top, expected = ranking(spark, docs, 8, exclude=out, shard_docs=12)
+    assert top == expected
+
+
+def test_cosine_neighbours_skip_postings_but_lose_nothing(spark):
+    rng = random.Random(4)
+    rows = [(i, i, [f"t{i // 4}_{j}" for j in range(6)] + [rng.choice(["a", "b", "c"]) for _ in range(9)]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "number long, created long, tokens array<string>")
+    train = docs.select("number").filter("number % 2 = 1")
+    both = [
+        sorted(map(tuple, lexical.tfidf_neighbours(docs, train, "number", F.col("tokens"), 2, two_rounds=t).collect())) for t in (True, False)]
+    assert both[0] == both[1]
+    shard = blocks.Shard(pa.Table.from_pylist(
+        [{"term": "", "cids": [], "tfs": [], "top": 0, "least": 0, "idf": None, "documents": [
+            {"cid": i, "doc_len": 3, "keys": [i], "created": [i]} for i in range(100)]}]
+        + [{"term": t, "cids": c, "tfs": [1] * len(c), "top": 1, "least": 3, "idf": w, "documents": []}
+           for t, c, w in (("common", list(range(100)), 0.1), ("rare", [7], 5.0))]).to_batches(), blocks.Cosine())
+    asked = (["common", "rare"], [0.1, 0.995], 1.0, 1000)
+    full = shard.search(*asked, 0.0, [], 1)
+    scored = shard.postings
+    assert full[0].tolist() == [7] and scored == 101
+    assert shard.search(*asked, 0.99, [], 1)[0].tolist() == [7]  # the common block opens only as the rare one left somebody alive
+    shard.postings = 0
+    assert shard.search(["common"], [1.0], 1.0, 1000, 1.1, [], 1)[0].tolist() == [] and shard.postings == 0
+    assert shard.search(*asked, 0.5, [7], 1)[0].tolist() == [] and shard.postings == 1
 
 
 def test_dense_blocks_agree(spark):
