@@ -1,13 +1,14 @@
 """Scoring predictions against reference answers.
 
-One frame serves point estimates, weighted estimates, resamples and paired comparisons: rows
-(by..., r, w, item) are aggregated once per resample, and every headline metric is an expression
-over those sums. Label metrics need one extra level, sums per (resample, label).
+One frame serves point estimates, weighted estimates, resamples and paired comparisons: item statistics are
+summed once per resample inside the tasks, and every registered metric is an expression over those
+sums. Label metrics need one extra level, sums per (resample, label). `register_metric` adds a metric to all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,11 +16,34 @@ from pyspark.sql import functions as F
 from hindcast.functions.numeric import prf, ratio
 from hindcast.operators import uncertainty
 
-# Headline metrics, in report order.
-METRICS = (
-    "t1_micro_f1", "t1_macro_f1", "t1_type_micro_f1", "t1_area_micro_f1", "t2_link_f1", "t2_link_precision",
-    "t2_link_recall", "t2_detect_f1", "t3_accuracy", "t3_top3_accuracy", "t4_f1", "t4_precision", "t4_recall",
-)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A headline metric: additive item statistics (by name; one name always means one statistic) and a value over their sums.
+
+    Both are functions, so that a metric can be declared without a session. `subset` narrows the items that its own statistics
+    count. A value may also use the label sums `all_*`, `type_*`, `area_*` (tp, fp, fn) and `macro`, and is null without support.
+    """
+
+    name: str
+    value: Callable[[], Column]
+    sums: Callable[[], Mapping[str, Column]] = dict
+    subset: Callable[[], Column] | None = None
+
+    def statistics(self) -> dict[str, Column]:
+        own = dict(self.sums())
+        return own if self.subset is None else {n: F.when(self.subset(), c.cast("double")).otherwise(0.0) for n, c in own.items()}
+
+
+REGISTRY: dict[str, Metric] = {}  # in report order
+
+
+def register_metric(metric: Metric) -> None:
+    """Score, resample and compare `metric` from now on, beside the others."""
+    if metric.name in REGISTRY:
+        raise ValueError(f"metric {metric.name} is registered already")
+    REGISTRY[metric.name] = metric
 
 
 def scored_items(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
@@ -35,90 +59,147 @@ def scored_items(gold: DataFrame, predictions: DataFrame, key: str) -> DataFrame
     return g.join(p, key)
 
 
-def _item_sums() -> dict[str, Column]:
-    """Additive statistics of one item for the link, component and needs-info tasks."""
+def _duplicates() -> dict[str, Column]:
     g, p = F.col("g_dup"), F.col("p_dup")
     right = F.coalesce(g == p, F.lit(False))
-    has_component = F.col("g_comp").isNotNull()
-    ranked = F.when(F.size("p_cands") > 0, F.col("p_cands")).otherwise(
-        F.array_compact(F.array("p_comp")))
-    gi, pi = F.col("g_info"), F.col("p_info")
     return {
-        "n": F.lit(1), "triaged": F.col("human_triaged"),
         "link_tp": right, "link_fp": p.isNotNull() & ~right, "link_fn": g.isNotNull() & ~right,
-        "det_tp": g.isNotNull() & p.isNotNull(), "det_fp": g.isNull() & p.isNotNull(), "det_fn": g.isNotNull() & p.isNull(),
-        "comp_n": has_component, "comp_hit": has_component & F.coalesce(F.col("g_comp") == F.col("p_comp"), F.lit(False)),
-        "comp_top3": has_component & F.coalesce(F.array_contains(F.slice(ranked, 1, 3), F.col("g_comp")), F.lit(False)),
-        "info_tp": gi & pi, "info_fp": ~gi & pi, "info_fn": gi & ~pi,
-    }
+        "det_tp": g.isNotNull() & p.isNotNull(), "det_fp": g.isNull() & p.isNotNull(), "det_fn": g.isNotNull() & p.isNull()}
 
 
-def label_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by..., r, label, grp, known, tp, fp, fn) over human-triaged items.
+def _components() -> dict[str, Column]:
+    known = F.col("g_comp").isNotNull()
+    ranked = F.when(F.size("p_cands") > 0, F.col("p_cands")).otherwise(F.array_compact(F.array("p_comp")))
+    return {
+        "comp_n": known, "comp_hit": known & F.coalesce(F.col("g_comp") == F.col("p_comp"), F.lit(False)),
+        "comp_top3": known & F.coalesce(F.array_contains(F.slice(ranked, 1, 3), F.col("g_comp")), F.lit(False))}
 
-    `grp` comes from the reference labels present in that resample, so a predicted label nobody
-    holds there has no group and drops out of the group metrics.
-    """
-    either = F.array_union("g_labels", "p_labels")
-    long = rows.filter("human_triaged").select(*by, "r", "w", "g_labels", "p_labels", "g_groups", F.explode(either).alias("label"))
-    in_g, in_p = F.array_contains("g_labels", F.col("label")), F.array_contains("p_labels", F.col("label"))
-    total = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0))
-    return long.groupBy(*by, "r", "label").agg(
-        F.max(F.when(in_g, F.element_at("g_groups", F.col("label")))).alias("grp"),
-        total(in_g & in_p).alias("tp"), total(~in_g & in_p).alias("fp"), total(in_g & ~in_p).alias("fn"))
 
+def _needs_info() -> dict[str, Column]:
+    g, p = F.col("g_info"), F.col("p_info")
+    return {"info_tp": g & p, "info_fp": ~g & p, "info_fn": g & ~p}
 
-def metric_frame(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., r, every headline metric); null where the metric has no support."""
-    by = list(by)
-    labels = label_sums(rows, by)
-    aggs = [F.avg(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).alias("_macro")]
-    for name, cond in (("all", F.lit(True)), ("type", F.col("grp") == "type"), ("area", F.col("grp") == "area")):
-        for c in ("tp", "fp", "fn"):
-            aggs.append(F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0.0)).alias(f"_{name}_{c}"))
-    t1 = labels.groupBy(*by, "r").agg(*aggs)
-    sums = uncertainty.resample_sums(rows, _item_sums(), by).join(t1, [*by, "r"], "left")
-
-    def micro(name: str) -> Column:
-        f1 = prf(F.col(f"_{name}_tp"), F.col(f"_{name}_fp"), F.col(f"_{name}_fn"))[2]
-        return F.when(F.col("triaged") > 0, F.coalesce(f1, F.lit(0.0)))
 
-    def task(prefix: str) -> tuple[Column, Column, Column]:
+def _task(prefix: str, which: int) -> Callable[[], Column]:
+    """Precision, recall or F1 (0, 1, 2) of a task with reference positives."""
+    def value() -> Column:
         tp, fp, fn = (F.col(f"{prefix}_{c}") for c in ("tp", "fp", "fn"))
-        return tuple(F.when(tp + fn > 0, m) for m in prf(tp, fp, fn))
+        return F.when(tp + fn > 0, prf(tp, fp, fn)[which])
+
+    return value
+
+
+def _micro(group: str) -> Callable[[], Column]:
+    def value() -> Column:
+        f1 = prf(F.col(f"{group}_tp"), F.col(f"{group}_fp"), F.col(f"{group}_fn"))[2]
+        return F.when(F.col("triaged") > 0, F.coalesce(f1, F.lit(0.0)))
 
-    link, detect, info = task("link"), task("det"), task("info")
-    share = lambda c: F.when(F.col("comp_n") > 0, F.col(c) / F.col("comp_n"))
-    values = (
-        micro("all"), F.when(F.col("triaged") > 0, F.coalesce("_macro", F.lit(0.0))), micro("type"), micro("area"),
-        link[2], link[0], link[1], detect[2], share("comp_hit"), share("comp_top3"), info[2], info[0], info[1],
-    )
-    return sums.select(*by, "r", "n", *[v.alias(m) for m, v in zip(METRICS, values, strict=True)])
+    return value
 
 
-def point_scores(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _share(hits: str) -> Callable[[], Column]:
+    return lambda: F.when(F.col("comp_n") > 0, F.col(hits) / F.col("comp_n"))
+
+
+def _triaged() -> dict[str, Column]:
+    return {"triaged": F.col("human_triaged")}
+
+
+for _metric in (
+    Metric("t1_micro_f1", _micro("all"), _triaged),
+    Metric("t1_macro_f1", lambda: F.when(F.col("triaged") > 0, F.coalesce("macro", F.lit(0.0))), _triaged),
+    Metric("t1_type_micro_f1", _micro("type"), _triaged), Metric("t1_area_micro_f1", _micro("area"), _triaged),
+    Metric("t2_link_f1", _task("link", 2), _duplicates), Metric("t2_link_precision", _task("link", 0), _duplicates),
+    Metric("t2_link_recall", _task("link", 1), _duplicates), Metric("t2_detect_f1", _task("det", 2), _duplicates),
+    Metric("t3_accuracy", _share("comp_hit"), _components), Metric("t3_top3_accuracy", _share("comp_top3"), _components),
+    Metric("t4_f1", _task("info", 2), _needs_info), Metric("t4_precision", _task("info", 0), _needs_info),
+    Metric("t4_recall", _task("info", 1), _needs_info),
+):
+    register_metric(_metric)
+
+
+def label_rows(items: DataFrame, by: Sequence[str], key: str, weight: str | None = None) -> DataFrame:
+    """(by..., key, weight, label, grp, held, tp, fp, fn): a row per human-triaged item and label that either side gives."""
+    kept = dict.fromkeys([*by, key, *([weight] if weight else [])])
+    long = items.filter("human_triaged").select(
+        *kept, "g_labels", "p_labels", "g_groups", F.explode(F.array_union("g_labels", "p_labels")).alias("label"))
+    g, p = F.array_contains("g_labels", F.col("label")), F.array_contains("p_labels", F.col("label"))
+    return long.select(
+        *kept, "label", F.when(g, F.element_at("g_groups", F.col("label"))).alias("grp"), g.alias("held"), (g & p).alias("tp"),
+        (~g & p).alias("fp"), (g & ~p).alias("fn"))
+
+
+def _summed_labels(labels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., r, macro, all_tp, ..., area_fn) from sums per (by..., r, label).
+
+    A label's group counts in a resample only where the reference holds the label there; labels nobody gives there drop out.
+    """
+    there = labels.filter("tp + fp + fn > 0")
+    aggs = [F.avg(prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]).alias("macro")]
+    for name in ("all", "type", "area"):
+        inside = F.lit(True) if name == "all" else (F.col("grp") == name) & (F.col("held") > 0)
+        aggs += [F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0.0)).alias(f"{name}_{c}") for c in ("tp", "fp", "fn")]
+    return there.groupBy(*by, "r").agg(*aggs)
+
+
+def metric_frame(
+    items: DataFrame, key: str, by: Sequence[str] = (), *, resamples: int = uncertainty.RESAMPLES, weight: str | None = None, seed: str = "0",
+) -> DataFrame:
+    """(by..., r, n, every registered metric); null where the metric has no support. r as in `resample_totals`."""
+    by = list(by)
+    sums: dict[str, Column] = {"n": F.lit(1)}
+    for metric in REGISTRY.values():
+        sums.update(metric.statistics())
+    draw = {"resamples": resamples, "seed": seed, "weight": weight}
+    totals = uncertainty.resample_totals(items, key, sums, by, **draw)
+    rows = label_rows(items, by, key, weight)
+    per_label = uncertainty.resample_totals(rows, key, {c: F.col(c) for c in ("held", "tp", "fp", "fn")}, [*by, "label"], **draw)
+    groups = rows.groupBy(*by, "label").agg(F.max("grp").alias("grp"))
+    labelled = per_label.join(groups.withColumnsRenamed({c: f"_g_{c}" for c in [*by, "label"]}), [
+        F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in [*by, "label"]]).drop(*[f"_g_{c}" for c in [*by, "label"]])
+    summed = _summed_labels(labelled, by).withColumnsRenamed({c: f"_l_{c}" for c in [*by, "r"]})
+    joined = totals.join(summed, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in [*by, "r"]], "left")
+    return joined.filter((F.col("n") > 0) | (F.col("r") <= 0)).select(*by, "r", "n", *[m.value().alias(m.name) for m in REGISTRY.values()])
+
+
+def point_scores(items: DataFrame, by: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
     """(by..., metric, point, weighted): no resampling."""
-    both = F.array(F.struct(F.lit(0).alias("r"), F.lit(1.0).alias("w")), F.struct(F.lit(-1).alias("r"), F.col("weight").alias("w")))
-    rows = items.withColumn("_x", F.explode(both)).select(*items.columns, "_x.r", "_x.w")
-    out = uncertainty.intervals(metric_frame(rows, by), METRICS, by)
-    return out.select(*by, "metric", "point", "weighted")
+    frame = metric_frame(items, key if key in items.columns else items.columns[0], by, resamples=0, weight="weight")
+    return uncertainty.intervals(frame, list(REGISTRY), by).select(*by, "metric", "point", "weighted")
+
 
+def scorecard(
+    items: DataFrame, key: str, by: Sequence[str] = (), resamples: int = uncertainty.RESAMPLES, stats: bool = False,
+) -> DataFrame:
+    """(by..., metric, point, low, high, weighted, valid_resamples): every registered metric with its interval and weighted estimate.
 
-def scorecard(items: DataFrame, key: str, by: Sequence[str] = (), resamples: int = uncertainty.RESAMPLES) -> DataFrame:
-    rows = uncertainty.resampled(items, key, by=by, resamples=resamples, weight="weight")
-    return uncertainty.intervals(metric_frame(rows, by), METRICS, by)
+    With `stats` also one row per label (`label_f1:<label>`) and per system statistic (`system:<name>`), as points.
+    """
+    out = uncertainty.intervals(metric_frame(items, key, by, resamples=resamples, weight="weight"), list(REGISTRY), by)
+    if not stats:
+        return out
+    labels = per_label_f1(items, by).select(*by, F.concat(F.lit("label_f1:"), "label").alias("metric"), F.col("f1").alias("point"))
+    system = system_stats(items, list(by), F.col("error").isNotNull(), F.col("cost_usd"), F.col("latency_ms").cast("double"))
+    names = [c for c in system.columns if c not in by]
+    long = system.select(*by, F.explode(F.array(*[
+        F.struct(F.concat(F.lit("system:"), F.lit(n)).alias("metric"), F.col(n).cast("double").alias("point")) for n in names])).alias("x"))
+    both = labels.unionByName(long.select(*by, "x.metric", "x.point"))
+    none = F.lit(None).cast("double")
+    return out.unionByName(both.select(
+        *by, "metric", "point", none.alias("low"), none.alias("high"), none.alias("weighted"), F.lit(0).cast("long").alias("valid_resamples")))
 
 
 def per_label_f1(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    rows = items.withColumn("r", F.lit(0)).withColumn("w", F.lit(1.0))
+    key = items.columns[0]
+    counts = label_rows(items, by, key).groupBy(*by, "label").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("tp", "fp", "fn")])
     p, r, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return label_sums(rows, list(by)).select(*by, "label", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+    return counts.select(*by, "label", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def system_stats(items: DataFrame, by: str, error: Column, cost: Column, latency: Column) -> DataFrame:
+def system_stats(items: DataFrame, by: str | list[str], error: Column, cost: Column, latency: Column) -> DataFrame:
     """Errors, cost and latency percentiles per run. Latency is whole milliseconds, so the exact
     percentile's buffer holds distinct values, not rows."""
-    return items.groupBy(by).agg(
+    return items.groupBy(*([by] if isinstance(by, str) else by)).agg(
         F.count(F.lit(1)).alias("issues"), F.count_if(error).alias("errors"), F.sum(cost).alias("cost_total"),
         F.avg(cost).alias("cost_per_issue"), uncertainty.percentile_linear(latency, 50).alias("latency_p50"),
         uncertainty.percentile_linear(latency, 95).alias("latency_p95"))
@@ -149,13 +230,18 @@ def load_split(snapshots: DataFrame, silver: DataFrame, splits: DataFrame, key:
 
 
 def compared_items(
-    comparisons: DataFrame, gold: DataFrame, predictions: DataFrame, key: str, exclude_errors: bool = False
+    comparisons: DataFrame, gold: DataFrame, predictions: DataFrame, key: str, exclude_errors: bool = False, splits: DataFrame | None = None,
 ) -> DataFrame:
     """Items of declared comparisons (comparison, a, b), each on the keys both runs answered.
 
-    The comparison list is configuration (checked small by the caller's report), so it is
-    broadcast to the predictions: every comparison is scored in one job.
+    `splits` (run_id, split) names what each run was run on: the job fails when a comparison's runs differ in it.
     """
+    if splits is not None:
+        named = [splits.select(F.col("run_id").alias(s), F.col("split").alias(f"_{s}")) for s in ("a", "b")]
+        known = comparisons.join(named[0], "a", "left").join(named[1], "b", "left")
+        same = F.when(F.col("_a").eqNullSafe(F.col("_b")), True).otherwise(F.raise_error(F.concat(
+            F.lit("runs of different splits: "), "a", F.lit(" and "), "b")).cast("boolean"))
+        comparisons = known.filter(same).select("comparison", "a", "b")
     sides = comparisons.select("comparison", F.explode(F.array(
         F.struct(F.lit("a").alias("side"), F.col("a").alias("run_id")),
         F.struct(F.lit("b").alias("side"), F.col("b").alias("run_id")))).alias("x")).select("comparison", "x.side", "x.run_id")
@@ -170,11 +256,10 @@ def compare_runs(items: DataFrame, key: str, resamples: int = uncertainty.RESAMP
 
     Draws depend on the resample number and the item only, so both sides see the same ones.
     """
-    rows = uncertainty.resampled(items, key, by=["comparison", "side"], resamples=resamples)
-    frame = metric_frame(rows, ["comparison", "side"])
+    frame = metric_frame(items, key, ["comparison", "side"], resamples=resamples)
     wide = frame.groupBy("comparison", "r").agg(*[
-        F.max(F.when(F.col("side") == s, F.col(m))).alias(f"{s}_{m}") for s in ("a", "b") for m in METRICS])
-    return uncertainty.paired_deltas(wide, METRICS, ["comparison"])
+        F.max(F.when(F.col("side") == s, F.col(m))).alias(f"{s}_{m}") for s in ("a", "b") for m in REGISTRY])
+    return uncertainty.paired_deltas(wide, list(REGISTRY), ["comparison"])
 
 
 def leaderboard(runs: DataFrame, config: str, columns: Sequence[str]) -> DataFrame:

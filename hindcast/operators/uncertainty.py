@@ -2,19 +2,24 @@
 
 A metric is a function of sums over items, so a resample is a weighted sum: no metric is ever
 recomputed row by row. In each resample an item has an independent Poisson(1) weight, drawn from a hash
-of (seed, resample, item): one law at every size, no join, no shuffle of draws, no count beforehand, and the
-partial aggregate leaves one row per resample and task. `exact=True` asks for draws of exactly n items instead;
-that numbers the items of a group in one window and is meant for small groups.
+of (seed, resample, item): one law at every size, no join, no shuffle of draws, no count beforehand. A task multiplies
+the weights of its items (items x resamples) with their statistics (items x sums), group by group, and returns one row per group:
+items are never repeated per resample. `exact=True` asks for draws of exactly n items instead; that numbers the items of
+a group in one window and is meant for small groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.numeric import poisson_one, uniform
+from hindcast.functions.numeric import POISSON_ONE, poisson_one, uniform
 
 RESAMPLES = 1000
 CONFIDENCE = 0.95
@@ -50,17 +55,104 @@ def resampled(
 
 
 def _statistics(items: DataFrame, key: str, sums: Mapping[str, Column], by: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Only what a resample needs of an item: its statistics travel through the explode, not its row."""
+    """Only what a resample needs of an item: its statistics travel on, not its row."""
     kept = [*by, *([weight] if weight and weight not in by else [])]
     return items.select(
         *kept, *([key] if key not in kept else []), *[c.cast("double").alias(f"_sum_{n}") for n, c in sums.items()])
 
 
+def poisson_weights(keys: Sequence[str], resamples: int, seed: str) -> np.ndarray:
+    """(keys x resamples): the draws that `resampled` makes, for distinct keys."""
+    starts = [f"{seed}|{r}|".encode() for r in range(1, resamples + 1)]
+    md5 = hashlib.md5
+    heads = b"".join([md5(s + k).digest()[:4] for k in (key.encode() for key in keys) for s in starts])
+    uniforms = np.frombuffer(heads, ">u4").reshape(len(keys), resamples) / 4294967296.0
+    return np.searchsorted(POISSON_ONE, uniforms, side="right").astype(float)
+
+
+CHUNK = 2048   # items whose weights a task holds at once
+GROUPS = 2000  # groups whose sums a task holds before it passes them on
+
+
+def _totals(by: Sequence[str], names: Sequence[str], resamples: int, seed: str, weighted: bool):
+    """Rows (by..., _k, _w, sums...) to one row per group: each sum as a list over (point, weighted, resamples)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}  # group -> [row of the by columns, totals]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                groups = pa.concat_tables([pa.Table.from_batches([g[0]]) for g in held.values()]).combine_chunks()
+                stacked = np.stack([g[1] for g in held.values()])  # groups x draws x sums
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(stacked[:, :, i].ravel()), stacked.shape[1]).cast(pa.list_(pa.float64()))
+                         for i in range(len(names))]
+                columns = [groups.column(b).chunk(0) for b in by]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], [*by, *names])
+                held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                keys, place = np.unique(np.array(part.column("_k").to_pylist(), dtype=object).astype(str), return_inverse=True)
+                draws = poisson_weights(keys.tolist(), resamples, seed)
+                own = part.column("_w").to_numpy(zero_copy_only=False) if weighted else np.zeros(part.num_rows)
+                stats = np.column_stack([np.nan_to_num(part.column(n).to_numpy(zero_copy_only=False).astype(float)) for n in names])
+                group = part.select(list(by)).to_pandas().groupby(list(by), dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(part.num_rows, int)
+                for g in range(group.max(initial=-1) + 1):
+                    rows = np.flatnonzero(group == g)
+                    weights = np.column_stack([np.ones(len(rows)), own[rows], draws[place[rows]]])
+                    first = part.slice(int(rows[0]), 1).select(list(by))
+                    name = tuple(first.to_pylist()[0].values()) if by else ()
+                    total = weights.T @ stats[rows]
+                    if name in held:
+                        held[name][1] += total
+                    else:
+                        held[name] = [first, total]
+                if len(held) >= GROUPS:
+                    yield from out()
+        if not by and held:
+            stacked = held[()][1]
+            yield pa.RecordBatch.from_arrays([pa.array([stacked[:, i].tolist()]) for i in range(len(names))], list(names))
+        else:
+            yield from out()
+
+    return run
+
+
+def resample_totals(
+    items: DataFrame, key: str, sums: Mapping[str, Column], by: Sequence[str] = (), *, resamples: int = RESAMPLES, seed: str = "0",
+    weight: str | None = None,
+) -> DataFrame:
+    """(by..., r, sums...): weighted sums of item columns per group and resample; r = 0 the data itself, r = -1 with `weight`.
+
+    Null statistics add nothing. A resample in which a group drew nobody has sums of 0.
+    """
+    by, names = list(by), list(sums)
+    kept = items.select(
+        *by, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"),
+        *[c.cast("double").alias(n) for n, c in sums.items()])
+    types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
+    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + [f"`{n}` array<double>" for n in names])
+    # One row per group and task; only here are resamples laid out as rows.
+    lists = kept.mapInArrow(_totals(by, names, resamples, seed, weight is not None), schema)
+    long = lists.select(*by, F.posexplode(F.arrays_zip(*names)).alias("_at", "_x"))
+    r = F.when(F.col("_at") == 0, POINT).when(F.col("_at") == 1, WEIGHTED).otherwise(F.col("_at") - 1)
+    out = long.groupBy(*by, r.alias("r")).agg(*[F.sum(F.col("_x")[n]).alias(n) for n in names])
+    return out if weight else out.filter(F.col("r") != WEIGHTED)
+
+
 def resample_sums(rows: DataFrame, sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """(by..., r, sums...): weighted sums of item columns per resample."""
     return rows.groupBy(*by, "r").agg(*[F.sum(F.col("w") * c.cast("double")).alias(n) for n, c in sums.items()])
 
 
+def _per_resample(items, key, sums, by, resamples, seed, weight, exact) -> DataFrame:
+    if not exact:
+        return resample_totals(items, key, sums, by, resamples=resamples, seed=seed, weight=weight)
+    rows = resampled(
+        _statistics(items, key, sums, by, weight), key, by=by, resamples=resamples, seed=seed, weight=weight, exact=True)
+    return resample_sums(rows, {n: F.col(f"_sum_{n}") for n in sums}, by)
+
+
 def intervals(per_r: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), confidence: float = CONFIDENCE) -> DataFrame:
     """(by..., metric, point, low, high, weighted, valid_resamples) from one row per resample.
 
@@ -90,9 +182,8 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile intervals of several metrics in one job. `sums` are item columns, `metrics`
     expressions over their sums."""
-    rows = resampled(
-        _statistics(items, key, sums, by, weight), key, by=by, resamples=resamples, seed=seed, weight=weight, exact=exact)
-    per_r = resample_sums(rows, {n: F.col(f"_sum_{n}") for n in sums}, by).select(*by, "r", *[c.alias(n) for n, c in metrics.items()])
+    totals = _per_resample(items, key, sums, by, resamples, seed, weight, exact)
+    per_r = totals.select(*by, "r", *[c.alias(n) for n, c in metrics.items()])
     return intervals(per_r, list(metrics), by, confidence)
 
 
@@ -140,8 +231,7 @@ def paired_bootstrap(
     """B minus A on the same draws; an item row carries both systems' statistics."""
     if set(a) != set(b):
         raise ValueError("both systems need the same metrics")
-    rows = resampled(_statistics(items, key, sums, by), key, by=by, resamples=resamples, seed=seed, exact=exact)
-    per_r = resample_sums(rows, {n: F.col(f"_sum_{n}") for n in sums}, by).select(
+    per_r = _per_resample(items, key, sums, by, resamples, seed, None, exact).select(
         *by, "r", *[c.alias(f"a_{n}") for n, c in a.items()], *[c.alias(f"b_{n}") for n, c in b.items()])
     return paired_deltas(per_r, list(a), by, confidence)
 

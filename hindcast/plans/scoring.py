@@ -206,7 +206,7 @@ def compare_runs(spark, sf):
 def deltas_table(spark, sf):
     long = deltas(spark, sf, [("a", "b"), ("a", "c")])
     cell = F.concat(F.format_string("%+.3f [%+.3f, %+.3f]", "delta", "low", "high"), F.when(F.col("significant"), "*").otherwise(""))
-    return long.groupBy("comparison").pivot("metric", list(sc.METRICS)).agg(F.first(cell))
+    return long.groupBy("comparison").pivot("metric", list(sc.REGISTRY)).agg(F.first(cell))
 
 
 @query("leaderboard", sql="""
