@@ -128,7 +128,7 @@ def tag_agreement(tags: DataFrame, categories: Sequence[str]) -> DataFrame:
 def code_to_category(tags: DataFrame, item: str, codes: str, mapping: DataFrame) -> DataFrame:
     """(item, categories): free codes mapped to categories; unmapped codes drop out.
 
-    The taxonomy is configuration, tens of rows, hence the broadcast.
+    The taxonomy is configuration, tens of rows; the engine sees that and picks the join.
     """
     rows = tags.select(item, F.explode(codes).alias("code")).join(mapping, "code", "left")
     return rows.groupBy(item).agg(F.array_sort(F.collect_set("category")).alias("categories"))
@@ -147,6 +147,12 @@ def consistency_items(answers: DataFrame, key: str, runs: int) -> DataFrame:
     return per.filter((F.col("_runs") == runs) & F.col("_counted")).drop("_runs", "_counted")
 
 
+def run_accuracy(answers: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(decision, key, run_id, right): each run's answer on the items that `consistency_items` kept."""
+    kept = answers.join(items.select("decision", key), ["decision", key], "left_semi")
+    return kept.select("decision", key, "run_id", F.col("answer").eqNullSafe(F.col("truth")).alias("right"))
+
+
 def consistency(items: DataFrame) -> DataFrame:
     """(decision, n, accuracy, pass_k, ever_right, unanimous)."""
     share = lambda c: F.avg(F.col(c).cast("double"))

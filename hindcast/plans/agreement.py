@@ -12,6 +12,7 @@ from hindcast.plans import fixtures as fx
 from hindcast.plans.oracle import poisson_one, u
 from hindcast.plans.registry import query
 from hindcast.plans.scoring import all_predictions, rounded
+from hindcast.sources.scratch import materialise
 from hindcast.sources.tables import read_table
 
 
@@ -165,11 +166,16 @@ def run_answers(spark, sf):
     return rows.select("doc_id", "run_id", F.explode(four).alias("x")).select("doc_id", "run_id", "x.*")
 
 
-ANSWERS = """p AS (SELECT * FROM pred_a UNION ALL SELECT * FROM pred_b UNION ALL SELECT * FROM pred_c),
-an AS (SELECT 'type label' AS decision, doc_id, CASE WHEN list_contains(p.labels, lang) THEN lang END AS answer, lang AS truth FROM p JOIN gold g USING (doc_id) WHERE human_triaged
-  UNION ALL SELECT 'all labels', doc_id, array_to_string(list_sort(p.labels), ','), array_to_string(list_sort(g.labels), ',') FROM p JOIN gold g USING (doc_id) WHERE human_triaged
-  UNION ALL SELECT 'component', doc_id, p.component, g.component FROM p JOIN gold g USING (doc_id) WHERE g.component IS NOT NULL
-  UNION ALL SELECT 'duplicate link', doc_id, p.duplicate_of::VARCHAR, g.duplicate_of::VARCHAR FROM p JOIN gold g USING (doc_id)),
+def answers_sql(run=""):
+    """Every answer beside the truth; `run` may add the run's column."""
+    return f"""SELECT 'type label' AS decision, doc_id, {run}CASE WHEN list_contains(p.labels, lang) THEN lang END AS answer, lang AS truth FROM p JOIN gold g USING (doc_id) WHERE human_triaged
+  UNION ALL SELECT 'all labels', doc_id, {run}array_to_string(list_sort(p.labels), ','), array_to_string(list_sort(g.labels), ',') FROM p JOIN gold g USING (doc_id) WHERE human_triaged
+  UNION ALL SELECT 'component', doc_id, {run}p.component, g.component FROM p JOIN gold g USING (doc_id) WHERE g.component IS NOT NULL
+  UNION ALL SELECT 'duplicate link', doc_id, {run}p.duplicate_of::VARCHAR, g.duplicate_of::VARCHAR FROM p JOIN gold g USING (doc_id)"""
+
+
+ANSWERS = f"""p AS (SELECT * FROM pred_a UNION ALL SELECT * FROM pred_b UNION ALL SELECT * FROM pred_c),
+an AS ({answers_sql()}),
 it AS (SELECT decision, doc_id, avg((answer IS NOT DISTINCT FROM truth)::INT) AS accuracy, bool_and(answer IS NOT DISTINCT FROM truth) AS every,
   bool_or(answer IS NOT DISTINCT FROM truth) AS ever, count(DISTINCT coalesce(answer, '~')) = 1 AS same FROM an GROUP BY ALL)"""
 
@@ -182,10 +188,35 @@ def consistency(spark, sf):
     return rounded(out, "accuracy", "pass_k", "ever_right", "unanimous")
 
 
-@query("consistency_report")
+SEED = "'0'"
+
+
+def consistency_report_sql():
+    w = f"CASE WHEN r = 0 THEN 1 ELSE {poisson_one(u(SEED, 'r', 'doc_id'))} END::DOUBLE"
+    shares = ", ".join(f"{{'metric': '{m}', 'v': sum(w * {c}::DOUBLE) / nullif(sum(w), 0)}}" for m, c in (
+        ("accuracy", "accuracy"), ("pass_k", '"every"'), ("ever_right", "ever"), ("unanimous", "same")))
+    return f"""WITH {ANSWERS},
+dr AS (SELECT r, doc_id, {w} AS w FROM gold, range(0, 1001) t(r)),
+mi AS (SELECT decision, r, unnest([{shares}]) AS x FROM it JOIN dr USING (doc_id) GROUP BY decision, r),
+an2 AS ({answers_sql('run_id, ')}),
+mr AS (SELECT decision, r, 'accuracy_' || run_id AS metric, sum(w * (answer IS NOT DISTINCT FROM truth)::INT) / nullif(sum(w), 0) AS v
+  FROM an2 JOIN dr USING (doc_id) GROUP BY ALL),
+m AS (SELECT decision, r, x.metric AS metric, x.v AS v FROM mi UNION ALL SELECT * FROM mr)
+SELECT decision, metric, round(max(v) FILTER (WHERE r = 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 6) AS low,
+  round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 6) AS high, count(v) FILTER (WHERE r > 0) AS valid_resamples FROM m GROUP BY ALL"""
+
+
+@query("consistency_report", "pred_a", "pred_b", "pred_c", sql=consistency_report_sql())
 def consistency_report(spark, sf):
-    items = ag.consistency_items(run_answers(spark, sf), "doc_id", 3)
+    """Accuracy, pass^k, ever right and unanimity per decision, and each run's own accuracy, with intervals."""
+    answers = run_answers(spark, sf)
+    items = materialise(ag.consistency_items(answers, "doc_id", 3), "consistency-items")
     sums = {"n": F.lit(1), **{c: F.col(c) for c in ("accuracy", "every", "ever", "same")}}
     share = lambda c: F.col(c) / F.col("n")
     metrics = {"accuracy": share("accuracy"), "pass_k": share("every"), "ever_right": share("ever"), "unanimous": share("same")}
-    return un.bootstrap_ci(items, "doc_id", sums, metrics, by=["decision"])
+    whole = un.bootstrap_ci(items, "doc_id", sums, metrics, by=["decision"])
+    runs = un.bootstrap_ci(
+        ag.run_accuracy(answers, items, "doc_id"), "doc_id", {"n": F.lit(1), "right": F.col("right")}, {"accuracy": share("right")},
+        by=["decision", "run_id"])
+    both = whole.unionByName(runs.withColumn("metric", F.concat("metric", F.lit("_"), "run_id")).drop("run_id"))
+    return rounded(both.drop("weighted"), "point", "low", "high")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.numeric import r6, uniform
 from hindcast.operators import scoring as sc
 from hindcast.plans import fixtures as fx
-from hindcast.plans.oracle import ratio, u
+from hindcast.plans.oracle import poisson_one, ratio, u
 from hindcast.plans.registry import query
 from hindcast.sources.tables import read_table
 
@@ -150,9 +150,72 @@ def metric_registry(spark, sf):
     return rounded(sc.point_scores(items(spark, sf)), "point", "weighted")
 
 
-@query("scorecard")
+QUOTED_SEED = "'0'"
+
+
+def sampled_sql(runs, where="true", lowest=-1):
+    """`m` (k, r, metric, v): every headline metric of each run in the data (r = 0), by weight (-1) and in 1,000 resamples."""
+    w = f"CASE WHEN r = 0 THEN 1 WHEN r = -1 THEN weight ELSE {poisson_one(u(QUOTED_SEED, 'r', 'doc_id'))} END::DOUBLE"
+    flags = {
+        "triaged": "human_triaged", "link_tp": "g.duplicate_of = p.duplicate_of",
+        "link_fp": "p.duplicate_of IS NOT NULL AND g.duplicate_of IS DISTINCT FROM p.duplicate_of",
+        "link_fn": "g.duplicate_of IS NOT NULL AND g.duplicate_of IS DISTINCT FROM p.duplicate_of",
+        "det_tp": "g.duplicate_of IS NOT NULL AND p.duplicate_of IS NOT NULL", "det_fp": "g.duplicate_of IS NULL AND p.duplicate_of IS NOT NULL",
+        "det_fn": "g.duplicate_of IS NOT NULL AND p.duplicate_of IS NULL", "comp_n": "g.component IS NOT NULL",
+        "comp_hit": "g.component = p.component", "comp_top3": "list_contains(component_candidates[1:3], g.component)",
+        "info_tp": "g.needs_info AND p.needs_info", "info_fp": "NOT g.needs_info AND p.needs_info", "info_fn": "g.needs_info AND NOT p.needs_info"}
+    sums = ", ".join(f"coalesce(sum(w) FILTER (WHERE {c}), 0) AS {n}" for n, c in flags.items())
+    group = "CASE WHEN label[1] = 'q' THEN 'area' WHEN label[1] = 't' THEN 'family' ELSE 'type' END"
+    parts = ", ".join(
+        f"coalesce(sum({c}) FILTER (WHERE {cond}), 0) AS {n}_{c}" for n, cond in (
+            ("all", "true"), ("type", f"held > 0 AND {group} = 'type'"), ("area", f"held > 0 AND {group} = 'area'")) for c in ("tp", "fp", "fn"))
+
+    def stat(prefix, which):
+        tp, fp, fn = (f"{prefix}_{c}" for c in ("tp", "fp", "fn"))
+        value = {"f1": ratio(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}"), "precision": ratio(tp, f"{tp} + {fp}"), "recall": ratio(tp, f"{tp} + {fn}")}[which]
+        return f"CASE WHEN {tp} + {fn} > 0 THEN {value} END"
+
+    def micro(prefix):
+        return f"CASE WHEN triaged > 0 THEN coalesce({ratio(f'2 * {prefix}_tp', f'2 * {prefix}_tp + {prefix}_fp + {prefix}_fn')}, 0) END"
+
+    values = {
+        "t1_micro_f1": micro("all"), "t1_macro_f1": "CASE WHEN triaged > 0 THEN coalesce(macro, 0) END", "t1_type_micro_f1": micro("type"),
+        "t1_area_micro_f1": micro("area"), "t2_link_f1": stat("link", "f1"), "t2_link_precision": stat("link", "precision"),
+        "t2_link_recall": stat("link", "recall"), "t2_detect_f1": stat("det", "f1"),
+        "t3_accuracy": "CASE WHEN comp_n > 0 THEN comp_hit / comp_n END", "t3_top3_accuracy": "CASE WHEN comp_n > 0 THEN comp_top3 / comp_n END",
+        "t4_f1": stat("info", "f1"), "t4_precision": stat("info", "precision"), "t4_recall": stat("info", "recall")}
+    listed = ", ".join(f"{{'metric': '{n}', 'v': ({e})::DOUBLE}}" for n, e in values.items())
+    return f"""pr AS ({runs}),
+dr AS (SELECT r, doc_id, {w} AS w FROM gold, range({lowest}, 1001) t(r)),
+pg AS (SELECT p.*, g.labels AS gl, human_triaged FROM pr p JOIN gold g USING (doc_id) WHERE {where}),
+tot AS (SELECT p.k, r, {sums} FROM pr p JOIN gold g USING (doc_id) JOIN dr USING (doc_id) WHERE {where} GROUP BY ALL),
+lr AS (SELECT k, doc_id, label, bool_or(g) AS g, bool_or(p) AS p FROM (
+  SELECT k, doc_id, unnest(gl) AS label, true AS g, false AS p FROM pg WHERE human_triaged
+  UNION ALL SELECT k, doc_id, unnest(labels), false, true FROM pg WHERE human_triaged) GROUP BY ALL),
+lt AS (SELECT k, r, label, coalesce(sum(w) FILTER (WHERE g), 0) AS held, coalesce(sum(w) FILTER (WHERE g AND p), 0) AS tp,
+  coalesce(sum(w) FILTER (WHERE p AND NOT g), 0) AS fp, coalesce(sum(w) FILTER (WHERE g AND NOT p), 0) AS fn FROM lr JOIN dr USING (doc_id) GROUP BY ALL),
+ls AS (SELECT k, r, avg(2 * tp / (2 * tp + fp + fn)) AS macro, {parts} FROM lt WHERE tp + fp + fn > 0 GROUP BY ALL),
+mx AS (SELECT k, r, unnest([{listed}]) AS x FROM tot LEFT JOIN ls USING (k, r)),
+m AS (SELECT k, r, x.metric AS metric, x.v AS v FROM mx)"""
+
+
+TWO_RUNS = "SELECT run_id AS k, * FROM pred_a UNION ALL SELECT run_id, * FROM pred_b"
+SCORECARD_SQL = f"""WITH {sampled_sql(TWO_RUNS)},
+iv AS (SELECT k AS run_id, metric, max(v) FILTER (WHERE r = 0) AS point, quantile_cont(v, 0.025) FILTER (WHERE r > 0) AS low,
+  quantile_cont(v, 0.975) FILTER (WHERE r > 0) AS high, max(v) FILTER (WHERE r = -1) AS weighted, count(v) FILTER (WHERE r > 0) AS valid FROM m GROUP BY ALL),
+st AS (SELECT k, unnest([{{'metric': 'issues', 'v': count(*)::DOUBLE}}, {{'metric': 'errors', 'v': count(error)::DOUBLE}},
+  {{'metric': 'cost_total', 'v': sum(cost_usd)}}, {{'metric': 'cost_per_issue', 'v': avg(cost_usd)}},
+  {{'metric': 'latency_p50', 'v': quantile_cont(latency_ms::DOUBLE, 0.5)}}, {{'metric': 'latency_p95', 'v': quantile_cont(latency_ms::DOUBLE, 0.95)}}]) AS x FROM pr GROUP BY k)
+SELECT run_id, metric, round(point, 6) AS point, CASE WHEN point IS NOT NULL THEN round(low, 6) END AS low,
+  CASE WHEN point IS NOT NULL THEN round(high, 6) END AS high, round(weighted, 6) AS weighted, CASE WHEN point IS NULL THEN 0 ELSE valid END AS valid_resamples FROM iv
+UNION ALL SELECT k, 'label_f1:' || label, round(2 * tp / (2 * tp + fp + fn), 6), NULL, NULL, NULL, 0 FROM lt WHERE r = 0
+UNION ALL SELECT k, 'system:' || x.metric, round(x.v, 6), NULL, NULL, NULL, 0 FROM st"""
+
+
+@query("scorecard", "gold", "pred_a", "pred_b", sql=SCORECARD_SQL)
 def scorecard(spark, sf):
-    return sc.scorecard(sc.scored_items(fx.gold(spark, sf), all_predictions(spark, sf, ("a", "b")), "doc_id"), "doc_id", ["run_id"])
+    rows = sc.scored_items(fx.gold(spark, sf), all_predictions(spark, sf, ("a", "b")), "doc_id")
+    return rounded(sc.scorecard(rows, "doc_id", ["run_id"], stats=True), "point", "low", "high", "weighted")
 
 
 @query("system_stats", sql="""
@@ -192,17 +255,43 @@ def comparison_list(spark, pairs):
 
 def deltas(spark, sf, pairs, exclude_errors=False):
     runs = sorted({r for p in pairs for r in p})
+    splits = spark.createDataFrame([(r, "test") for r in runs], "run_id string, split string")  # all runs answered the same documents
     compared = sc.compared_items(
-        comparison_list(spark, pairs), fx.gold(spark, sf), all_predictions(spark, sf, runs), "doc_id", exclude_errors)
+        comparison_list(spark, pairs), fx.gold(spark, sf), all_predictions(spark, sf, runs), "doc_id", exclude_errors, splits)
     return sc.compare_runs(compared, "doc_id")
 
 
-@query("compare_runs")
+def deltas_sql(a, b, where="true"):
+    """`d_<b>`: the paired deltas of run b over run a."""
+    both = f"SELECT 'a' AS k, * FROM pred_{a} UNION ALL SELECT 'b', * FROM pred_{b}"
+    return f"""d_{b} AS (WITH {sampled_sql(both, where, 0)},
+  wide AS (SELECT r, metric, max(v) FILTER (WHERE k = 'a') AS a, max(v) FILTER (WHERE k = 'b') AS b FROM m GROUP BY ALL),
+  dl AS (SELECT metric, max(a) FILTER (WHERE r = 0) AS a, max(b) FILTER (WHERE r = 0) AS b, max(b - a) FILTER (WHERE r = 0) AS delta,
+    quantile_cont(b - a, 0.025) FILTER (WHERE r > 0) AS low, quantile_cont(b - a, 0.975) FILTER (WHERE r > 0) AS high,
+    avg((b - a > 0)::INT) FILTER (WHERE r > 0) AS share_b_better, count(b - a) FILTER (WHERE r > 0) AS valid FROM wide GROUP BY metric)
+  SELECT '{b}-{a}' AS comparison, metric, a, b, delta, low, high, share_b_better, valid AS valid_resamples,
+    coalesce(low > 0 OR high < 0, false) AS significant FROM dl WHERE delta IS NOT NULL AND valid > 0)"""
+
+
+NO_ERRORS = "doc_id IN (SELECT doc_id FROM pred_a WHERE error IS NULL) AND doc_id IN (SELECT doc_id FROM pred_b WHERE error IS NULL)"
+DELTA_COLUMNS = ("a", "b", "delta", "low", "high", "share_b_better")
+
+
+@query("compare_runs", "gold", "pred_a", "pred_b", sql=f"""WITH {deltas_sql('a', 'b', NO_ERRORS)}
+SELECT comparison, metric, {', '.join(f'round({c}, 6) AS {c}' for c in DELTA_COLUMNS)}, valid_resamples, significant FROM d_b""")
 def compare_runs(spark, sf):
-    return deltas(spark, sf, [("a", "b")], exclude_errors=True)
+    return rounded(deltas(spark, sf, [("a", "b")], exclude_errors=True), *DELTA_COLUMNS)
+
+
+def deltas_table_sql():
+    cell = "printf('%+.3f [%+.3f, %+.3f]', delta, low, high) || CASE WHEN significant THEN '*' ELSE '' END"
+    names = ("t1_micro_f1 t1_macro_f1 t1_type_micro_f1 t1_area_micro_f1 t2_link_f1 t2_link_precision t2_link_recall t2_detect_f1 "
+             "t3_accuracy t3_top3_accuracy t4_f1 t4_precision t4_recall").split()
+    return f"""WITH {deltas_sql('a', 'b')}, {deltas_sql('a', 'c')}, every AS (SELECT * FROM d_b UNION ALL SELECT * FROM d_c)
+SELECT comparison, {', '.join(f"max({cell}) FILTER (WHERE metric = '{n}') AS {n}" for n in names)} FROM every GROUP BY comparison"""
 
 
-@query("deltas_table")
+@query("deltas_table", "gold", "pred_a", "pred_b", "pred_c", sql=deltas_table_sql())
 def deltas_table(spark, sf):
     long = deltas(spark, sf, [("a", "b"), ("a", "c")])
     cell = F.concat(F.format_string("%+.3f [%+.3f, %+.3f]", "delta", "low", "high"), F.when(F.col("significant"), "*").otherwise(""))

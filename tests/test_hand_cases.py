@@ -288,3 +288,43 @@ def test_unpriced_models_and_missing_predictions_fail(spark):
         priced(calls, spark.createDataFrame([("m1", 1.0)], "model string, input_per_mtok double"), "model").collect()
     with pytest.raises(Exception, match="no prediction"):
         scoring.require_aligned(spark.range(3), spark.range(2), "id").collect()
+
+
+def test_a_registered_metric_is_scored_and_compared(spark):
+    rows = items(spark, [(i, ["a"], ["a"] if i % 3 else ["b"], i if i % 2 else None, i if i % 5 else None) for i in range(30)])
+    metric = scoring.Metric(
+        "x_links_given", lambda: F.col("x_given") / F.col("n"), lambda: {"x_given": F.col("p_dup").isNotNull()}, lambda: F.col("id") >= 10)
+    scoring.register_metric(metric)
+    try:
+        with pytest.raises(ValueError):
+            scoring.register_metric(metric)
+        card = {r["metric"]: r for r in scoring.scorecard(rows, "id", resamples=50).collect()}
+        assert card["x_links_given"]["point"] == 16 / 30 and card["x_links_given"]["low"] < 16 / 30 < card["x_links_given"]["high"]
+        sides = rows.withColumn("comparison", F.lit("b-a")).withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
+        delta = {r["metric"]: r for r in scoring.compare_runs(sides, "id", resamples=20).collect()}
+        assert delta["x_links_given"]["delta"] == 0 and delta["t1_micro_f1"]["a"] == card["t1_micro_f1"]["point"]
+    finally:
+        del scoring.REGISTRY["x_links_given"]
+
+
+def test_runs_of_different_splits_are_not_compared(spark):
+    pairs = spark.createDataFrame([("b-a", "a", "b")], "comparison string, a string, b string")
+    splits = spark.createDataFrame([("a", "dev"), ("b", "test")], "run_id string, split string")
+    gold = spark.createDataFrame([(1, ["x"])], "id long, labels array<string>").selectExpr(
+        "id", "labels", "map('x', 'type') AS label_groups", "true AS human_triaged", "CAST(NULL AS LONG) AS duplicate_of",
+        "'c' AS component", "false AS needs_info", "1.0D AS weight")
+    given = gold.crossJoin(spark.createDataFrame([("a",), ("b",)], "run_id string")).selectExpr(
+        "id", "run_id", "labels", "duplicate_of", "component", "array('c') AS component_candidates", "needs_info", "CAST(NULL AS STRING) AS error",
+        "0.1D AS cost_usd", "5L AS latency_ms")
+    with pytest.raises(Exception, match="different splits"):
+        scoring.compared_items(pairs, gold, given, "id", splits=splits).collect()
+    assert scoring.compared_items(pairs, gold, given, "id", splits=splits.withColumn("split", F.lit("dev"))).count() == 2
+
+
+def test_in_task_draws_equal_the_expressions(spark):
+    df = spark.range(300).selectExpr("id", "id % 3 AS g", "id * 1.5D AS v", "CAST(NULL AS DOUBLE) AS none")
+    rows = uncertainty.resampled(df, "id", by=["g"], resamples=25, seed="s", weight="v")
+    sums = {"n": F.lit(1), "v": F.col("v")}
+    plain = {(r["g"], r["r"]): (r["n"], r["v"]) for r in uncertainty.resample_sums(rows, sums, ["g"]).collect()}
+    found = uncertainty.resample_totals(df, "id", {**sums, "none": F.col("none")}, ["g"], resamples=25, seed="s", weight="v").collect()
+    assert {(r["g"], r["r"]): (r["n"], pytest.approx(r["v"])) for r in found} == plain and {r["none"] for r in found} == {0.0}
