@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.operators import uncertainty
 from hindcast.operators.ordering import running_totals
 
 BINS = 10
@@ -28,20 +29,28 @@ def reliability_width(rows: DataFrame, conf: str, correct: str, by: Sequence[str
     return out.withColumn("lo", F.col("bin") / bins).withColumn("hi", (F.col("bin") + 1) / bins)
 
 
-def reliability_mass(rows: DataFrame, conf: str, correct: str, key: str, bins: int = BINS) -> DataFrame:
-    """Equal-mass bins in (confidence, key) order; bin b starts at round-half-even(b * n / bins).
+def reliability_mass(
+    rows: DataFrame, conf: str, correct: str, key: str, bins: int = BINS, by: Sequence[str] = ()
+) -> DataFrame:
+    """Equal-mass bins in (confidence, key) order, of each group of `by`; bin b starts at round-half-even(b * n / bins).
 
     Positions come from a bucketed running count, so neither the sort nor a large group of
     equal confidences lands in one task.
     """
-    n = rows.agg(F.count(F.lit(1))).scalar()
-    one = rows.select(conf, correct, key).withColumn("_one", F.lit(1).cast("long"))
-    placed = running_totals(one, conf, ["_one"], tie=key, inclusive=False).withColumn("_size", n / F.lit(float(bins)))
+    by = list(by)
+    one = rows.select(*by, conf, correct, key).withColumn("_one", F.lit(1).cast("long"))
+    placed = running_totals(one, conf, ["_one"], tie=key, inclusive=False, by=by)
+    if by:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).withColumnsRenamed({c: f"_b_{c}" for c in by})
+        placed = placed.join(sizes, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by])
+    else:
+        placed = placed.withColumn("_rows", rows.agg(F.count(F.lit(1))).scalar())
+    placed = placed.withColumn("_size", F.col("_rows") / F.lit(float(bins)))
     edge = lambda b: F.bround(b * F.col("_size"))
     guess = F.floor(F.col("cum__one") / F.col("_size"))
     nudged = (
         F.when(F.col("cum__one") < edge(guess), guess - 1).when(F.col("cum__one") >= edge(guess + 1), guess + 1).otherwise(guess))
-    return placed.groupBy(nudged.cast("int").alias("bin")).agg(
+    return placed.groupBy(*by, nudged.cast("int").alias("bin")).agg(
         *_bin_stats(conf, correct), F.min(conf).alias("lo"), F.max(conf).alias("hi"))
 
 
@@ -55,20 +64,50 @@ def brier(conf: Column, correct: Column) -> Column:
     return F.avg(F.pow(conf - correct.cast("double"), F.lit(2.0)))
 
 
-def risk_coverage(rows: DataFrame, conf: str, correct: str) -> DataFrame:
-    """(threshold, coverage, accuracy) for every distinct confidence; equal ones stay together."""
-    per_value = rows.groupBy(conf).agg(
+def risk_coverage(rows: DataFrame, conf: str, correct: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., threshold, coverage, accuracy) for every distinct confidence of a group; equal ones stay together."""
+    by = list(by)
+    per_value = rows.groupBy(*by, conf).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("long")).alias("hits"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    run = running_totals(per_value, conf, ["n", "hits"], descending=True)
+    run = running_totals(per_value, conf, ["n", "hits"], descending=True, by=by)
+    if by:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_total")).withColumnsRenamed({c: f"_b_{c}" for c in by})
+        run = run.join(sizes, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by])
+    else:
+        run = run.withColumn("_total", rows.agg(F.count(F.lit(1))).scalar())
     return run.select(
-        F.col(conf).alias("threshold"), (F.col("cum_n") / total).alias("coverage"),
-        (F.col("cum_hits") / F.col("cum_n")).alias("accuracy"), (F.col("n") / total).alias("step"))
+        *by, F.col(conf).alias("threshold"), (F.col("cum_n") / F.col("_total")).alias("coverage"),
+        (F.col("cum_hits") / F.col("cum_n")).alias("accuracy"), (F.col("n") / F.col("_total")).alias("step"))
 
 
-def aurc(points: DataFrame) -> DataFrame:
+def aurc(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Area under risk (1 - accuracy) over coverage, step interpolation."""
-    return points.agg(F.sum(F.col("step") * (1 - F.col("accuracy"))).alias("aurc"))
+    return points.groupBy(*by).agg(F.sum(F.col("step") * (1 - F.col("accuracy"))).alias("aurc"))
+
+
+def calibration_summary(
+    rows: DataFrame, key: str, conf: str, correct: str, by: Sequence[str], costs: DataFrame | None = None, resamples: int | None = None,
+) -> DataFrame:
+    """(by..., metric, point, low, high, valid_resamples): n, accuracy, mean confidence, both ECEs, Brier, AURC, cost per issue.
+
+    Accuracy, mean confidence, width ECE and Brier have resampled intervals; what needs a ranking (mass ECE, AURC), the
+    count and the cost are points. `costs`: (a column of `by`, cost) with one row per issue, averaged.
+    """
+    by = list(by)
+    sums, metrics = calibration_sums(F.col(conf), F.col(correct))
+    draws = {} if resamples is None else {"resamples": resamples}
+    held = uncertainty.bootstrap_ci(rows, key, sums, metrics, by=by, **draws).drop("weighted")
+    count = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("point")).withColumn("metric", F.lit("n"))
+    mass = ece(reliability_mass(rows, conf, correct, key, by=by), by).select(*by, F.col("ece").alias("point"), F.lit("ece_mass").alias("metric"))
+    area = aurc(risk_coverage(rows, conf, correct, by), by).select(*by, F.col("aurc").alias("point"), F.lit("aurc").alias("metric"))
+    points = count.unionByName(mass).unionByName(area)
+    if costs is not None:
+        shared = [c for c in by if c in costs.columns]
+        mean = costs.groupBy(*shared).agg(F.avg("cost").alias("point"))
+        points = points.unionByName(rows.select(*by).distinct().join(mean, shared).withColumn("metric", F.lit("cost_per_issue")))
+    none = F.lit(None).cast("double")
+    return held.unionByName(points.select(
+        *by, "metric", "point", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("valid_resamples")))
 
 
 def best_type(labels: Column, confidences: Column, types: Sequence[str]) -> Column:

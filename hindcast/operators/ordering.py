@@ -82,25 +82,31 @@ def running_totals(
     inclusive: bool = True,
     prefix: str = "cum_",
     buckets: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Running sums of `sums` over the whole table in (key, tie) order, as `cum_<name>`.
+    """Running sums of `sums` over the whole table, or within each group of `by`, in (key, tie) order, as `cum_<name>`.
 
-    (key, tie) must be unique: aggregate by key first, or pass a unique tie-break.
+    (key, tie) must be unique in a group: aggregate by key first, or pass a unique tie-break. Groups share the buckets, so one
+    group with a third of all rows is cut like the whole table is. Nulls in `by` are a group.
     """
     df = materialise(df, "ordering")
     staged = with_buckets(df, key, tie, bucket_count(df) if buckets is None else buckets)
-    per_bucket = staged.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    group = ["_group"] if by else []
+    if by:
+        staged = staged.withColumn("_group", F.struct(*by))
+    per_bucket = staged.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    # One row per bucket: the count is bounded by the number of edges, whatever the data size.
-    over_buckets = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per bucket, and group: the number in a window is bounded by the number of edges, whatever the data size.
+    over_buckets = Window.partitionBy(*group).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        "_bucket",
+        *group, "_bucket",
         *[F.coalesce(F.sum(f"_t_{c}").over(over_buckets), F.lit(0)).alias(f"_o_{c}") for c in sums],
     )
     order = [direction(key)] + ([direction(tie)] if tie else [])
-    frame = Window.partitionBy("_bucket").orderBy(*order)
+    frame = Window.partitionBy(*group, "_bucket").orderBy(*order)
     inside = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = staged.join(F.broadcast(offsets), "_bucket")
+    # Without groups the offsets are one row per bucket; with groups their number is not bounded, so the engine picks the join.
+    joined = staged.join(offsets if by else F.broadcast(offsets), [*group, "_bucket"])
     return joined.select(
         *[c for c in df.columns],
         *[

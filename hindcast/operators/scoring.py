@@ -196,13 +196,18 @@ def per_label_f1(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return counts.select(*by, "label", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def system_stats(items: DataFrame, by: str | list[str], error: Column, cost: Column, latency: Column) -> DataFrame:
-    """Errors, cost and latency percentiles per run. Latency is whole milliseconds, so the exact
-    percentile's buffer holds distinct values, not rows."""
-    return items.groupBy(*([by] if isinstance(by, str) else by)).agg(
+def system_stats(
+    items: DataFrame, by: str | list[str], error: Column, cost: Column, latency: Column, tokens_in: Column | None = None,
+    tokens_out: Column | None = None,
+) -> DataFrame:
+    """Errors, cost, latency percentiles and, where given, tokens in and out per issue, of each run."""
+    by = [by] if isinstance(by, str) else list(by)
+    means = [F.avg(c).alias(f"{n}_per_issue") for n, c in (("tokens_in", tokens_in), ("tokens_out", tokens_out)) if c is not None]
+    counts = items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("issues"), F.count_if(error).alias("errors"), F.sum(cost).alias("cost_total"),
-        F.avg(cost).alias("cost_per_issue"), uncertainty.percentile_linear(latency, 50).alias("latency_p50"),
-        uncertainty.percentile_linear(latency, 95).alias("latency_p95"))
+        F.avg(cost).alias("cost_per_issue"), *means)
+    waits = uncertainty.percentiles(items, by, latency, {"latency_p50": 50, "latency_p95": 95}).withColumnsRenamed({c: f"_p_{c}" for c in by})
+    return counts.join(waits, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in by]).drop(*[f"_p_{c}" for c in by])
 
 
 def aligned(examples: DataFrame, predictions: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.functions.numeric import micros
 from hindcast.operators.ordering import running_totals
 
 PER_MILLION = 1_000_000.0
@@ -46,17 +47,18 @@ def run_breaches(ledger: DataFrame, run: str, at: str, seq: str, cost: str, cap:
     """(run, seq, running): the first row at which a run's spend passes its own cap.
 
     Days are summed first; a run's running total over days finds the day that crosses, and only
-    that day's rows are then added up one by one.
+    that day's rows are then added up one by one, by bucketed running totals: a run with most of a day's rows is no hot window.
     """
     day = F.col(at).cast("date")
     daily = ledger.groupBy(run, day.alias("_day")).agg(F.sum(cost).alias("_s"), F.max(cap).alias("_cap"))
     upto = Window.partitionBy(run).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
     crossing = daily.withColumn("_c", F.sum("_s").over(upto)).filter(F.col("_c") > F.col("_cap")).groupBy(run).agg(
         F.min_by(F.struct("_day", (F.col("_c") - F.col("_s")).alias("_base"), "_cap"), "_day").alias("_x")).select(run, "_x.*")
-    rows = ledger.withColumn("_day", day).join(crossing, [run, "_day"])
-    inside = Window.partitionBy(run).orderBy(at, seq).rowsBetween(Window.unboundedPreceding, 0)
-    passed = rows.withColumn("running", F.col("_base") + F.sum(cost).over(inside)).filter(F.col("running") > F.col("_cap"))
-    return passed.groupBy(run).agg(F.min_by(F.struct(seq, "running"), F.struct(at, seq)).alias("_f")).select(run, "_f.*")
+    rows = ledger.select(run, at, seq, F.col(cost).alias("_cost"), day.alias("_day")).join(crossing, [run, "_day"])
+    placed = rows.select(run, seq, "_cost", "_base", "_cap", micros(F.col(at)).alias("_us"))
+    passed = running_totals(placed, "_us", ["_cost"], tie=seq, by=[run]).withColumn("running", F.col("_base") + F.col("cum__cost")).filter(
+        F.col("running") > F.col("_cap"))
+    return passed.groupBy(run).agg(F.min_by(F.struct(seq, "running"), F.struct("_us", seq)).alias("_f")).select(run, "_f.*")
 
 
 def total_breach(ledger: DataFrame, at_micros: str, seq: str, cost: str, cap: float) -> DataFrame:

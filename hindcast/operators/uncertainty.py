@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.numeric import POISSON_ONE, poisson_one, uniform
+from hindcast.operators.ordering import running_totals
 
 RESAMPLES = 1000
 CONFIDENCE = 0.95
@@ -236,6 +237,33 @@ def paired_bootstrap(
     return paired_deltas(per_r, list(a), by, confidence)
 
 
+def percentiles(df: DataFrame, by: Sequence[str], value: Column, wanted: Mapping[str, float]) -> DataFrame:
+    """(by..., one column per name of `wanted`): exact percentiles, q in [0, 100], linear between neighbouring ranks; 0 for no value.
+
+    Values are counted per (group, value) and ranked by running totals, so no group's values meet in one buffer.
+    """
+    by = list(by)
+    rows = df.select(*by, value.cast("double").alias("_v"))
+    counts = rows.filter("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, "_v", ["_n"], inclusive=False, by=by).select(*by, "_v", "_n", F.col("cum__n").alias("_before"))
+    sizes = rows.groupBy(*by).agg(F.count("_v").alias("_size"))
+    same = [F.col(f"_s_{c}").eqNullSafe(F.col(c)) for c in by]
+    joined = sizes.withColumnsRenamed({c: f"_s_{c}" for c in by}).join(ranked, same or F.lit(True), "left")
+    picks, out = [], []
+    for name, q in wanted.items():
+        rank = F.lit(q / 100) * (F.col("_size") - 1)
+        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            here = (F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
+        low = F.col(f"_lo_{name}")
+        out.append(F.coalesce(low + (rank - F.floor(rank)) * (F.col(f"_hi_{name}") - low), F.lit(0.0)).alias(name))
+    kept = [F.col(f"_s_{c}").alias(c) for c in by]
+    return joined.groupBy(*[f"_s_{c}" for c in by], "_size").agg(*picks).select(*kept, *out)
+
+
 def percentile_linear(value: Column, q: float) -> Column:
-    """Linear-interpolation percentile, q in [0, 100]; empty gives 0."""
+    """Linear-interpolation percentile, q in [0, 100], as an aggregate; empty gives 0.
+
+    Its buffer holds a group's distinct values: for groups known to be small. `percentiles` has no such bound.
+    """
     return F.coalesce(F.percentile(value, F.lit(q / 100)), F.lit(0.0))

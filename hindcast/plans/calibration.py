@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from hindcast.functions.numeric import r6, uniform
 from hindcast.functions.text import SLICES
 from hindcast.operators import calibration as cal
-from hindcast.operators import uncertainty as un
 from hindcast.plans import fixtures as fx
-from hindcast.plans.oracle import u
+from hindcast.plans.oracle import poisson_one, u
 from hindcast.plans.registry import query
 from hindcast.plans.scoring import all_predictions, rounded
 from hindcast.plans.textual import FENCED_SQL, FOREIGN_SQL, fenced_body
+from hindcast.sources.scratch import materialise
 from hindcast.sources.tables import read_table
 
 
@@ -88,11 +88,48 @@ def decision_outcomes(spark, sf):
     return rounded(out.drop("run_id"), "confidence")
 
 
-@query("calibration_summary")
+SEED = "'0'"
+
+
+def outcomes_sql(run):
+    """`OUTCOMES` of any run, with its name."""
+    body = OUTCOMES[len("oc AS ("):-1].replace("pred_a", f"pred_{run}").replace("'a' || '|'", f"'{run}' || '|'")
+    return f"SELECT '{run}' AS run_id, * FROM ({body})"
+
+
+def summary_sql():
+    w = f"CASE WHEN r = 0 THEN 1 ELSE {poisson_one(u(SEED, 'r', 'doc_id'))} END::DOUBLE"
+    gap = " + ".join(
+        f"abs(coalesce(sum(w * (correct::INT - confidence)) FILTER (WHERE least(floor(confidence * 10), 9) = {b}), 0))" for b in range(10))
+    listed = ", ".join(f"{{'metric': '{n}', 'v': {e}}}" for n, e in (
+        ("accuracy", "sum(w * correct::INT) / nullif(sum(w), 0)"), ("mean_confidence", "sum(w * confidence) / nullif(sum(w), 0)"),
+        ("brier", "sum(w * pow(confidence - correct::INT, 2)) / nullif(sum(w), 0)"), ("ece", f"({gap}) / nullif(sum(w), 0)")))
+    return f"""WITH oc AS ({outcomes_sql('a')} UNION ALL {outcomes_sql('b')}),
+dr AS (SELECT r, doc_id, {w} AS w FROM gold, range(0, 1001) t(r)),
+mx AS (SELECT run_id, question, r, unnest([{listed}]) AS x FROM oc JOIN dr USING (doc_id) GROUP BY run_id, question, r),
+m AS (SELECT run_id, question, r, x.metric AS metric, x.v AS v FROM mx),
+pos AS (SELECT *, row_number() OVER (PARTITION BY run_id, question ORDER BY confidence, doc_id) - 1 AS p, count(*) OVER (PARTITION BY run_id, question) AS n FROM oc),
+mb AS (SELECT run_id, question, b.bin, count(*) AS n, avg(confidence) AS c, avg(correct::INT) AS a
+  FROM pos JOIN (SELECT CAST(range AS INT) AS bin FROM range(10)) b ON p >= round_even(b.bin * (pos.n / 10.0::DOUBLE), 0)
+    AND p < round_even((b.bin + 1) * (pos.n / 10.0::DOUBLE), 0) GROUP BY ALL),
+rc AS (SELECT run_id, question, n / sum(n) OVER (PARTITION BY run_id, question) AS step,
+  sum(h) OVER (PARTITION BY run_id, question ORDER BY confidence DESC) / sum(n) OVER (PARTITION BY run_id, question ORDER BY confidence DESC) AS acc
+  FROM (SELECT run_id, question, confidence, count(*)::DOUBLE AS n, sum(correct::INT)::DOUBLE AS h FROM oc GROUP BY ALL)),
+co AS (SELECT 'a' AS run_id, avg(cost_usd) AS c FROM pred_a UNION ALL SELECT 'b', avg(cost_usd) FROM pred_b)
+SELECT run_id, question, metric, round(max(v) FILTER (WHERE r = 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 6) AS low,
+  round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 6) AS high, count(v) FILTER (WHERE r > 0) AS valid_resamples FROM m GROUP BY ALL
+UNION ALL SELECT run_id, question, 'n', count(*), NULL, NULL, 0 FROM oc GROUP BY ALL
+UNION ALL SELECT run_id, question, 'ece_mass', round(sum(n * abs(a - c)) / sum(n), 6), NULL, NULL, 0 FROM mb GROUP BY ALL
+UNION ALL SELECT run_id, question, 'aurc', round(sum(step * (1 - acc)), 6), NULL, NULL, 0 FROM rc GROUP BY ALL
+UNION ALL SELECT run_id, question, 'cost_per_issue', round(c, 6), NULL, NULL, 0 FROM co, (VALUES ('type'), ('component')) q(question)"""
+
+
+@query("calibration_summary", "gold", "pred_a", "pred_b", sql=summary_sql())
 def calibration_summary(spark, sf):
-    rows = cal.decision_outcomes(fx.gold(spark, sf), all_predictions(spark, sf, ("a", "b")), "doc_id", fx.LANGS)
-    sums, metrics = cal.calibration_sums(F.col("confidence"), F.col("correct"))
-    return un.bootstrap_ci(rows, "doc_id", sums, metrics, by=["run_id", "question"])
+    predictions = all_predictions(spark, sf, ("a", "b"))
+    rows = materialise(cal.decision_outcomes(fx.gold(spark, sf), predictions, "doc_id", fx.LANGS), "outcomes")
+    costs = predictions.select("run_id", F.col("cost_usd").alias("cost"))
+    return rounded(cal.calibration_summary(rows, "doc_id", "confidence", "correct", ["run_id", "question"], costs), "point", "low", "high")
 
 
 @query("calibration_slices", *GP, "issue", sql=f"""WITH {OUTCOMES}, {FENCED_SQL},

@@ -220,12 +220,15 @@ def scorecard(spark, sf):
 
 @query("system_stats", sql="""
 SELECT user_id, count(*) AS issues, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value), 4) AS cost_total,
-  round(avg(value), 4) AS cost_per_issue, round(quantile_cont(floor(value * 10)::DOUBLE, 0.5), 6) AS latency_p50,
+  round(avg(value), 4) AS cost_per_issue, round(avg(CAST(json_extract(props, '$.k') AS BIGINT)), 6) AS tokens_in_per_issue,
+  round(avg(length(event_type)), 6) AS tokens_out_per_issue, round(quantile_cont(floor(value * 10)::DOUBLE, 0.5), 6) AS latency_p50,
   round(quantile_cont(floor(value * 10)::DOUBLE, 0.95), 6) AS latency_p95 FROM events GROUP BY user_id""")
 def system_stats(spark, sf):
     e = read_table(spark, sf, "events")
-    out = sc.system_stats(e, "user_id", F.col("event_type") == "error", F.col("value"), F.floor(F.col("value") * 10).cast("double"))
-    return out.withColumn("cost_total", F.round("cost_total", 4)).withColumn("cost_per_issue", F.round("cost_per_issue", 4))
+    out = sc.system_stats(
+        e, "user_id", F.col("event_type") == "error", F.col("value"), F.floor(F.col("value") * 10).cast("double"), fx.event_k(), F.length("event_type"))
+    out = out.withColumn("cost_total", F.round("cost_total", 4)).withColumn("cost_per_issue", F.round("cost_per_issue", 4))
+    return rounded(out, "tokens_in_per_issue", "tokens_out_per_issue", "latency_p50", "latency_p95")
 
 
 @query("align", sql="""

@@ -87,6 +87,6 @@ SELECT o_orderpriority, round(quantile_cont(floor(o_totalprice)::DOUBLE, 0.5), 6
   round(quantile_cont(floor(o_totalprice)::DOUBLE, 0.95), 6) AS p95, 0.0::DOUBLE AS empty FROM orders GROUP BY 1""")
 def percentile_linear(spark, sf):
     o = read_table(spark, sf, "orders").withColumn("v", F.floor("o_totalprice").cast("double"))
-    return o.groupBy("o_orderpriority").agg(
-        r6(un.percentile_linear(F.col("v"), 50)).alias("p50"), r6(un.percentile_linear(F.col("v"), 95)).alias("p95"),
-        un.percentile_linear(F.when(F.col("v") < 0, F.col("v")), 50).alias("empty"))
+    held = un.percentiles(o, ["o_orderpriority"], F.col("v"), {"p50": 50, "p95": 95})
+    none = un.percentiles(o, ["o_orderpriority"], F.when(F.col("v") < 0, F.col("v")), {"empty": 50})
+    return held.join(none, "o_orderpriority").select("o_orderpriority", r6(F.col("p50")).alias("p50"), r6(F.col("p95")).alias("p95"), "empty")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import text as tx
 from hindcast.functions.numeric import zero_failure_bound
-from hindcast.operators import agreement, annotation, asof, blocks, dense, lexical, scoring, silver, traces, uncertainty
+from hindcast.operators import agreement, annotation, asof, blocks, dense, lexical, scoring, silver, spend, traces, uncertainty
 from hindcast.operators.ordering import counts_before, running_totals
 
 
@@ -328,3 +328,35 @@ def test_in_task_draws_equal_the_expressions(spark):
     plain = {(r["g"], r["r"]): (r["n"], r["v"]) for r in uncertainty.resample_sums(rows, sums, ["g"]).collect()}
     found = uncertainty.resample_totals(df, "id", {**sums, "none": F.col("none")}, ["g"], resamples=25, seed="s", weight="v").collect()
     assert {(r["g"], r["r"]): (r["n"], pytest.approx(r["v"])) for r in found} == plain and {r["none"] for r in found} == {0.0}
+
+
+def test_percentiles_of_groups_one_of_which_is_hot(spark):
+    rng = random.Random(8)
+    rows = [("hot", float(rng.randrange(50))) for _ in range(3000)] + [(g, float(rng.randrange(10))) for g in ("a", "b", None) for _ in range(7)]
+    rows += [("none", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = uncertainty.percentiles(df, ["g"], F.col("v"), {"p0": 0, "p50": 50, "p95": 95, "p100": 100}).collect()
+    plain = df.groupBy("g").agg(*[uncertainty.percentile_linear(F.col("v"), q).alias(f"p{q}") for q in (0, 50, 95, 100)]).collect()
+    assert sorted(map(str, found)) == sorted(map(str, plain)) and len(found) == 6
+
+
+def test_running_totals_within_groups(spark):
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 3 else rng.choice(["a", "b"]), rng.randrange(6), rng.randrange(100)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, g string, k long, v long")
+    for kw in ({}, {"descending": True}, {"inclusive": False}):
+        got = {r["id"]: r["cum_v"] for r in running_totals(df, "k", ["v"], tie="id", by=["g"], **kw).collect()}
+        sign = -1 if kw.get("descending") else 1
+        for g in ("hot", "a", "b"):
+            total = 0
+            for i, _, k, v in sorted((r for r in rows if r[1] == g), key=lambda r: (sign * r[2], sign * r[0])):
+                assert got[i] == total + (v if kw.get("inclusive", True) else 0)
+                total += v
+
+
+def test_a_hot_run_day_breaches_at_the_right_row(spark):
+    rows = [("hot", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i // 4), i, 1.0, 700.5) for i in range(2000)]
+    rows += [("small", dt.datetime(2024, 1, d), d, 2.0, 5.0) for d in range(1, 6)] + [("fine", dt.datetime(2024, 1, 1), 1, 1.0, 9.0)]
+    ledger = spark.createDataFrame(rows, "run string, at timestamp_ntz, seq long, cost double, cap double")
+    found = {r["run"]: (r["seq"], r["running"]) for r in spend.run_breaches(ledger, "run", "at", "seq", "cost", "cap").collect()}
+    assert found == {"hot": (700, 701.0), "small": (3, 6.0)}
