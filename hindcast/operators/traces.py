@@ -67,7 +67,8 @@ def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: flo
     of set-similarity joins), so candidates meet on (group, rare word). Candidates are tried in
     two passes: against the earliest holder of each such word, which settles almost every member
     of a large family of near copies with a handful of pairs; then only what is still open
-    against all earlier holders. No row is dropped unproven.
+    against all earlier holders. Where the shared word stands in both orders bounds what can still be shared, and pairs that
+    cannot reach the overlap never meet their word sets. No row is dropped unproven.
     """
     base = rows.select(group, seq, words, F.md5(F.array_join(F.array_sort(words), " ")).alias("_h"))
     sets = materialise(
@@ -78,7 +79,16 @@ def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: flo
     rare = Window.partitionBy(group, "_h").orderBy("_df", "_w")
     keep = F.col("_size") - F.ceil(F.col("_size") * overlap) + 1
     prefix = materialise(
-        long.join(rarity, "_w").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= keep).drop("_r", "_df"), "prefixes")
+        long.join(rarity, "_w").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= keep).drop("_df"), "prefixes")
+
+    def can_reach(size: Column, place: Column, other: Column, other_place: Column) -> Column:
+        """Sets whose first shared word has these places share at most it and what follows it in both (positional filter).
+
+        A pair that overlaps enough passes at its first shared word, whatever its later ones say.
+        """
+        needed = F.ceil((size + other) * overlap / (1 + overlap) - 1e-9)
+        return 1 + F.least(size - place, other - other_place) >= needed
+
 
     def settled(pairs: DataFrame) -> DataFrame:
         # pairs(group, _h, _g): set _h against an earlier set _g.
@@ -90,13 +100,15 @@ def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: flo
         whole = F.size("_words") + F.size("_other") - shared
         return both.filter(shared / whole >= overlap).select(group, "_h").distinct()
 
-    earliest = prefix.groupBy(group, "_w").agg(F.min_by(F.struct("_h", "_first", "_size"), "_first").alias("_e"))
-    first_pass = prefix.join(earliest, [group, "_w"]).filter(F.col("_first") > F.col("_e._first")).select(
+    earliest = prefix.groupBy(group, "_w").agg(F.min_by(F.struct("_h", "_first", "_size", "_r"), "_first").alias("_e"))
+    first_pass = prefix.join(earliest, [group, "_w"]).filter(
+        (F.col("_first") > F.col("_e._first")) & can_reach(F.col("_size"), F.col("_r"), F.col("_e._size"), F.col("_e._r"))).select(
         group, "_h", F.col("_e._h").alias("_g"))
     quick = materialise(settled(first_pass), "near-quick")
     still = prefix.join(quick, [group, "_h"], "left_anti")
-    holders = prefix.select(group, "_w", F.col("_h").alias("_g"), F.col("_first").alias("_gf"), F.col("_size").alias("_gs"))
-    fits = (F.col("_gs") >= F.col("_size") * overlap) & (F.col("_size") >= F.col("_gs") * overlap)
+    holders = prefix.select(group, "_w", F.col("_h").alias("_g"), F.col("_first").alias("_gf"), F.col("_size").alias("_gs"), F.col("_r").alias("_gr"))
+    fits = (F.col("_gs") >= F.col("_size") * overlap) & (F.col("_size") >= F.col("_gs") * overlap) & can_reach(
+        F.col("_size"), F.col("_r"), F.col("_gs"), F.col("_gr"))
     second_pass = still.join(holders, [group, "_w"]).filter((F.col("_gf") < F.col("_first")) & fits).select(group, "_h", "_g")
     near = quick.unionByName(settled(second_pass)).withColumn("_near", F.lit(True))
     marked = base.filter(F.size(words) > 0).join(sets.select(group, "_h", "_first"), [group, "_h"]).join(near, [group, "_h"], "left")

@@ -10,7 +10,7 @@ from hindcast.operators import asof, blocks, dense, fusion, lexical, uncertainty
 from hindcast.operators.sampling import time_window
 from hindcast.plans import fixtures as fx
 from hindcast.plans import history as hist
-from hindcast.plans.oracle import tokens
+from hindcast.plans.oracle import poisson_one, tokens, u
 from hindcast.plans.registry import query
 from hindcast.plans.textual import SNIPPET_SQL
 from hindcast.sources.scratch import materialise
@@ -190,26 +190,35 @@ def rrf(spark, sf):
     return out.select("q", "number", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def document_vectors(spark, sf):
-    d = fx.documents(spark, sf).select("number", tx.issue_text(F.col("title"), F.col("body")).alias("text"))
-    stored = d.select("number").limit(0)
-    return materialise(dense.embed_backfill(d, stored, "number", dense.hashed_encoder()), "vectors")
-
-
-def dense_ranking(spark, sf, queries, k, encoded=None):
-    encoded = document_vectors(spark, sf) if encoded is None else encoded
+def dense_ranking(spark, sf, queries, k):
+    """Documents that have a stored vector, by cosine; a query without one finds nothing here."""
+    stored = vectors(spark, sf).select("number", "embedding")
     created = fx.documents(spark, sf).select("number", micros(F.col("created_at")).alias("created"))
-    docs = encoded.join(created, "number")
-    asked = queries.select("q", "as_of").join(encoded.withColumnRenamed("number", "q"), "q")
+    docs = stored.join(created, "number")
+    asked = queries.select("q", "as_of").join(stored.withColumnRenamed("number", "q"), "q")
     return dense.dense_topk(asked, docs, "number", k)
 
 
-@query("hybrid_search")
+ARMS_SQL = SQL.rstrip() + f""",
+lex AS (SELECT * FROM (SELECT q, number, row_number() OVER (PARTITION BY q ORDER BY score DESC, number) AS rank FROM sc WHERE q >= 0)
+  WHERE rank <= {fusion.DEPTH}),
+v AS (SELECT vec_id AS number, embedding::DOUBLE[] AS e FROM embeddings),
+sem AS (SELECT * FROM (SELECT q, number, row_number() OVER (PARTITION BY q ORDER BY score DESC, number) AS rank FROM (
+    SELECT qs.q, v.number, round(list_cosine_similarity(a.e, v.e), 9) AS score FROM qs JOIN v a ON a.number = qs.q JOIN v ON v.number < qs.q
+    WHERE v.number IN (SELECT number FROM issue))) WHERE rank <= {fusion.DEPTH}),
+hyb AS (SELECT q, number, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, number) AS rank FROM (
+  SELECT q, number, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM sem) GROUP BY q, number))"""
+
+
+@query("hybrid_search", "issue", "dup", sql=ARMS_SQL + f"""
+SELECT hyb.q, hyb.number, round(hyb.score, 9) AS score, hyb.rank, lex.rank AS bm25_rank, sem.rank AS dense_rank FROM hyb
+LEFT JOIN lex USING (q, number) LEFT JOIN sem USING (q, number) WHERE hyb.rank <= {TOP}""")
 def hybrid_search(spark, sf):
     queries = duplicate_texts(spark, sf)
     lex = materialise(bm25_ranking(spark, sf, queries, fusion.DEPTH), "lexical")
     sem = materialise(dense_ranking(spark, sf, queries, fusion.DEPTH), "semantic")
-    return fusion.hybrid(lex, sem, "q", "number", TOP)
+    out = fusion.hybrid(lex, sem, "q", "number", TOP)
+    return out.select("q", "number", F.round("score", 9).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("rank", "bm25_rank", "dense_rank")])
 
 
 @query("embed_backfill", sql=f"""
@@ -316,29 +325,58 @@ def three_rankings(spark, sf):
     return {"bm25": lex, "dense": sem, "hybrid": fusion.rrf([lex, sem], "q", "number")}
 
 
-@query("retrieval_report")
+SYSTEMS = (("bm25", "lex"), ("dense", "sem"), ("hybrid", "hyb"))
+RANKED_SQL = ARMS_SQL + ", rk AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS mode, qs.q, qs.original % 9 <> 0 AS reachable, t.rank FROM qs LEFT JOIN {table} t ON t.q = qs.q AND t.number = qs.original WHERE qs.q >= 0"
+    for name, table in SYSTEMS) + "), dr AS (SELECT r, q, CASE WHEN r = 0 THEN 1 ELSE " + poisson_one(u("'0'", "r", "q")) + """ END::DOUBLE AS w
+  FROM (SELECT DISTINCT q FROM rk), range(0, 1001) t(r))"""
+RANK_STATS_SQL = ", ".join(
+    [f"{{'metric': 'hit_{k}', 'v': sum(w * coalesce(rank <= {k}, false)::INT) / nullif(sum(w), 0)}}" for k in KS]
+    + ["{'metric': 'rr', 'v': sum(w * coalesce(1.0::DOUBLE / rank, 0)) / nullif(sum(w), 0)}"])
+
+
+@query("retrieval_report", "issue", "dup", sql=RANKED_SQL + f""",
+s AS (SELECT *, 'all' AS scope FROM rk UNION ALL SELECT *, 'reachable' FROM rk WHERE reachable),
+mx AS (SELECT mode, scope, r, unnest([{RANK_STATS_SQL}]) AS x FROM s JOIN dr USING (q) GROUP BY mode, scope, r),
+m AS (SELECT mode, scope, r, x.metric AS metric, x.v AS v FROM mx)
+SELECT mode, scope, metric, round(max(v) FILTER (WHERE r = 0), 6) AS point, round(quantile_cont(v, 0.025) FILTER (WHERE r > 0), 6) AS low,
+  round(quantile_cont(v, 0.975) FILTER (WHERE r > 0), 6) AS high, count(v) FILTER (WHERE r > 0) AS valid_resamples FROM m GROUP BY mode, scope, metric""")
 def retrieval_report(spark, sf):
     rows = None
     for name, ranked in three_rankings(spark, sf).items():
         part = scoped(query_ranks(spark, sf, ranked)).withColumn("mode", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    return uncertainty.bootstrap_ci(
+    out = uncertainty.bootstrap_ci(
         materialise(rows, "ranks"), "q", {"n": F.lit(1), **rank_stats()}, rank_metrics(), by=["mode", "scope"])
+    return out.select("mode", "scope", "metric", *[r6(F.col(c)).alias(c) for c in ("point", "low", "high")], "valid_resamples")
+
 
+PAIRS = (("bm25", "dense"), ("bm25", "hybrid"), ("dense", "hybrid"))
 
-@query("retriever_deltas")
+
+@query("retriever_deltas", "issue", "dup", sql=RANKED_SQL + f""",
+mx AS (SELECT mode, r, unnest([{RANK_STATS_SQL}]) AS x FROM rk JOIN dr USING (q) WHERE reachable GROUP BY mode, r),
+m AS (SELECT mode, r, x.metric AS metric, x.v AS v FROM mx),
+p AS (SELECT a.mode AS system_a, b.mode AS system_b, r, metric, a.v AS a, b.v AS b, b.v - a.v AS d FROM m a JOIN m b USING (r, metric)
+  WHERE (a.mode, b.mode) IN (('bm25', 'dense'), ('bm25', 'hybrid'), ('dense', 'hybrid')))
+SELECT system_a, system_b, metric, round(max(a) FILTER (WHERE r = 0), 6) AS a, round(max(b) FILTER (WHERE r = 0), 6) AS b,
+  round(max(d) FILTER (WHERE r = 0), 6) AS delta, round(quantile_cont(d, 0.025) FILTER (WHERE r > 0), 6) AS low,
+  round(quantile_cont(d, 0.975) FILTER (WHERE r > 0), 6) AS high, round(avg((d > 0)::INT) FILTER (WHERE r > 0), 6) AS share_b_better,
+  count(d) FILTER (WHERE r > 0) AS valid_resamples,
+  coalesce(quantile_cont(d, 0.025) FILTER (WHERE r > 0) > 0 OR quantile_cont(d, 0.975) FILTER (WHERE r > 0) < 0, false) AS significant
+FROM p GROUP BY system_a, system_b, metric""")
 def retriever_deltas(spark, sf):
     """Every later retriever minus every earlier one, on the same reachable queries."""
-    wide = None
-    for name, ranked in three_rankings(spark, sf).items():
-        part = query_ranks(spark, sf, ranked).filter("reachable").select("q", F.col("rank").alias(name))
-        wide = part if wide is None else wide.join(part, "q")
-    wide = materialise(wide, "paired-ranks")
+    asked = {
+        name: query_ranks(spark, sf, ranked).filter("reachable").select("q", "rank") for name, ranked in three_rankings(spark, sf).items()}
+    wide = materialise(fusion.paired_ranks(asked, "q"), "paired-ranks")
     out = None
-    for a, b in (("bm25", "dense"), ("bm25", "hybrid"), ("dense", "hybrid")):
+    for a, b in PAIRS:
         part = uncertainty.paired_bootstrap(
             wide, "q", {"n": F.lit(1), **rank_stats(a, "a_"), **rank_stats(b, "b_")}, rank_metrics("a_"), rank_metrics("b_"))
-        part = part.select(F.lit(a).alias("system_a"), F.lit(b).alias("system_b"), "*")
+        part = part.select(
+            F.lit(a).alias("system_a"), F.lit(b).alias("system_b"), "metric",
+            *[r6(F.col(c)).alias(c) for c in ("a", "b", "delta", "low", "high", "share_b_better")], "valid_resamples", "significant")
         out = part if out is None else out.unionByName(part)
     return out
 

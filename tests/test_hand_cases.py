@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import text as tx
 from hindcast.functions.numeric import zero_failure_bound
-from hindcast.operators import agreement, annotation, asof, blocks, dense, lexical, scoring, silver, spend, traces, uncertainty
+from hindcast.operators import agreement, annotation, asof, blocks, dense, fusion, lexical, scoring, silver, spend, traces, uncertainty
 from hindcast.operators.ordering import counts_before, running_totals
 
 
@@ -360,3 +360,10 @@ def test_a_hot_run_day_breaches_at_the_right_row(spark):
     ledger = spark.createDataFrame(rows, "run string, at timestamp_ntz, seq long, cost double, cap double")
     found = {r["run"]: (r["seq"], r["running"]) for r in spend.run_breaches(ledger, "run", "at", "seq", "cost", "cap").collect()}
     assert found == {"hot": (700, 701.0), "small": (3, 6.0)}
+
+
+def test_retrievers_asked_different_queries_are_not_compared(spark):
+    a = spark.createDataFrame([(1, 3), (2, None)], "q long, rank int")
+    assert {tuple(r) for r in fusion.paired_ranks({"x": a, "y": a}, "q").collect()} == {(1, 3, 3), (2, None, None)}
+    with pytest.raises(Exception, match="query sets differ"):
+        fusion.paired_ranks({"x": a, "y": a.filter("q = 1")}, "q").collect()
