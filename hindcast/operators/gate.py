@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.numeric import ratio
 from hindcast.operators.latest import last_line_wins
+from hindcast.sources.scratch import materialise
 
 SEVERITY = ("pass", "warn", "fail")
 
@@ -14,9 +15,12 @@ SEVERITY = ("pass", "warn", "fail")
 def gate_metric(deltas: DataFrame, rules: DataFrame) -> DataFrame:
     """(metric, delta, verdict): fail on a drop over the rule's limit, warn on a significant drop.
 
-    Rules are a configuration file's rows, hence the broadcast; a metric without one passes.
+    A metric without a rule passes. A rule for a metric that was not compared fails the job: it would guard nothing.
     """
-    rows = deltas.join(rules, "metric", "left")
+    unknown = rules.join(deltas.select("metric"), "metric", "left_anti").select("metric", F.lit(True).alias("_unknown"))
+    known = rules.join(unknown, "metric", "left").filter(F.when(F.col("_unknown").isNull(), True).otherwise(
+        F.raise_error(F.concat(F.lit("rule for an unknown metric: "), "metric")).cast("boolean"))).drop("_unknown")
+    rows = deltas.join(known, "metric", "left")
     ruled = F.col("max_drop").isNotNull() & F.col("delta").isNotNull()
     verdict = (
         F.when(ruled & (F.col("delta") < -F.col("max_drop")), "fail")
@@ -54,6 +58,26 @@ def gate_coverage(baseline: DataFrame, candidate: DataFrame, key: str, minimum:
     return t.withColumn("coverage", share).withColumn("verdict", F.when(share < minimum, "fail").otherwise("pass"))
 
 
+def gate_run(
+    deltas: DataFrame, rules: DataFrame, baseline: DataFrame, candidate: DataFrame, key: str, *, max_rise: float, max_errors: float,
+    min_coverage: float,
+) -> DataFrame:
+    """(check, delta, low, high, verdict): every gate of a candidate run and, as `(gate)`, the worst verdict.
+
+    `deltas` are paired resampled differences on the shared items (`scoring.compare_runs`); both runs are (key, cost, error).
+    """
+    none = F.lit(None).cast("double")
+    metrics = gate_metric(deltas, rules).select(F.col("metric").alias("check"), "delta", "low", "high", "verdict")
+    system = gate_system(baseline, candidate, key, max_rise, max_errors).select(
+        F.col("metric").alias("check"), "delta", none.alias("low"), none.alias("high"), "verdict")
+    coverage = gate_coverage(baseline, candidate, key, min_coverage).select(
+        F.lit("coverage").alias("check"), (F.col("coverage") - 1.0).alias("delta"), none.alias("low"), none.alias("high"), "verdict")
+    checks = materialise(metrics.unionByName(system).unionByName(coverage), "gate-checks")
+    whole = gate_verdict(checks).select(
+        F.lit("(gate)").alias("check"), none.alias("delta"), none.alias("low"), none.alias("high"), "verdict")
+    return checks.unionByName(whole)
+
+
 def gate_verdict(rows: DataFrame) -> DataFrame:
     """One row: the worst verdict; a gate with no rows passes."""
     rank = F.coalesce(F.max(F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col("verdict"))), F.lit(1))

@@ -6,40 +6,60 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.numeric import uniform
 from hindcast.operators import gate
-from hindcast.operators.uncertainty import significant
 from hindcast.plans import fixtures as fx
 from hindcast.plans.oracle import u
 from hindcast.plans.registry import query
-from hindcast.plans.scoring import rounded
-from hindcast.sources.scratch import scratch_path
+from hindcast.plans.scoring import deltas, deltas_sql, rounded
+from hindcast.sources.scratch import materialise, scratch_path
 from hindcast.sources.tables import read_table
 
 AB = ("gold", "pred_a", "pred_b")
-DELTA_SQL = """dl AS (SELECT g.source AS metric, avg((b.needs_info = g.needs_info)::INT) - avg((a.needs_info = g.needs_info)::INT) AS delta
-  FROM gold g JOIN pred_a a USING (doc_id) JOIN pred_b b USING (doc_id) GROUP BY g.source),
-gm AS (SELECT metric, delta, CASE WHEN delta < -0.15 THEN 'fail' WHEN delta + 0.04 < 0 THEN 'warn' ELSE 'pass' END AS verdict FROM dl)"""
+RULES = (("t1_micro_f1", 0.05), ("t3_accuracy", 0.02), ("t4_f1", 0.15), ("t2_link_recall", 0.3))
+DELTA_SQL = f"""{deltas_sql('a', 'b')},
+ru AS (SELECT * FROM (VALUES {', '.join(f"('{m}', {d}::DOUBLE)" for m, d in RULES)}) t(metric, max_drop)),
+gm AS (SELECT metric, delta, low, high, CASE WHEN max_drop IS NOT NULL AND delta < -max_drop THEN 'fail'
+  WHEN max_drop IS NOT NULL AND significant AND delta < 0 THEN 'warn' ELSE 'pass' END AS verdict FROM d_b LEFT JOIN ru USING (metric))"""
 
 
-def source_deltas(spark, sf):
-    """Accuracy deltas of b over a per source, with a fixed-width interval."""
-    g = fx.gold(spark, sf).select("doc_id", "source", F.col("needs_info").alias("g"))
-    a = fx.predictions(spark, sf, "a").select("doc_id", F.col("needs_info").alias("a"))
-    b = fx.predictions(spark, sf, "b").select("doc_id", F.col("needs_info").alias("b"))
-    hit = lambda c: F.avg((F.col(c) == F.col("g")).cast("double"))
-    d = g.join(a, "doc_id").join(b, "doc_id").groupBy(F.col("source").alias("metric")).agg((hit("b") - hit("a")).alias("delta"))
-    d = d.withColumn("low", F.col("delta") - 0.04).withColumn("high", F.col("delta") + 0.04)
-    return d.withColumn("significant", significant(F.col("low"), F.col("high")))
+def rules(spark):
+    """Limits of some metrics; the others are compared without one."""
+    return spark.createDataFrame(list(RULES), "metric string, max_drop double")
+
+
+def run_deltas(spark, sf):
+    """Paired bootstrap of run b over run a, written once for the checks."""
+    return materialise(deltas(spark, sf, [("a", "b")]), "gate-deltas")
 
 
 def gated(spark, sf):
-    deltas = source_deltas(spark, sf)
-    rules = deltas.select("metric", F.lit(0.15).alias("max_drop"))
-    return gate.gate_metric(deltas, rules)
+    return gate.gate_metric(run_deltas(spark, sf), rules(spark))
 
 
-@query("gate_metric", *AB, sql=f"WITH {DELTA_SQL} SELECT metric, round(delta, 6) AS delta, verdict FROM gm")
+@query("gate_metric", *AB, sql=f"WITH {DELTA_SQL} SELECT metric, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, verdict FROM gm")
 def gate_metric(spark, sf):
-    return rounded(gated(spark, sf).select("metric", "delta", "verdict"), "delta")
+    return rounded(gated(spark, sf).select("metric", "delta", "low", "high", "verdict"), "delta", "low", "high")
+
+
+GATE_SQL = f"""WITH {DELTA_SQL},
+s AS (SELECT avg(a.cost_usd) AS ca, avg(b.cost_usd) AS cb, avg((a.error IS NOT NULL)::INT) AS ea, avg((b.error IS NOT NULL)::INT) AS eb
+  FROM pred_a a JOIN pred_b b USING (doc_id)),
+ch AS (SELECT metric AS "check", delta, low, high, verdict FROM gm
+  UNION ALL SELECT 'cost_per_issue', cb - ca, NULL, NULL, CASE WHEN ca > 0 AND (cb - ca) / ca > 0.01 THEN 'fail' ELSE 'pass' END FROM s
+  UNION ALL SELECT 'error_rate', eb - ea, NULL, NULL, CASE WHEN eb > 0.1 THEN 'fail' ELSE 'pass' END FROM s
+  UNION ALL SELECT 'coverage', 0.0, NULL, NULL, 'pass')
+SELECT "check", round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, verdict FROM ch
+UNION ALL SELECT '(gate)', NULL, NULL, NULL,
+  CASE WHEN bool_or(verdict = 'fail') THEN 'fail' WHEN bool_or(verdict = 'warn') THEN 'warn' ELSE 'pass' END FROM ch"""
+
+
+@query("gate_check", *AB, sql=GATE_SQL)
+def gate_check(spark, sf):
+    """The whole gate of run b against run a: resampled metrics, cost, errors, coverage and the verdict."""
+    side = lambda run: fx.predictions(spark, sf, run).select(
+        "doc_id", F.col("cost_usd").alias("cost"), F.col("error").isNotNull().alias("error"))
+    out = gate.gate_run(
+        run_deltas(spark, sf), rules(spark), side("a"), side("b"), "doc_id", max_rise=0.01, max_errors=0.1, min_coverage=0.9)
+    return rounded(out, "delta", "low", "high")
 
 
 def order_runs(spark, sf):

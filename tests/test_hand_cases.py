@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import text as tx
 from hindcast.functions.numeric import zero_failure_bound
-from hindcast.operators import agreement, annotation, asof, blocks, dense, fusion, lexical, scoring, silver, spend, traces, uncertainty
+from hindcast.operators import agreement, annotation, asof, blocks, dense, fusion, gate, lexical, scoring, silver, spend, traces, uncertainty
 from hindcast.operators.ordering import counts_before, running_totals
 
 
@@ -367,3 +367,14 @@ def test_retrievers_asked_different_queries_are_not_compared(spark):
     assert {tuple(r) for r in fusion.paired_ranks({"x": a, "y": a}, "q").collect()} == {(1, 3, 3), (2, None, None)}
     with pytest.raises(Exception, match="query sets differ"):
         fusion.paired_ranks({"x": a, "y": a.filter("q = 1")}, "q").collect()
+
+
+def test_gate_refuses_rules_for_unknown_metrics(spark):
+    deltas = spark.createDataFrame(
+        [("f1", -0.2, -0.3, -0.1, True), ("recall", -0.01, -0.02, -0.001, True), ("free", -0.9, -1.0, -0.8, True)],
+        "metric string, delta double, low double, high double, significant boolean")
+    rules = spark.createDataFrame([("f1", 0.1), ("recall", 0.1)], "metric string, max_drop double")
+    found = {r["metric"]: r["verdict"] for r in gate.gate_metric(deltas, rules).collect()}
+    assert found == {"f1": "fail", "recall": "warn", "free": "pass"}
+    with pytest.raises(Exception, match="unknown metric: f2"):
+        gate.gate_metric(deltas, rules.unionByName(spark.createDataFrame([("f2", 0.1)], rules.schema))).collect()
