@@ -48,14 +48,44 @@ def stream_cascade_router(spark, sf):
     return rounded(jobs.route_cascade(stream, full, "doc_id", cascades.TAU), "signal", "cost")
 
 
-@query("stream_spend", sql=f"""
-SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS start, round(sum(value), 4) AS spent, count(*) AS calls,
-  sum(value) > {CAP} AS alert FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY user_id, date_trunc('day', ts)""")
+CLOSED = "<= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+
+
+def spend_of(spark, sf, window):
+    """Spend per user in closed windows of a log that holds every event twice."""
+    once = event_stream(spark, sf).select("event_id", "user_id", "ts", "value")
+    stream = once.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    out = jobs.spend_windows(stream, "user_id", "ts", "value", CAP, window, unique=["event_id"])
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).withColumn("spent", F.round("spent", 4))
+
+
+def spend_sql(windows):
+    """`windows`: (user_id, start, stop, value) rows."""
+    return f"""SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, round(sum(value), 4) AS spent, count(*) AS calls, sum(value) > {CAP} AS alert,
+  0::BIGINT AS late_rows FROM ({windows}) WHERE stop {CLOSED} GROUP BY user_id, start"""
+
+
+@query("stream_spend", sql=spend_sql(
+    "SELECT user_id, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS stop, value FROM events"))
 def stream_spend(spark, sf):
-    stream = event_stream(spark, sf).select("user_id", "ts", "value")
-    out = jobs.spend_windows(stream, "user_id", "ts", "value", CAP, F.window("ts", "1 day"))
-    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")).withColumn("spent", F.round("spent", 4))
+    return spend_of(spark, sf, F.window("ts", "1 day"))
+
+
+@query("stream_spend_sliding", sql=spend_sql("""
+  SELECT user_id, date_trunc('day', ts) + to_hours(h) AS start, date_trunc('day', ts) + to_hours(h + 24) AS stop, value
+  FROM events, (VALUES (-12), (0), (12)) t(h)
+  WHERE ts >= date_trunc('day', ts) + to_hours(h) AND ts < date_trunc('day', ts) + to_hours(h + 24)"""))
+def stream_spend_sliding(spark, sf):
+    return spend_of(spark, sf, F.window("ts", "24 hours", "12 hours"))
+
+
+@query("stream_spend_sessions", sql=spend_sql("""
+  SELECT user_id, min(ts) OVER w AS start, max(ts) OVER w + INTERVAL 6 HOUR AS stop, value FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+      SELECT *, (coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR, true))::INT AS fresh FROM events))
+  WINDOW w AS (PARTITION BY user_id, s)"""))
+def stream_spend_sessions(spark, sf):
+    return spend_of(spark, sf, F.session_window("ts", "6 hours"))
 
 
 @query("stream_label_state", "label_event", sql="""
