@@ -6,12 +6,14 @@ so a whole curve is one pair of running sums over distinct signals: no item-by-t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.operators import uncertainty
 from hindcast.operators.ordering import running_totals
+from hindcast.sources.scratch import materialise
 
 ESCALATE_ALL = 1.01  # fixed value: above any confidence
 
@@ -88,6 +90,52 @@ def cross_fitted(
         *[f"tau_{k}" for k in range(folds)], "escalated", "cost_per_1000", *[c.alias(m) for m, c in metrics.items()])
 
 
+def cascade_report(
+    gates: Mapping[str, DataFrame], key: str, fold: str, folds: int, sums: Sequence[str], metrics: Callable[[str], Mapping[str, Column]],
+    tolerance: float = 0.0, resamples: int = uncertainty.RESAMPLES,
+) -> DataFrame:
+    """(gate, point, tau, escalated, cost_per_1000, metric, value, delta, low, high, significant): what each way of escalating buys.
+
+    `gates` maps a gate's name to items as in `cascade_curve` (with `key` and `fold`); `metrics(prefix)` are expressions over prefixed sums. Points
+    are each tier alone (once, from the first gate, whose base cost is the cheap tier's own), the chosen tau and the cross-fitted result.
+    At the chosen tau the deltas compare the cascade with the full tier on the same resampled items.
+    """
+    names = list(metrics(""))
+    out = None
+
+    def rows(frame: DataFrame, gate: str, point: str) -> DataFrame:
+        none = F.lit(None).cast("double")
+        tau = F.col("tau") if "tau" in frame.columns else none
+        values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]))
+        return frame.select(
+            F.lit(gate).alias("gate"), F.lit(point).alias("point"), tau.alias("tau"), "escalated", "cost_per_1000", values.alias("x")).select(
+            "gate", "point", "tau", "escalated", "cost_per_1000", "x.metric", "x.value")
+
+    for gate, items in gates.items():
+        found = []
+        if out is None:
+            for tier, share, cost in (("cheap", 0.0, "base_cost"), ("full", 1.0, "full_cost")):
+                alone = items.agg(*[F.sum(F.col(f"{tier}_{s}").cast("double")).alias(s) for s in sums], (1000 * F.avg(cost)).alias("cost_per_1000"))
+                found.append(rows(alone.select(
+                    F.lit(share).alias("escalated"), "cost_per_1000", *[c.alias(m) for m, c in metrics("").items()]), "", f"{tier} tier alone"))
+        curve = materialise(cascade_curve(items, sums, metrics("")), "cascade-curve")
+        chosen = choose_tau(curve, names, tolerance)
+        found.append(rows(curve.join(chosen, "tau"), gate, "chosen"))
+        found.append(rows(cross_fitted(items, fold, folds, sums, metrics(""), tolerance), gate, "cross-fitted"))
+        tau = chosen.scalar()
+        stats = {f"full_{s}": F.col(f"full_{s}") for s in sums} | {
+            f"mix_{s}": F.when(F.col("signal") < F.col("_tau"), F.col(f"full_{s}")).otherwise(F.col(f"cheap_{s}")) for s in sums}
+        deltas = uncertainty.paired_bootstrap(
+            items.withColumn("_tau", tau), key, stats, metrics("full_"), metrics("mix_"), resamples=resamples).select(
+            F.lit(gate).alias("gate"), F.lit("chosen").alias("point"), "metric", "delta", "low", "high", "significant")
+        part = found[0]
+        for more in found[1:]:
+            part = part.unionByName(more)
+        part = part.join(deltas, ["gate", "point", "metric"], "left")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def route_decisions(base: DataFrame, typed: DataFrame, component: DataFrame, key: str, types: Sequence[str]) -> DataFrame:
     """Base predictions with the type label and component overwritten where a backend answered.
 

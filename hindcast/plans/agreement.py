@@ -91,24 +91,32 @@ def bias_shift(spark, sf):
     return rounded(ag.bias_shift(fx.rubric_scores(spark, sf, "judge"), fx.rubric_scores(spark, sf, "terse"), "item"), "shift")
 
 
+CRITERIA = ("correctness", "actionability", "tone")
+
+
 @query("system_rubric_scores", sql=f"""
-WITH c AS (SELECT role AS system, conv_id * 1000 + turn AS item, CASE WHEN {u("'e'", 'conv_id', 'turn')} < 0.1 THEN 1
-    ELSE 1 + floor({u("'s'", 'conv_id', 'turn')} * 4) END::DOUBLE AS v, ({u("'e'", 'conv_id', 'turn')} < 0.1)::INT AS empty FROM conversations),
-d AS (SELECT system, r, v, {u("'0'", 'r', 'item')} AS uu FROM c, range(1, 1001) t(r)),
-m AS (SELECT system, r, sum(w * v) / sum(w) AS m FROM (SELECT system, r, v, {poisson_one('uu')} AS w FROM d) GROUP BY ALL HAVING sum(w) > 0)
-SELECT system, (SELECT count(*) FROM c WHERE c.system = m.system) AS comments, (SELECT CAST(sum(empty) AS BIGINT) FROM c WHERE c.system = m.system) AS empty,
-  round((SELECT avg(v) FROM c WHERE c.system = m.system), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high
-FROM m GROUP BY system""")
+WITH c AS (SELECT role AS system, criterion, conv_id * 1000 + turn AS item, {u("'e'", 'conv_id', 'turn')} < 0.1 AS empty,
+    CASE WHEN {u("'e'", 'conv_id', 'turn')} < 0.1 THEN 1 ELSE 1 + floor({u("'s'", 'conv_id', 'turn', 'criterion')} * 4) END::DOUBLE AS v
+  FROM conversations, (VALUES {', '.join(f"('{k}')" for k in CRITERIA)}) k(criterion)),
+d AS (SELECT system, criterion, r, v, {u("'0'", 'r', 'item')} AS uu FROM c, range(1, 1001) t(r)),
+m AS (SELECT system, criterion, r, sum(w * v) / sum(w) AS m FROM (SELECT system, criterion, r, v, {poisson_one('uu')} AS w FROM d) GROUP BY ALL HAVING sum(w) > 0),
+n AS (SELECT system, criterion, count(*) AS comments, count(*) FILTER (WHERE empty) AS empty, avg(v) AS mean FROM c GROUP BY ALL)
+SELECT system, criterion, any_value(comments) AS comments, any_value(empty) AS empty, round(any_value(mean), 6) AS mean,
+  round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN n USING (system, criterion) GROUP BY system, criterion""")
 def system_rubric_scores(spark, sf):
+    """Mean score of each role per criterion, with an interval."""
     c = read_table(spark, sf, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
     empty = uniform("e", conv, turn) < 0.1
+    rated = c.withColumn("criterion", F.explode(F.array(*[F.lit(k) for k in CRITERIA])))
     # A comment that was never written scores the bottom of the scale.
-    judged = F.when(~empty, 1 + F.floor(uniform("s", conv, turn) * 4))
-    items = c.select(F.col("role").alias("system"), (conv * 1000 + turn).alias("item"), F.coalesce(judged, F.lit(1)).alias("v"), empty.alias("empty"))
-    ci = un.bootstrap_ci(items, "item", {"n": F.lit(1), "v": F.col("v")}, {"mean": F.col("v") / F.col("n")}, by=["system"])
-    counts = items.groupBy("system").agg(F.count(F.lit(1)).alias("comments"), F.count_if("empty").alias("empty"))
-    return rounded(ci.join(counts, "system").select("system", "comments", "empty", F.col("point").alias("mean"), "low", "high"), "mean", "low", "high")
+    judged = F.when(~empty, 1 + F.floor(uniform("s", conv, turn, F.col("criterion")) * 4))
+    items = rated.select(
+        F.col("role").alias("system"), "criterion", (conv * 1000 + turn).alias("item"), F.coalesce(judged, F.lit(1)).alias("v"), empty.alias("empty"))
+    by = ["system", "criterion"]
+    ci = un.bootstrap_ci(items, "item", {"n": F.lit(1), "v": F.col("v")}, {"mean": F.col("v") / F.col("n")}, by=by)
+    counts = items.groupBy(*by).agg(F.count(F.lit(1)).alias("comments"), F.count_if("empty").alias("empty"))
+    return rounded(ci.join(counts, by).select(*by, "comments", "empty", F.col("point").alias("mean"), "low", "high"), "mean", "low", "high")
 
 
 CODES = ("c0", "c1", "c2", "c3", "c4")

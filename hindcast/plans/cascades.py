@@ -9,7 +9,7 @@ from hindcast.operators import cascade as cs
 from hindcast.operators.calibration import best_type
 from hindcast.operators.sampling import fold_of
 from hindcast.plans import fixtures as fx
-from hindcast.plans.oracle import u
+from hindcast.plans.oracle import poisson_one, u
 from hindcast.plans.registry import query
 from hindcast.plans.scoring import rounded
 from hindcast.sources.scratch import materialise
@@ -57,14 +57,21 @@ def agreement_signal(spark, sf):
     return a.join(b, "doc_id").select("doc_id", r6(cs.agreement_signal("cheap", "gate")).alias("signal"))
 
 
-def tiers(spark, sf):
-    """Run a as the cheap tier, b as the full one, on the needs-info task; signals rounded to 2."""
+def tiers(spark, sf, gate=None):
+    """Run a as the cheap tier, b as the full one, on the needs-info task; signals rounded to 2.
+
+    With a `gate` run the signal is its agreement with the cheap tier, and its cost is paid always.
+    """
     g = fx.gold(spark, sf).select("doc_id", F.col("needs_info").alias("g"))
     cheap = fx.predictions(spark, sf, "a").select(
         "doc_id", F.col("needs_info").alias("c"), F.col("cost_usd").alias("base_cost"), answer("x"))
     full = fx.predictions(spark, sf, "b").select("doc_id", F.col("needs_info").alias("f"), (F.col("cost_usd") * 5).alias("full_cost"))
     rows = g.join(cheap, "doc_id").join(full, "doc_id")
     signal = F.round(cs.self_signal(F.col("x.error"), F.col("x.type_conf"), F.col("x.component_conf")), 2)
+    if gate is not None:
+        asked = fx.predictions(spark, sf, gate).select("doc_id", answer("gate"), F.col("cost_usd").alias("gate_cost"))
+        rows = rows.join(asked, "doc_id").withColumn("base_cost", F.col("base_cost") + F.col("gate_cost"))
+        signal = F.round(cs.agreement_signal("x", "gate"), 2)
     counts = []
     for tier, p in (("cheap", F.col("c")), ("full", F.col("f"))):
         counts += [(F.col("g") & p).alias(f"{tier}_tp"), (~F.col("g") & p).alias(f"{tier}_fp"), (F.col("g") & ~p).alias(f"{tier}_fn"),
@@ -73,19 +80,23 @@ def tiers(spark, sf):
                                    fold_of(F.concat(F.lit("doc#"), "doc_id")).alias("fold")), "tiers")
 
 
-def f1_metric():
-    return {"t4_f1": prf(F.col("tp"), F.col("fp"), F.col("fn"))[2]}
+def f1_metric(prefix=""):
+    return {"t4_f1": prf(*[F.col(f"{prefix}{c}") for c in SUMS])[2]}
 
 
-TIERS_SQL = f"""ti AS (SELECT g.doc_id, round({self_sql('a')}, 2) AS signal, a.cost_usd AS bc, b.cost_usd * 5 AS fc,
+def tiers_sql(name, signal, base, more=""):
+    return f"""{name} AS (SELECT g.doc_id, round({signal}, 2) AS signal, {base} AS bc, b.cost_usd * 5 AS fc,
   g.needs_info AS g, a.needs_info AS c, b.needs_info AS f,
-  CAST(('0x' || substr(sha256('"doc#' || g.doc_id || '"'), 57, 8))::BIGINT % 2 AS INT) AS fold {JOIN})"""
+  CAST(('0x' || substr(sha256('"doc#' || g.doc_id || '"'), 57, 8))::BIGINT % 2 AS INT) AS fold {JOIN}{more})"""
+
+
+TIERS_SQL = tiers_sql("ti", self_sql("a"), "a.cost_usd")
 
 
-def curve_sql(name, where, metric):
+def curve_sql(name, where, metric, table="ti"):
     return f"""{name} AS (SELECT tau, avg((signal < tau)::INT) AS escalated, 1000 * avg(bc + CASE WHEN signal < tau THEN fc ELSE 0 END) AS cost_per_1000,
-  {metric} AS m FROM (SELECT *, CASE WHEN signal < tau THEN f ELSE c END AS p FROM (SELECT * FROM ti WHERE {where}),
-    (SELECT DISTINCT signal AS tau FROM ti WHERE {where} UNION SELECT 0.0 UNION SELECT 1.01) t) GROUP BY tau),
+  {metric} AS m FROM (SELECT *, CASE WHEN signal < tau THEN f ELSE c END AS p FROM (SELECT * FROM {table} WHERE {where}),
+    (SELECT DISTINCT signal AS tau FROM {table} WHERE {where} UNION SELECT 0.0 UNION SELECT 1.01) t) GROUP BY tau),
 {name}_tau AS (SELECT min_by(tau, (round(cost_per_1000, 9), -tau)) AS tau FROM {name}
   WHERE round(m, 12) >= round((SELECT m FROM {name} WHERE tau = 1.01) - 0.02, 12))"""
 
@@ -115,6 +126,50 @@ def cross_fitted(spark, sf):
     return rounded(out, "escalated", "cost_per_1000", "t4_f1")
 
 
+def agreed_sql():
+    return f"""CASE WHEN a.error IS NULL AND k.error IS NULL AND list_contains(a.labels, g.lang) AND list_contains(k.labels, g.lang)
+  AND a.component IS NOT DISTINCT FROM k.component THEN least({tconf('k').replace("'k'", "'c'")}, coalesce({cconf('k')}, 0)) ELSE 0.0 END"""
+
+
+def report_part_sql(gate, table):
+    """The chosen point with its deltas, and the cross-fitted one."""
+    x = table
+    w = f"CASE WHEN r = 0 THEN 1 ELSE {poisson_one(u(SEED, 'r', 'doc_id'))} END::DOUBLE"
+    f1 = lambda p: f"coalesce(2 * sum(w) FILTER (WHERE g AND {p}) / nullif(2 * coalesce(sum(w) FILTER (WHERE g AND {p}), 0) + coalesce(sum(w) FILTER (WHERE g <> {p}), 0), 0), 0)"
+    ctes = f"""{curve_sql(f'{x}_cv', 'true', F1_SQL, x)}, {curve_sql(f'{x}_0', 'fold <> 0', F1_SQL, x)}, {curve_sql(f'{x}_1', 'fold <> 1', F1_SQL, x)},
+{x}_p AS (SELECT *, CASE WHEN signal < CASE fold WHEN 0 THEN (SELECT tau FROM {x}_0_tau) ELSE (SELECT tau FROM {x}_1_tau) END THEN 1 ELSE 0 END AS up FROM {x}),
+{x}_q AS (SELECT *, CASE WHEN up = 1 THEN f ELSE c END AS p FROM {x}_p),
+{x}_m AS (SELECT doc_id, g, f, CASE WHEN signal < (SELECT tau FROM {x}_cv_tau) THEN f ELSE c END AS p FROM {x}),
+{x}_r AS (SELECT r, {f1('p')} - {f1('f')} AS d FROM (SELECT r, x.*, {w} AS w FROM {x}_m x, range(0, 1001) t(r)) GROUP BY r),
+{x}_d AS (SELECT max(d) FILTER (WHERE r = 0) AS delta, quantile_cont(d, 0.025) FILTER (WHERE r > 0) AS low, quantile_cont(d, 0.975) FILTER (WHERE r > 0) AS high FROM {x}_r)"""
+    rows = f"""SELECT '{gate}' AS gate, 'chosen' AS point, tau, escalated, cost_per_1000, m AS value, delta, low, high, coalesce(low > 0 OR high < 0, false) AS significant
+  FROM {x}_cv JOIN {x}_cv_tau USING (tau), {x}_d
+UNION ALL SELECT '{gate}', 'cross-fitted', NULL, avg(up), 1000 * avg(bc + up * fc), {F1_SQL}, NULL, NULL, NULL, NULL FROM {x}_q"""
+    return ctes, rows
+
+
+SEED = "'0'"
+
+
+def report_sql():
+    own, agreed = report_part_sql("self", "ti"), report_part_sql("agreement", "tj")
+    alone = " UNION ALL ".join(f"""SELECT '' AS gate, '{tier} tier alone' AS point, NULL::DOUBLE AS tau, {share}::DOUBLE AS escalated, 1000 * avg({cost}) AS cost_per_1000,
+  {F1_SQL} AS value, NULL::DOUBLE AS delta, NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::BOOLEAN AS significant FROM (SELECT *, {p} AS p FROM ti)"""
+                               for tier, share, cost, p in (("cheap", 0, "bc", "c"), ("full", 1, "fc", "f")))
+    return f"""WITH {TIERS_SQL}, {tiers_sql('tj', agreed_sql(), 'a.cost_usd + k.cost_usd', ' JOIN pred_c k USING (doc_id)')}, {own[0]}, {agreed[0]},
+al AS ({alone} UNION ALL {own[1]} UNION ALL {agreed[1]})
+SELECT gate, point, tau, round(escalated, 6) AS escalated, round(cost_per_1000, 6) AS cost_per_1000, 't4_f1' AS metric, round(value, 6) AS value,
+  round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, significant FROM al"""
+
+
+@query("cascade_report", *AB, "pred_c", sql=report_sql())
+def cascade_report(spark, sf):
+    """Both gates beside each tier alone: the chosen and the cross-fitted point, and what the cascade loses to the full tier."""
+    gates = {"self": tiers(spark, sf), "agreement": tiers(spark, sf, "c")}
+    out = cs.cascade_report(gates, "doc_id", "fold", 2, SUMS, f1_metric, 0.02)
+    return rounded(out, "escalated", "cost_per_1000", "value", "delta", "low", "high")
+
+
 @query("decision_cascade", *AB, sql=f"""WITH {TIERS_SQL}, {curve_sql('cv', 'true', ACC_SQL)}
 SELECT tau, round(escalated, 6) AS escalated, round(cost_per_1000, 6) AS cost_per_1000, round(m, 6) AS accuracy FROM cv""")
 def decision_cascade(spark, sf):
