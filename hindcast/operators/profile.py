@@ -73,7 +73,7 @@ def edit_counts(issues: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 def label_profile(labelled: DataFrame, key: str, title: str, labels: str, examples: int = EXAMPLES) -> DataFrame:
-    """(label, n, share, examples): per label its count, share of rows, first example titles.
+    """(label, n, share, examples): per label its count, share of the human-triaged rows given, first example titles.
 
     Examples come from a ranked window that Spark prunes to `examples` rows per label before the
     shuffle, so a label on every row does not gather its rows anywhere.
@@ -86,3 +86,10 @@ def label_profile(labelled: DataFrame, key: str, title: str, labels: str, exampl
     shown = picked.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("_r", title))).alias("_e"))
     return counts.join(shown, "label").select(
         "label", "n", (F.col("n") / total).alias("share"), F.transform("_e", lambda e: e[title]).alias("examples"))
+
+
+def component_shares(labelled: DataFrame, component: str = "component") -> DataFrame:
+    """(component, n, share): of the items whose component is known, how many each has."""
+    counts = labelled.filter(F.col(component).isNotNull()).groupBy(component).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(component, "n", (F.col("n") / total).alias("share"))

@@ -216,18 +216,17 @@ def apply_cascade(spark, sf):
 
 
 @query("decisions_to_prediction", sql=f"""
-WITH e AS (SELECT vec_id, [abs(embedding[1])::DOUBLE, abs(embedding[2])::DOUBLE, abs(embedding[3])::DOUBLE, abs(embedding[4])::DOUBLE] AS d FROM embeddings)
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS d FROM embeddings)
 SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN 'c' || (vec_id % 3) ELSE '' END AS labels,
   CASE WHEN vec_id % 5 <> 0 THEN round({u("'t'", 'vec_id')}, 6) END AS type_confidence,
   CASE WHEN vec_id % 7 <> 0 THEN 'c0' END AS component, CASE WHEN vec_id % 7 <> 0 THEN round(d[1], 6) END AS component_confidence,
   CASE WHEN vec_id % 7 = 0 THEN '' WHEN vec_id % 11 = 0 THEN 'c0' ELSE (SELECT string_agg('c' || i, ',' ORDER BY v DESC, i) FROM (
-    SELECT i, d[i + 1] AS v FROM range(4) t(i) ORDER BY v DESC, i LIMIT 3)) END AS component_candidates,
+    SELECT i, d[i + 1] AS v FROM range(len(d)) t(i) ORDER BY v DESC, i LIMIT 3)) END AS component_candidates,
   round(0.003, 6)::DOUBLE AS cost_usd FROM e""")
 def decisions_to_prediction(spark, sf):
     e = read_table(spark, sf, "embeddings")
     n = F.col("vec_id")
-    dist = F.map_from_arrays(
-        F.array(*[F.lit(f"c{i}") for i in range(4)]), F.array(*[F.abs(F.get("embedding", F.lit(i))).cast("double") for i in range(4)]))
+    dist = F.map_from_entries(F.transform("embedding", lambda x, i: F.struct(F.concat(F.lit("c"), i), F.abs(x).cast("double"))))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     asked = F.array(
         F.struct(F.lit("type").alias("question"), F.when(n % 5 != 0, F.concat(F.lit("c"), n % 3)).otherwise("").alias("answer"),

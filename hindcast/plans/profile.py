@@ -94,10 +94,20 @@ def edit_counts(spark, sf):
 
 
 @query("label_profile", "issue", sql="""
-WITH l AS (SELECT number, title, unnest([lang, source, 'topic-' || (number % 5), 'status-new']) AS label FROM issue),
+WITH t AS (SELECT * FROM issue WHERE number % 10 <> 0),
+l AS (SELECT number, title, unnest([lang, source, 'topic-' || (number % 5), 'status-new']) AS label FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY number) AS k FROM l)
-SELECT label, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM issue), 6) AS share,
+SELECT label, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM t), 6) AS share,
   string_agg(title, ' / ' ORDER BY number) FILTER (WHERE k <= 3) AS examples FROM r GROUP BY label""")
 def label_profile(spark, sf):
-    out = pf.label_profile(sv.doc_labels(spark, sf), "number", "title", "labels")
+    """Labels of the triaged issues (those of the reference answers)."""
+    triaged = sv.doc_labels(spark, sf).filter("number % 10 <> 0")
+    out = pf.label_profile(triaged, "number", "title", "labels")
     return out.withColumn("share", r6(F.col("share"))).withColumn("examples", F.array_join("examples", " / "))
+
+
+@query("component_shares", "gold", sql="""
+SELECT component, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(component) FROM gold), 6) AS share FROM gold
+WHERE component IS NOT NULL GROUP BY component""")
+def component_shares(spark, sf):
+    return pf.component_shares(fx.gold(spark, sf)).withColumn("share", r6(F.col("share")))
