@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from hindcast.llm.columns import pack, packed, unpack
 
 ROUNDS = 8
+STRETCH = 256
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -122,37 +123,54 @@ def _cards(key: str, match: Column) -> Column:
     From the left, each group starts a number if some run of whole groups from there has 13-19 digits and is Luhn-valid. Of several,
     16 digits go first, then 15, then the others from the shortest: a code of three digits behind a number may fit the check by
     chance. A group in no number stays as it is.
-    """
-    groups = F.regexp_extract_all(match, F.lit(r"\d+[ -]?"), F.lit(0))
-    none = F.array().cast("array<struct<kind: string, value: string>>")
 
-    def scan(parts: Column) -> Column:
-        def runs(i: Column) -> Column:
-            """The valid runs that start at group i, the best first: struct(rank, n, raw)."""
+    The scan keeps group numbers only, in stretches of STRETCH groups that are joined once at the end; the pieces are cut afterwards. So
+    the time follows the length of the run.
+    """
+    def scan(parts: Column, digits: Column) -> Column:
+        def best(i: Column) -> Column:
+            """Groups of the best valid run that starts at group i; null if there is none."""
             lengths = F.sequence(F.lit(1), F.least(F.size(parts) - i, F.lit(19)))
-            tried = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, i + 1, n), "").alias("raw")))
-            sized = F.transform(tried, lambda r: F.struct(r["n"].alias("n"), r["raw"].alias("raw"), _digits(r["raw"]).alias("d")))
-            valid = F.filter(sized, lambda r: F.length(r["d"]).between(13, 19) & (luhn_sum(r["d"]) % 10 == 0))
+            tried = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(digits, i + 1, n), "").alias("d")))
+            valid = F.filter(tried, lambda r: F.length(r["d"]).between(13, 19) & F.call_function("luhn_check", r["d"]))
             rank = lambda d: F.when(F.length(d) == 16, 0).when(F.length(d) == 15, 1).otherwise(F.length(d))
-            return F.array_sort(F.transform(valid, lambda r: F.struct(rank(r["d"]).alias("rank"), r["n"].alias("n"), r["raw"].alias("raw"))))
+            return F.array_min(F.transform(valid, lambda r: F.struct(rank(r["d"]).alias("rank"), r["n"].alias("n"))))["n"]
+
+        def stretch(state: Column, k: Column) -> Column:
+            def step(inner: Column, i: Column) -> Column:
+                def found(n: Column) -> Column:
+                    run = F.struct(i.alias("at"), (i + n).alias("end"))
+                    return F.when(n.isNotNull(), F.struct((i + n).alias("next"), F.array_append(inner["runs"], run).alias("runs"))).otherwise(inner)
 
-        def take(state: Column, i: Column) -> Column:
-            def taken(best: Column) -> Column:
-                number = F.regexp_replace(best["raw"], "[ -]$", "")
-                behind = F.substr(best["raw"], F.length(number) + 1, F.lit(1))
-                found = F.array(
-                    F.struct(F.lit("card").alias("kind"), _card(key, number).alias("value")),
-                    F.struct(F.lit(None).cast("string").alias("kind"), behind.alias("value")))
-                left = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.get(parts, i).alias("value")))
-                return F.when(best.isNotNull(), F.struct((i + best["n"]).alias("next"), F.concat(state["out"], found).alias("out"))).otherwise(
-                    F.struct((i + 1).alias("next"), F.concat(state["out"], left).alias("out")))
+                return F.when(i < inner["next"], inner).otherwise(_with(best(i), found))
 
-            return F.when(i < state["next"], state).otherwise(_with(F.get(runs(i), F.lit(0)), taken))
+            last = F.least((k + 1) * STRETCH, F.size(parts)) - 1
+            start = F.struct(state["next"].alias("next"), F.array().cast("array<struct<at: int, end: int>>").alias("runs"))
+            done = F.aggregate(F.sequence(k * STRETCH, last), start, step)
+            return _with(done, lambda x: F.struct(x["next"].alias("next"), F.array_append(state["runs"], x["runs"]).alias("runs")))
 
-        start = F.struct(F.lit(0).alias("next"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, take, lambda s: s["out"])
+        none = F.array().cast("array<array<struct<at: int, end: int>>>")
+        stretches = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STRETCH).cast("int"))
+        found = F.aggregate(stretches, F.struct(F.lit(0).alias("next"), none.alias("runs")), stretch, lambda s: F.flatten(s["runs"]))
+        return _with(found, lambda runs: pieces(parts, runs))
 
-    return _with(groups, scan)
+    def piece(kind: str | None, value: Column) -> Column:
+        return F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
+
+    def pieces(parts: Column, runs: Column) -> Column:
+        def cut(run: Column, j: Column) -> Column:
+            """The number and what lies between it and the next."""
+            until = F.coalesce(F.get(runs, j + 1)["at"], F.size(parts))
+            raw = F.array_join(F.slice(parts, run["at"] + 1, run["end"] - run["at"]), "")
+            behind = F.array_join(F.slice(parts, run["end"] + 1, until - run["end"]), "")
+            return _with(raw, lambda r: F.array(
+                piece("card", _card(key, F.regexp_replace(r, "[ -]$", ""))), piece(None, F.concat(F.regexp_extract(r, "[ -]$", 0), behind))))
+
+        front = F.array_join(F.slice(parts, F.lit(1), F.coalesce(F.get(runs, F.lit(0))["at"], F.size(parts))), "")
+        return F.concat(F.array(piece(None, front)), F.flatten(F.transform(runs, cut)))
+
+    groups = F.regexp_extract_all(match, F.lit(r"\d+[ -]?"), F.lit(0))
+    return _with(groups, lambda parts: _with(F.transform(parts, _digits), lambda digits: scan(parts, digits)))
 
 
 def _phone(key: str, match: Column) -> Column:
