@@ -238,9 +238,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.col("_key").alias(key), "text_hash", "copies", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, one of each component: the smallest key (then text hash); a repeated row stays once."""
-    found = near_duplicates(docs, key=key, text=text).withColumnRenamed(key, "_k")
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", search=near_duplicates) -> DataFrame:
+    """The rows of `docs`, one of each component: the smallest key (then text hash); a repeated row stays once.
+
+    `search` names the components: a function like `near_duplicates`.
+    """
+    found = search(docs, key=key, text=text).withColumnRenamed(key, "_k")
     best = found.groupBy("component_id").agg(
         F.min(F.struct(F.col("_k").isNull().alias("n"), F.col("_k").alias("k"), F.col("text_hash").alias("h"))).alias("b"))
     chosen = best.select(F.col("b.k").alias("_bk"), F.col("b.h").alias("_h")).join(
