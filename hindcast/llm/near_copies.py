@@ -34,7 +34,7 @@ DIFFER = 0.152  # share of bits in which texts of similarity 0.8 differ: acos(2
 MISS = 0.05
 FANOUT = 8
 NEIGHBOURS = 4
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 SLICE = 1 << 15
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.array([(2 * i + 3) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(64)], np.uint64)
@@ -174,8 +174,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_group, held = group[cut:], values[cut:]
         if cut:
             yield _forest(group[:cut], values[:cut])
+            bytetext.release()
     if len(held_group):
         yield _forest(held_group, held)
+    bytetext.release()
 
 
 def near_links(fingerprints: DataFrame) -> DataFrame:
