@@ -378,3 +378,44 @@ def test_gate_refuses_rules_for_unknown_metrics(spark):
     assert found == {"f1": "fail", "recall": "warn", "free": "pass"}
     with pytest.raises(Exception, match="unknown metric: f2"):
         gate.gate_metric(deltas, rules.unionByName(spark.createDataFrame([("f2", 0.1)], rules.schema))).collect()
+
+
+def test_blocks_of_queries_find_what_single_queries_find():
+    rng = random.Random(6)
+    n, created, found = 120, 1000, []
+    documents = [{"cid": i, "doc_len": rng.randint(5, 40), "keys": [i, 500 + i], "created": [i, created]} for i in range(n)]
+    rows = [{"term": "", "cids": [], "tfs": [], "top": 0, "least": 0, "idf": None, "documents": documents}]
+    for t in range(60):
+        cids = sorted(rng.sample(range(n), 1 + t * 2 if t < 50 else 2))
+        tfs = [rng.randint(1, 5) for _ in cids]
+        rows.append({"term": f"t{t}", "cids": cids, "tfs": tfs, "top": max(tfs), "least": 5, "idf": 1.0 + t / 9, "documents": []})
+    batches = pa.Table.from_pylist(rows).to_batches()
+    for scoring in (blocks.Bm25(1.2, 0.75), blocks.Cosine()):
+        asked = [
+            (q, rng.choice([0, 40, 90, 2000]), rng.sample([f"t{t}" for t in range(64)], rng.randint(0, 30)), 10.0 + q / 7, rng.choice([0.0, 0.0, 3.0, 99.0]),
+             rng.sample(range(n), rng.choice([0, 3, 60]))) for q in range(300)]
+        queries = [(q, at, terms, [0.1 + int(t[1:]) / 50 for t in terms], mean, floor, out) for q, at, terms, mean, floor, out in asked]
+        names = ("q", "as_of", "terms", "weights", "mean", "floor", "excluded")
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+        part = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*queries, strict=True), kinds, strict=True)], names)
+        together = dict(blocks._searches(blocks.Shard(batches, scoring), part, 5))
+        alone = blocks.Shard(batches, scoring)
+        for q, at, terms, weights, mean, floor, out in queries:
+            best = [sorted(((-round(s, 7), k) for k, s in zip(*r, strict=True) if s >= floor), key=lambda x: x)[:5] for r in (
+                together[q], alone.search(terms, weights, mean, at, floor, out, 5))]
+            assert best[0] == best[1] and together[q][1].dtype == float
+            found += best[0]
+    assert len(found) > 500
+
+
+def test_shards_grow_with_the_table(spark):
+    docs = spark.range(50_000).select(F.col("id").alias("number"), F.col("id").alias("created"), F.array(F.lit("a")).alias("tokens"))
+    index = blocks.build_index(docs, "number", "created", F.col("tokens"))
+    assert sum(n for _, _, n in index.ranges) <= 2 * blocks.FEW_SHARDS  # copies of each query; one per 1,024 documents before
+
+
+def test_postings_of_dealt_documents_send_no_terms(spark):
+    docs = lexical.dealt(corpus(spark), "number")
+    posts = lexical.postings(docs, "number", "created", F.col("tokens")).groupBy("number", "doc_len").agg(F.sum("tf"))
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and {r[0]: r[2] for r in posts.collect()} == {i: 12 for i in range(60)}
