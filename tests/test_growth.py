@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hindcast.operators import dense
@@ -18,3 +19,34 @@ def test_norm_is_not_computed_again_for_every_component(spark):
     out = df.select("id", dense.l2_normalise(F.col("v")).alias("v"))
     assert "/ greatest(" not in plan(out)
     assert {r["id"]: r["v"] for r in out.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None}
+
+
+def test_dense_cell_ranks_only_what_may_enter_the_top(monkeypatch):
+    """Fails if every similarity of a cell is sorted (dense_topk, 6 GB)."""
+    rng = np.random.default_rng(1)
+    n, k = 3000, 5
+    v = rng.integers(-3, 4, (n, 8)).astype(float)  # many ties
+    v[7] = np.nan
+    docs = pa.table({"number": np.arange(n), "created": np.arange(n), "vector": v.tolist()})
+    at = np.array([0, 3, 8, 1500, 2999])
+    excluded = [[], [1], [2, 4], [], [5]]
+    asked = pa.table({"q": at, "as_of": at, "excluded": pa.array(excluded, pa.list_(pa.int64())), "vector": v[at].tolist()})
+    sorted_sizes = []
+    lexsort = np.lexsort
+
+    def counted(keys, axis=-1):
+        sorted_sizes.append(np.size(keys[0]))
+        return lexsort(keys, axis=axis)
+
+    monkeypatch.setattr(np, "lexsort", counted)
+    monkeypatch.setattr(dense, "STRIP", 500)
+    got = dense._cell(k, "number")(asked, docs).to_pylist()
+    assert sum(sorted_sizes) < len(at) * n / 4
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), dense.NORM_FLOOR)
+    want = []
+    for q, out in zip(at, excluded, strict=True):
+        sims = np.round(unit[:q] @ unit[q], dense.SIM_DIGITS)
+        best = sorted((-s, i) for i, s in enumerate(sims) if i not in out and not np.isnan(s))[:k]
+        want += [(q, i, -s) for s, i in best]
+    assert [(r["q"], r["number"]) for r in got] == [(q, i) for q, i, _ in want]
+    assert np.allclose([r["score"] for r in got], [s for *_, s in want], atol=2e-9)
