@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hindcast.operators import dense
+from hindcast.operators import dense, uncertainty
 
 
 def plan(df) -> str:
@@ -50,3 +52,26 @@ def test_dense_cell_ranks_only_what_may_enter_the_top(monkeypatch):
         want += [(q, i, -s) for s, i in best]
     assert [(r["q"], r["number"]) for r in got] == [(q, i) for q, i, _ in want]
     assert np.allclose([r["score"] for r in got], [s for *_, s in want], atol=2e-9)
+
+
+def test_weights_of_an_item_are_drawn_once_for_all_its_groups(spark):
+    """Fails if rows of an item lie in several tasks, each drawing its weights (consistency_report, deltas_table, gate_check, 6 GB)."""
+    rows = [(i, g, float(i % 3)) for g in ("a", "b", "c") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string, x double").repartition(5)
+    out = uncertainty.resample_totals(df, "id", {"x": F.col("x")}, ["g"], resamples=20, seed="s")
+    assert "RepartitionByExpression [_k" in plan(out)
+    draws = uncertainty.poisson_weights([str(i) for i in range(40)], 20, "s")
+    want = draws.T @ np.array([i % 3 for i in range(40)], float)
+    got = {(r["g"], r["r"]): r["x"] for r in out.collect()}
+    assert all(np.isclose(got[g, r + 1], want[r]) for g in "abc" for r in range(20)) and got["a", 0] == 39.0
+
+
+def test_memory_of_a_resampling_task_is_bounded():
+    """Fails if a task holds the draws of thousands of items (cascade_report, significant, scorecard, 6 GB)."""
+    n = 2048
+    batch = pa.RecordBatch.from_pydict({"_k": [str(i) for i in range(n)], "_w": np.ones(n), "x": np.ones(n)})
+    tracemalloc.start()
+    list(uncertainty._totals([], ["x"], 200, "0", False)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
