@@ -11,19 +11,21 @@
 The blocks are rows of a Parquet table in the shared folder (part, block, ids of documents and their lengths,
 checkpoints, bits); the code lengths are a second table beside it.
 
-Text between single spaces and line feeds is encoded once per worker and cached: with this tokenizer a space stays with
-the word behind it and a lone line feed is a piece of its own, so pieces do not depend on one another. Texts
-with other white space, double spaces or special tokens go through the tokenizer whole.
+Runs of letters, digits or signs are encoded once per worker and cached, the distinct ones of about a megabyte of text at
+a time: with this tokenizer a space stays with the run behind it and a lone line feed is a piece of its own, so pieces do not
+depend on one another. Texts with other white space, double spaces or special tokens go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,12 +38,20 @@ LIMIT = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 END_ID = 2
-CACHE = 500_000
+CACHE = 600_000
 LOOK = 256
 TEXTS = 128
 #: White space other than space and line feed.
 OTHER_SPACE = tuple(
     "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))))
+#: Kinds of bytes. Pieces begin at spaces and line feeds, behind line feeds, and between letters, digits and other signs of
+#: ASCII, as the tokenizer's own do. Kind 0 (apostrophes for their contractions, bytes of other characters) cuts nothing.
+SPACE, FEED = 4, 5
+KINDS = np.full(256, 3, np.uint8)
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+KINDS[0x30:0x3A] = 2
+KINDS[[0x20, 0x0A]] = SPACE, FEED
+KINDS[[0x27, *range(0x80, 0x100)]] = 0
 WAITING = (
     "doc_id bigint, h bigint, n bigint, marks array<bigint>, bits binary, ids array<bigint>, counts array<bigint>")
 BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, checkpoints array<bigint>, bits binary"
@@ -51,66 +61,115 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<bigint>, che
 
 
 class Encoder:
-    """A tokenizer with a cache of words; ids as little-endian 32-bit integers in bytes."""
+    """A tokenizer with a cache of pieces (`KINDS`); ids as little-endian 32-bit integers.
+
+    The texts of a call are cut where their bytes are, and each distinct piece is looked up once. A full
+    cache loses what only one call has asked for.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that go through the tokenizer whole.
+        self.hard = "|".join([r"^[ \n]", r"[ \n]$", r"[ \n][ \n]", "[" + "".join(f"\\x{{{ord(c):x}}}" for c in OTHER_SPACE) + "]", *special])
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, int] = {}  # piece i has the ids begin[i] .. begin[i + 1] - 1
+        self.ids, self.begin, self.asked = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.splits = len(self.feed) == 1 and self._splits()
 
     def _splits(self) -> bool:
         """Whether pieces are independent in this tokenizer, tried on a line of every kind of piece."""
-        probe = "ab, it's 12 é\nZ9? !x\n(日本"
-        return self._whole(probe) == self._pieces([probe])[0]
+        probe = "ab, it's 12 é\nZ9? !x\n(日本 x,'s 3,a'd2 é,a1!é"
+        return self._whole(probe).tolist() == self._pieces(pa.array([probe]), 0)[0].tolist()[:-1]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, keys: list[str]) -> None:
-        if len(self.cache) + len(keys) > CACHE:
-            self.cache.clear()
         # "\n word\nword": each key becomes one line, so the line feed's id parts the ids of the keys.
-        lines = [k if k[0] == "\n" else f"\n {k}" for k in keys]
-        joined = ["".join(lines[i : i + 1000]) for i in range(0, len(lines), 1000)]
-        for i, found in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.feed[0])
-            mine = keys[1000 * i : 1000 * (i + 1)]
-            raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids)]
-            for key, a, b in zip(mine, cuts.tolist(), ends, strict=True):
-                self.cache[key] = raw[4 * (a if key[0] == "\n" else a + 1) : 4 * b]
-
-    def _pieces(self, texts: list[str]) -> list[bytes]:
-        keys: list[str] = []
-        bounds = [0]
-        for text in texts:
-            keys.extend(f"\n{text}".replace("\n", " \n").split(" ")[1:])
-            bounds.append(len(keys))
-        values = list(map(self.cache.get, keys))
-        missing = [i for i, v in enumerate(values) if v is None]
-        if missing:
-            wanted = list({keys[i] for i in missing})
-            self._learn(wanted)
-            for i in missing:
-                values[i] = self.cache[keys[i]]
-        return [b"".join(values[a:b])[4:] for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def plain(self, text: str) -> bool:
-        return not (
-            text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
-            or any(s in text for s in self.special) or any(c in text for c in OTHER_SPACE))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [b"" if not t else None for t in texts]
-        easy = [i for i, t in enumerate(texts) if t and self.splits and self.plain(t)]
-        for i, ids in zip(easy, self._pieces([texts[i] for i in easy]), strict=True):
-            out[i] = ids
-        return [self._whole(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+        lines = ["\n" + "\n".join(keys[i : i + 1000]) for i in range(0, len(keys), 1000)]
+        found = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.array(self.feed, "<u4")])
+        cuts = np.flatnonzero(ids == self.feed[0])
+        lengths = np.diff(cuts) - 1
+        begin = self.begin[-1] + np.cumsum(np.append(0, lengths))
+        if len(lengths) != len(keys):
+            raise ValueError("the tokenizer joins lines")
+        self.cache.update(zip(keys, range(len(self.cache), len(self.cache) + len(keys)), strict=True))
+        self.ids = np.concatenate([self.ids, ids[ids != self.feed[0]]])
+        self.begin = np.concatenate([self.begin, begin[1:]])
+        self.asked = np.concatenate([self.asked, np.zeros(len(keys), np.int32)])
+
+    def _sweep(self) -> None:
+        """Make room: pieces asked for in one call only since the last sweep go."""
+        kept = self.asked > 1
+        if kept.sum() > CACHE // 2:
+            kept[:] = False
+        lengths = np.diff(self.begin)
+        self.ids = self.ids[np.repeat(kept, lengths)]
+        self.begin = np.append(0, np.cumsum(lengths[kept]))
+        self.asked = np.zeros(int(kept.sum()), np.int32)
+        self.cache = {k: i for i, k in enumerate(k for k, keep in zip(self.cache, kept.tolist(), strict=True) if keep)}
+
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Where distinct pieces are in the cache."""
+        if len(self.cache) + len(keys) > CACHE:
+            self._sweep()
+        found = list(map(self.cache.get, keys))
+        if None in found:
+            self._learn([k for k, at in zip(keys, found, strict=True) if at is None])
+            found = list(map(self.cache.get, keys))
+        at = np.array(found, np.int64)
+        self.asked[at] += 1
+        return at
+
+    def _pieces(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` of texts that split. Each text gets a line feed in front; its id becomes the end of the text before."""
+        data, offsets = bytetext.string_bytes(pc.binary_join_element_wise("", texts, "\n"))
+        kind = KINDS[data]
+        cut = kind >= SPACE
+        cut[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (kind[:-1] != SPACE)
+        starts = np.flatnonzero(cut | (np.append(0, kind[:-1]) == FEED))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        feeds, first = kind[starts] == FEED, np.searchsorted(starts, offsets[:-1])
+        words = coded.dictionary.to_pylist()
+        at = self._places([w for w in words if w != "\n"])
+        begin, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        named = np.array([w != "\n" for w in words], bool)
+        begin[named], lengths[named] = self.begin[at], self.begin[at + 1] - self.begin[at]
+        index = coded.indices.to_numpy()
+        sizes = lengths[index] + feeds  # a line feed is one id, put in below
+        ends = np.cumsum(sizes)
+        out = np.full(int(ends[-1]), self.feed[0], "<u4")
+        own = np.flatnonzero(~feeds)
+        out[np.repeat(~feeds, sizes)] = self.ids[bytetext.ranges(begin[index[own]], sizes[own])]
+        out = np.append(out[1:], np.array([end], "<u4"))
+        out[(ends - sizes)[first[1:]] - 1] = end
+        return out, np.add.reduceat(sizes, first)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, `end` behind each; number of ids of each)."""
+        if texts.null_count:
+            texts = texts.fill_null("")
+        easy = np.zeros(len(texts), bool)
+        if self.splits:
+            easy = ~pc.match_substring_regex(texts, self.hard).to_numpy(zero_copy_only=False)
+        if easy.all() and len(texts):
+            return self._pieces(texts, end)
+        whole = [np.append(self._whole(t), np.array([end], "<u4")) for t in texts.filter(pa.array(~easy)).to_pylist()]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~easy] = [len(x) for x in whole]
+        if easy.any():
+            ids, sizes[easy] = self._pieces(texts.filter(pa.array(easy)), end)
+        out, at = np.empty(sizes.sum(), "<u4"), np.cumsum(sizes) - sizes
+        out[bytetext.ranges(at[~easy], sizes[~easy])] = np.concatenate([*whole, np.zeros(0, "<u4")])
+        if easy.any():
+            out[bytetext.ranges(at[easy], sizes[easy])] = ids
+        return out, sizes
 
 
 _encoders: dict[int, Encoder] = {}
@@ -125,15 +184,13 @@ def _encoder(definition) -> Encoder:
 
 
 def _encoded(definition, batches, end: int, *more: str) -> Iterator[tuple]:
-    """(document ids, their token ids with the end id, further columns) of some documents at a time."""
-    encoder, tail = _encoder(definition), np.array([end], "<u4").tobytes()
+    """(document ids, the token ids of all with the end ids, their numbers, further columns) of some documents at a time."""
+    encoder = _encoder(definition)
     for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            some = batch.slice(at, TEXTS)
-            texts = [t or "" for t in some.column("text").to_pylist()]
-            ids = [np.frombuffer(b + tail, "<u4") for b in encoder.encode(texts)]
-            yield some.column("doc_id").to_pylist(), ids, *[some.column(c) for c in more]
-        bytetext.release()
+        texts = batch.column("text")
+        for first, last, _, _ in bytetext.chunks(texts):
+            some = batch.slice(first, last - first)
+            yield some.column("doc_id"), *encoder.encode(texts.slice(first, last - first), end), *[some.column(c) for c in more]
 
 
 # --- code --------------------------------------------------------------------------------------------------------------
@@ -253,8 +310,8 @@ class Code:
 def _counter(definition, end: int, size: int):
     def count(batches):
         total = np.zeros(size, np.int64)
-        for _, ids in _encoded(definition, batches, end):
-            total += np.bincount(np.concatenate(ids), minlength=size)
+        for _, ids, _ in _encoded(definition, batches, end):
+            total += np.bincount(ids, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -272,13 +329,12 @@ def _waiting(definition, lengths, end: int):
     def rows(batches):
         code = Code(lengths.value)
         total = np.zeros(len(lengths.value), np.int64)
-        for names, ids, hashes in _encoded(definition, batches, end, "h"):
-            joined, sizes = np.concatenate(ids), np.array([len(x) for x in ids])
-            total += np.bincount(joined, minlength=len(total))
-            bits, marks = code.encode_each(joined, sizes)
-            none = pa.nulls(len(ids), pa.list_(pa.int64()))
+        for names, ids, sizes, hashes in _encoded(definition, batches, end, "h"):
+            total += np.bincount(ids, minlength=len(total))
+            bits, marks = code.encode_each(ids, sizes)
+            none = pa.nulls(len(sizes), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), hashes, pa.array(sizes), _ints(marks), pa.array(bits, pa.binary()), none, none],
+                [names, hashes, pa.array(sizes), _ints(marks), pa.array(bits, pa.binary()), none, none],
                 ["doc_id", "h", "n", "marks", "bits", "ids", "counts"])
         used = np.flatnonzero(total)
         null = pa.nulls(1, pa.int64())

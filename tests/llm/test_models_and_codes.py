@@ -6,11 +6,13 @@ import collections
 import datetime
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -199,6 +201,28 @@ def test_files_give_back_all_ids(spark):
     assert huffman.roundtrip(empty(spark), f"{TOKENIZERS}/byte_bpe_50k.json").count() == 0
 
 
+def test_runs_of_letters_are_encoded_once(monkeypatch):
+    """What stands beside a run of letters makes no new piece; a full cache and odd texts change no id."""
+    definition = open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8").read()
+    encoder, learnt = huffman.Encoder(definition), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda keys: (learnt.extend(keys), learn(keys)))
+    words, rng = ["alpha", "beta7", "gamma"], random.Random(5)
+    texts = [" ".join(rng.choice(words) + rng.choice([".", ",", "!", "?!", ";", ""]) for _ in range(50)) for _ in range(20)]
+
+    def same(texts):
+        ids, sizes = encoder.encode(pa.array(texts, pa.string()), 2)
+        whole = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert sizes.tolist() == [len(w) for w in whole] and ids.tolist() == sum(whole, [])
+
+    same(texts)
+    assert len(learnt) == len(set(learnt)) <= 15
+    monkeypatch.setattr(huffman, "CACHE", 40)
+    signs = list("ab,.'sdtré日٣²0 19!?-\n  _\x00\x7f\t") + ["'s", " '", "'ll", "<|endoftext|>"]
+    for _ in range(10):
+        same(["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, ""])
+
+
 # --- pseudonyms
 
 
