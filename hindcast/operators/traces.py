@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindcast.operators.latest import last_line_wins
 from hindcast.operators.uncertainty import percentile_linear
@@ -14,6 +16,7 @@ DIGEST_CHARS = 6_000
 DIGEST_MARK = "\n[... trace truncated]"
 LINE_CHARS = 160
 OVERLAP = 0.5
+HEAD_WORDS = 1 << 17
 
 
 def final_attempt(events: DataFrame, predictions: DataFrame, key: str, seq: str) -> DataFrame:
@@ -59,6 +62,30 @@ def repeat_calls(calls: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return calls.join(first.drop("_n"), keys).filter(F.col(seq) > F.col("_first")).drop("_first")
 
 
+def rarest_first(sets: DataFrame, words: str) -> Column:
+    """The words of each row in one order for all rows: words outside the HEAD_WORDS most frequent, then those by falling rarity.
+
+    The frequent words and their counts travel to the tasks, so no word is sent to meet its count. Whole counts only.
+    """
+    counts = materialise(
+        sets.select(F.explode(words).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1"), "word-counts")
+    taken, least = 0, None
+    for row in counts.groupBy("_df").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_df")).limit(HEAD_WORDS).collect():
+        taken += row["_n"]
+        if taken > HEAD_WORDS:
+            break
+        least = row["_df"]
+    head = [] if least is None else counts.filter(F.col("_df") >= least).collect()
+    ranks = sets.sparkSession.sparkContext.broadcast({r["_w"]: r["_df"] for r in head})
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def ordered(lists: pa.Array) -> pa.Array:
+        of = ranks.value.get
+        return pa.array([sorted(ws, key=lambda w: (of(w, 0), w or "")) for ws in lists.to_pylist()], pa.list_(pa.string()))
+
+    return ordered(F.col(words))
+
+
 def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: float = OVERLAP) -> DataFrame:
     """(group, seq): rows whose word set overlaps some earlier row's of the group by >= `overlap`.
 
@@ -71,15 +98,16 @@ def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: flo
     cannot reach the overlap never meet their word sets. No row is dropped unproven.
     """
     base = rows.select(group, seq, words, F.md5(F.array_join(F.array_sort(words), " ")).alias("_h"))
+    # From here on a set is a number: 32 random characters beside every word would be most of what is written and sent.
     sets = materialise(
-        base.groupBy(group, "_h").agg(F.min(seq).alias("_first"), F.first(words).alias("_words")).filter(F.size("_words") > 0),
+        base.groupBy(group, "_h").agg(F.min(seq).alias("_first"), F.first(words).alias("_words")).filter(F.size("_words") > 0).withColumn(
+            "_id", F.monotonically_increasing_id()),
         "word-sets")
-    long = sets.select(group, "_h", "_first", F.size("_words").alias("_size"), F.explode("_words").alias("_w"))
-    rarity = long.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    rare = Window.partitionBy(group, "_h").orderBy("_df", "_w")
-    keep = F.col("_size") - F.ceil(F.col("_size") * overlap) + 1
+    size = F.size("_words")
+    rarest = F.slice(rarest_first(sets, "_words"), F.lit(1), size - F.ceil(size * overlap).cast("int") + 1)
     prefix = materialise(
-        long.join(rarity, "_w").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= keep).drop("_df"), "prefixes")
+        sets.select(group, "_id", "_first", size.alias("_size"), F.posexplode(rarest).alias("_r", "_w")).withColumn("_r", F.col("_r") + 1),
+        "prefixes")
 
     def can_reach(size: Column, place: Column, other: Column, other_place: Column) -> Column:
         """Sets whose first shared word has these places share at most it and what follows it in both (positional filter).
@@ -91,27 +119,28 @@ def near_repeats(rows: DataFrame, group: str, seq: str, words: str, overlap: flo
 
 
     def settled(pairs: DataFrame) -> DataFrame:
-        # pairs(group, _h, _g): set _h against an earlier set _g.
-        mine = sets.select(group, "_h", "_words")
-        theirs = sets.select(group, F.col("_h").alias("_g"), F.col("_words").alias("_other"))
-        both = pairs.distinct().join(mine, [group, "_h"]).join(theirs, [group, "_g"])
+        # pairs(_id, _g): a set against an earlier set _g.
+        mine = sets.select("_id", "_words")
+        theirs = sets.select(F.col("_id").alias("_g"), F.col("_words").alias("_other"))
+        both = pairs.distinct().join(mine, "_id").join(theirs, "_g")
         shared = F.size(F.array_intersect("_words", "_other"))
         # Distinct words on both sides: the union is the sum minus what is shared.
         whole = F.size("_words") + F.size("_other") - shared
-        return both.filter(shared / whole >= overlap).select(group, "_h").distinct()
+        return both.filter(shared / whole >= overlap).select("_id").distinct()
 
-    earliest = prefix.groupBy(group, "_w").agg(F.min_by(F.struct("_h", "_first", "_size", "_r"), "_first").alias("_e"))
+    earliest = prefix.groupBy(group, "_w").agg(F.min_by(F.struct("_id", "_first", "_size", "_r"), "_first").alias("_e"))
     first_pass = prefix.join(earliest, [group, "_w"]).filter(
         (F.col("_first") > F.col("_e._first")) & can_reach(F.col("_size"), F.col("_r"), F.col("_e._size"), F.col("_e._r"))).select(
-        group, "_h", F.col("_e._h").alias("_g"))
+        "_id", F.col("_e._id").alias("_g"))
     quick = materialise(settled(first_pass), "near-quick")
-    still = prefix.join(quick, [group, "_h"], "left_anti")
-    holders = prefix.select(group, "_w", F.col("_h").alias("_g"), F.col("_first").alias("_gf"), F.col("_size").alias("_gs"), F.col("_r").alias("_gr"))
+    still = prefix.join(quick, "_id", "left_anti")
+    holders = prefix.select(group, "_w", F.col("_id").alias("_g"), F.col("_first").alias("_gf"), F.col("_size").alias("_gs"), F.col("_r").alias("_gr"))
     fits = (F.col("_gs") >= F.col("_size") * overlap) & (F.col("_size") >= F.col("_gs") * overlap) & can_reach(
         F.col("_size"), F.col("_r"), F.col("_gs"), F.col("_gr"))
-    second_pass = still.join(holders, [group, "_w"]).filter((F.col("_gf") < F.col("_first")) & fits).select(group, "_h", "_g")
+    second_pass = still.join(holders, [group, "_w"]).filter((F.col("_gf") < F.col("_first")) & fits).select("_id", "_g")
     near = quick.unionByName(settled(second_pass)).withColumn("_near", F.lit(True))
-    marked = base.filter(F.size(words) > 0).join(sets.select(group, "_h", "_first"), [group, "_h"]).join(near, [group, "_h"], "left")
+    known = sets.select(group, "_h", "_first", "_id").join(near, "_id", "left")
+    marked = base.filter(F.size(words) > 0).select(group, seq, "_h").join(known, [group, "_h"])
     return marked.filter((F.col(seq) > F.col("_first")) | F.col("_near")).select(group, seq)
 
 

@@ -219,6 +219,26 @@ def test_last_before_is_strict_and_uses_the_same_day(spark):
     assert got == {d(2, 9): ["bug"], d(2, 10): ["doc"], d(5, 0): ["bug", "doc"], d(1, 9): []}
 
 
+def test_near_repeats_send_no_words_to_meet_their_counts(spark, monkeypatch):
+    """Prefixes are cut where their sets lie, under any head of frequent words, and carry a number for their set."""
+    rng, written = random.Random(8), {}
+    sets = [["w%d" % min(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randint(1, 8))] for _ in range(80)]
+    rows = [(i % 2, i, sorted(set(ws))) for i, ws in enumerate(sets)]
+    df = spark.createDataFrame(rows, "g int, seq bigint, words array<string>")
+    keep = traces.materialise
+    monkeypatch.setattr(traces, "materialise", lambda frame, name: (written.update({name: frame}), keep(frame, name))[1])
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.5
+
+    expected = {i for g, i, ws in rows if any(h == g and j < i and alike(ws, vs) for h, j, vs in rows)}
+    for head in (1 << 17, 5, 0):
+        monkeypatch.setattr(traces, "HEAD_WORDS", head)
+        assert {r["seq"] for r in traces.near_repeats(df, "g", "seq", "words").collect()} == expected
+        assert "Exchange" not in written["prefixes"]._jdf.queryExecution().executedPlan().toString()
+        assert dict(written["prefixes"].dtypes)["_id"] == "bigint" and "_h" not in written["prefixes"].columns
+
+
 def test_near_repeats_equal_brute_force(spark):
     rng = random.Random(9)
     rows = [("g", i, sorted({f"w{rng.randrange(14)}" for _ in range(6)})) for i in range(80)]
