@@ -2,15 +2,18 @@
 
 Each of the `HEAD` most frequent words is a unit with its own vectors, as target and as context. A rarer word belongs to one of
 `OTHERS` classes by its last two bytes and to a leaf of that class by its hash; a leaf is a unit. The number of leaves follows the
-number of rarer words up to `LEAVES` a class. The end of a text is a unit. The model predicts the next unit from the two before it in
-two steps: the context vector R[h1] * c1 + R[h2] * c2 (elementwise) first chooses a class - the end, one of the `ALONE` most frequent
-words, a group of the other head words by their endings, or a class of rarer words - and then the unit inside the class. Both
-steps score products with a vector plus a bias, and both are normalised exactly. Within a leaf a word has its share of the counts.
-
-Training is one pass over all training tokens: every task runs noise-contrastive estimation for both steps (noise: the frequencies of the
-classes, shared by a batch, and of the units of a class) on its own texts from the same start, and Spark averages each unit's vectors by
-the times a task moved them. Counts are one aggregate over all training words. Only the `HEAD` most frequent words travel to the
-tasks; the rare words of a text meet their counts in a join.
+number of rarer words up to `LEAVES` a class. The end of a text is a unit. The model predicts the next unit from the two before it by
+a class - the end, one of the `ALONE` most frequent words, a group of the other head words by their endings, or a class of rarer
+words - and the unit inside the class. Both are chosen in two steps of few choices each: a section of neighbouring classes and
+the class in it, a shelf of `SHELF` neighbouring units and the unit on it. Each step scores products of the context vector
+R[h1] * c1 + R[h2] * c2 (elementwise) with a vector plus a bias, and each is normalised exactly. Within a leaf a word has its share of
+the counts.
+
+Training is one pass over all training tokens: every task runs noise-contrastive estimation for all steps (noise: the frequencies of
+all sections and of all classes of a section, each weighed by its share; of the shelves of a class and the units of a shelf, drawn
+for each token) on its own texts from the same start, and Spark averages the vectors of each unit and shelf by the times a task
+moved them. Counts are one aggregate over all training words. Only the `HEAD` most frequent words travel to the tasks; the rare
+words of a text meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -34,12 +37,16 @@ GROUPS = 192
 OTHERS = 24
 LEAVES = 2048
 PER_LEAF = 8  # words of a leaf, as long as LEAVES allows
+SECTION = 18  # classes
+SHELF = 48  # units, at most
 SMOOTH = 0.1
 SIZE = 24
 NOISE = 24
 INNER = 4
-BATCH = 4096
+BATCH = 4096  # tokens of the first batches
+GROW = 8  # a later batch is this part of the tokens seen, a chunk at most
 BLOCK = 256
+SCORED = 2 << 20  # bytes of text counted or scored together
 RATE = 0.1
 END = ""  # no word is empty
 LN10 = np.log(10.0)
@@ -68,21 +75,55 @@ def leaf_of(width: int):
     return leaf
 
 
-class Units:
-    """Frequencies of the units, those of a class side by side: class k has the units bounds[k] .. bounds[k + 1] - 1."""
+def _guide(keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return np.searchsorted(keys, slots).astype(np.int32)
 
-    def __init__(self, weights: np.ndarray, bounds: np.ndarray):
-        self.bounds = bounds
-        self.noise = (weights + SMOOTH) / (weights + SMOOTH).sum()
+
+def _seek(keys: np.ndarray, guide: np.ndarray, slot: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """`searchsorted` of keys, from the place that the guide has for the slot of each value (len(keys) - 1 at most)."""
+    at = guide.take(slot).astype(np.int64)
+    for _ in range(2):
+        at += keys.take(at, mode="clip") < wanted
+    late = np.flatnonzero(keys.take(at, mode="clip") < wanted)
+    at[late] = np.searchsorted(keys, wanted[late])
+    return np.minimum(at, len(keys) - 1)
+
+
+class Level:
+    """The choices of a step side by side, with their frequencies: those below node k of the step before are bounds[k] .. bounds[k + 1] - 1."""
+
+    def __init__(self, noise: np.ndarray, bounds: np.ndarray):
+        self.noise, self.bounds = noise, bounds
         self.owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        self.cumulative = np.cumsum(self.noise)
-        self.classes = np.add.reduceat(self.noise, bounds[:-1])
-        self.inside = self.noise / self.classes[self.owner]
+        self.inside = noise / np.add.reduceat(noise, bounds[:-1])[self.owner]
         self.many = np.diff(bounds) > 1
 
     def __len__(self) -> int:
         return len(self.noise)
 
+    def above(self) -> np.ndarray:
+        return np.add.reduceat(self.noise, self.bounds[:-1])
+
+
+class Units:
+    """Units, those of a class side by side (class k has bounds[k] .. bounds[k + 1] - 1), and the steps that lead to them."""
+
+    def __init__(self, weights: np.ndarray, bounds: np.ndarray):
+        noise = (weights + SMOOTH) / (weights + SMOOTH).sum()
+        sizes = np.diff(bounds)
+        shelves = -(-sizes // SHELF)  # of each class
+        first = np.cumsum(shelves) - shelves
+        nth = np.arange(shelves.sum()) - np.repeat(first, shelves)
+        edges = np.append(np.repeat(bounds[:-1], shelves) + nth * np.repeat(sizes, shelves) // np.repeat(shelves, shelves), bounds[-1])
+        self.units = Level(noise, edges)
+        self.shelves = Level(self.units.above(), np.append(first, shelves.sum()))
+        n = len(sizes)
+        self.classes = Level(self.shelves.above(), np.linspace(0, n, -(-n // SECTION) + 1).astype(np.int64))
+        self.sections = Level(self.classes.above(), np.array([0, len(self.classes.bounds) - 1]))
+
+    def __len__(self) -> int:
+        return len(self.units)
+
 
 class Vocabulary:
     """The most frequent words with counts and units, and the weight of each leaf."""
@@ -96,6 +137,7 @@ class Vocabulary:
         units[order] = np.arange(1, len(words) + 1)
         by = np.argsort(hashes)
         self.hashes, self.counts, self.units = hashes[by], np.array(counts, np.int64)[by], units[by]
+        self.guide = _guide(self.hashes, np.arange(1 << 17, dtype=np.uint64) << np.uint64(47))
         self.ends, self.total, self.distinct = ends, total, distinct
         self.masses = masses  # sum of count + SMOOTH over the words of a leaf, and one unseen word
         self.width = len(masses) // OTHERS
@@ -118,8 +160,8 @@ class Tokens:
         self.starts, self.ends, self.bounds = bytetext.words(self.data, offsets)
         hashes = bytetext.word_hashes(self.data, self.starts, self.ends)
         if len(vocabulary.hashes):
-            self.at = np.minimum(np.searchsorted(vocabulary.hashes, hashes), len(vocabulary.hashes) - 1)
-            self.known = vocabulary.hashes[self.at] == hashes
+            self.at = _seek(vocabulary.hashes, vocabulary.guide, (hashes >> np.uint64(47)).astype(np.int64), hashes)
+            self.known = vocabulary.hashes.take(self.at) == hashes
         else:
             self.at, self.known = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
         word_unit = np.empty(len(hashes), np.int64)
@@ -141,101 +183,162 @@ class Tokens:
         self.two[second[second < len(self.two)]] = 0
 
 
+def _rows(values: np.ndarray) -> np.ndarray:
+    """Each row of a contiguous array as one element, so that rows are written whole."""
+    return values.view(f"V{values.strides[0]}").ravel()
+
+
+class Table:
+    """Vectors that Adagrad moves."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = np.ascontiguousarray(vectors)
+        self.power = np.full_like(self.vectors, 1e-3)
+
+    def move(self, at: np.ndarray, gradient: np.ndarray, b: int) -> None:
+        gradient = (gradient * (1 / np.sqrt(b))).astype(np.float32)
+        grown = self.power.take(at, axis=0)
+        grown += gradient * gradient
+        _rows(self.power)[at] = _rows(grown)
+        np.sqrt(grown, out=grown)
+        gradient *= np.float32(RATE)
+        gradient /= grown
+        gradient += self.vectors.take(at, axis=0)
+        _rows(self.vectors)[at] = _rows(gradient)
+
+
+class Choices(Table):
+    """Targets with their biases (last column) of the nodes of a level."""
+
+    def __init__(self, level: Level, vectors: np.ndarray, noise: int):
+        super().__init__(vectors)
+        self.level = level
+        self.mass = (noise * level.inside).astype(np.float32)
+        self.shift, self.sizes = np.log(self.mass), np.diff(level.bounds)
+        self.moved = np.zeros(len(level))  # how often a node was a token's own or its noise
+
+    def learn(self, parent: np.ndarray, node: np.ndarray, hidden: np.ndarray, back: np.ndarray) -> None:
+        """One batch, ordered by parent: all choices below a parent are noise to its tokens, each weighed by its frequency.
+
+        `hidden` has a last column of ones; the gradient of it is added to `back`."""
+        level = self.level
+        edges = np.searchsorted(parent, np.arange(len(level.many) + 1))
+        met = np.flatnonzero(level.many & (np.diff(edges) > 0))
+        sizes = self.sizes[met]
+        ends = np.cumsum(sizes)
+        nodes = bytetext.ranges(level.bounds[met], sizes)
+        t, mass = self.vectors.take(nodes, axis=0), self.mass.take(nodes)
+        t[:, -1] -= self.shift.take(nodes)
+        own = (np.arange(len(node)) - edges.take(parent)) * self.sizes.take(parent) + node - level.bounds.take(parent)
+        gradient = np.empty_like(t)
+        times = np.repeat(np.diff(edges)[met], sizes) * mass
+        for k, high, size in zip(met.tolist(), ends.tolist(), sizes.tolist(), strict=True):
+            at, here = slice(edges[k], edges[k + 1]), slice(high - size, high)
+            h, below, cell = hidden[at], t[here], own[at]
+            odds = h @ below.T
+            np.exp(odds, out=odds)
+            odds /= odds + 1
+            true = 1 - odds.ravel()[cell]
+            odds *= -mass[here]
+            odds.ravel()[cell] += true
+            np.matmul(odds.T, h, out=gradient[here])
+            back[at] += odds @ below
+        self.move(nodes, gradient, len(node))
+        self.moved[nodes] += times
+        self.moved += np.bincount(node, minlength=len(level))
+
+
 class Model:
-    """Rows of a unit (context, target, bias of the second step), then rows of a class (target, bias of the first), then positions."""
+    """Rows of a unit (context, target, bias), then rows of a shelf, of a class and of a section (target, bias), then positions."""
 
     def __init__(self, units: Units, size: int = SIZE):
         rng = np.random.default_rng(7)
         self.units, self.size = units, size
-        n, k = len(units), len(units.classes)
-        self.unit = np.zeros((n, 2 * size + 1), np.float32)
-        self.unit[:, :size] = rng.normal(0, 0.1, (n, size))
-        self.unit[:, -1] = np.log(units.inside)
-        self.top = np.zeros((k, size + 1), np.float32)
-        self.top[:, :size] = rng.normal(0, 0.1, (k, size))
-        self.top[:, -1] = np.log(units.classes)
+        self.unit = np.zeros((len(units), 2 * size + 1), np.float32)
+        self.unit[:, :size] = rng.normal(0, 0.1, (len(units), size))
+        self.unit[:, -1] = np.log(units.units.inside)
+        self.shelf, self.kind, self.section = (
+            np.zeros((len(level), size + 1), np.float32) for level in (units.shelves, units.classes, units.sections))
+        for rows, level in ((self.kind, units.classes), (self.section, units.sections)):
+            rows[:, :size] = rng.normal(0, 0.1, (len(level), size))
+        for rows, level in ((self.shelf, units.shelves), (self.kind, units.classes), (self.section, units.sections)):
+            rows[:, -1] = np.log(level.inside)
         self.position = np.array([[1.0] * size, [0.5] * size], np.float32)
-        self._views()
-
-    def _views(self) -> None:
-        size = self.size
-        self.context, self.target, self.bias = self.unit[:, :size], self.unit[:, size:-1], self.unit[:, -1]
-        self.top_target, self.top_bias = self.top[:, :size], self.top[:, -1]
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.unit, self.top, self.position)])
+        return np.concatenate([x.ravel() for x in (self.unit, self.shelf, self.kind, self.section, self.position)])
 
     def load(self, flat: np.ndarray) -> Model:
-        shapes = [self.unit.shape, self.top.shape, self.position.shape]
+        shapes = [x.shape for x in (self.unit, self.shelf, self.kind, self.section, self.position)]
         parts = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        self.unit, self.top, self.position = (np.array(p, np.float32).reshape(s) for p, s in zip(parts, shapes, strict=True))
-        self._views()
+        self.unit, self.shelf, self.kind, self.section, self.position = (
+            np.array(p, np.float32).reshape(s) for p, s in zip(parts, shapes, strict=True))
         return self
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    def steps(self) -> list[tuple[Level, np.ndarray, np.ndarray]]:
+        """(level, vectors, biases) of the steps, the first one first."""
+        u, size = self.units, self.size
+        return [
+            (u.sections, self.section[:, :-1], self.section[:, -1]), (u.classes, self.kind[:, :-1], self.kind[:, -1]),
+            (u.shelves, self.shelf[:, :-1], self.shelf[:, -1]), (u.units, self.unit[:, size:-1], self.unit[:, -1])]
+
+    def train(self, chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         """One pass of noise-contrastive estimation with Adagrad; returns the tokens seen, and how often each unit's context
-        vector and target vector were moved."""
-        rng = np.random.default_rng(11)
+        vector, each unit's target vector and each shelf were moved. Batches grow with what was seen, within a chunk."""
         u, size = self.units, self.size
-        n, k = len(u), len(u.classes)
-        expected = np.log(NOISE * u.classes).astype(np.float32)
-        expected_inside = np.log(INNER * u.inside).astype(np.float32)
-        past = [np.full_like(x, 1e-3) for x in (self.context, self.target, self.bias, self.top_target, self.top_bias, self.position)]
-        column = np.arange(size)
-        cumulative = np.cumsum(u.classes)
-        before = np.concatenate([[0.0], u.cumulative])
-        seen, as_context, as_target = 0, np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-        def summed(rows: np.ndarray, values: np.ndarray, length: int) -> np.ndarray:
-            flat = (rows[:, None] * size + column).ravel()
-            return np.bincount(flat, weights=values.ravel(), minlength=length * size).reshape(length, size)
-
-        def move(value: np.ndarray, power: np.ndarray, gradient: np.ndarray, at=slice(None)) -> None:
-            gradient = (gradient / np.sqrt(b)).astype(np.float32)
-            grown = power[at] + gradient * gradient
-            power[at] = grown
-            value[at] += RATE * gradient / np.sqrt(grown)
-
-        for word, one, two in batches:
+        context = Table(self.unit[:, :size])
+        as_context = np.zeros(len(u), np.int64)
+        sections, classes, shelves, targets = (
+            Choices(level, rows, noise) for level, rows, noise in (
+                (u.sections, self.section, NOISE), (u.classes, self.kind, NOISE), (u.shelves, self.shelf, INNER),
+                (u.units, self.unit[:, size:], INNER)))
+        position, power = self.position, np.full_like(self.position, 1e-3)
+        seen = 0
+        for word, one, two in _batches(chunks):
             b = len(word)
             seen += b
-            kind = u.owner[word]
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), k - 1)
-            r1, r2 = self.context[one], self.context[two]
-            hidden = r1 * self.position[0] + r2 * self.position[1]
-            q = self.top_target[kind]
-            true = 1 / (1 + np.exp((hidden * q).sum(1) + self.top_bias[kind] - expected[kind]))
-            false = -1 / (1 + np.exp(-(hidden @ self.top_target[drawn].T + self.top_bias[drawn] - expected[drawn])))
-            back = true[:, None] * q + false @ self.top_target[drawn]
-            g_target = summed(kind, true[:, None] * hidden, k)
-            np.add.at(g_target, drawn, false.T @ hidden)
-            g_bias = np.bincount(kind, weights=true, minlength=k)
-            np.add.at(g_bias, drawn, false.sum(0))
-            # Inside the class: noise from the units of the token's own class.
-            some = np.flatnonzero(u.many[kind])
-            low, high = u.bounds[kind[some]], u.bounds[kind[some] + 1]
-            at = before[low][:, None] + rng.random((len(some), INNER)) * (before[high] - before[low])[:, None]
-            cells = np.empty((len(some), 1 + INNER), np.int64)
-            cells[:, 0] = word[some]
-            cells[:, 1:] = np.clip(np.searchsorted(u.cumulative, at), low[:, None], high[:, None] - 1)
-            h, t = hidden[some], self.target[cells]
-            pull = -1 / (1 + np.exp(-(np.einsum("ms,mjs->mj", h, t) + self.bias[cells] - expected_inside[cells])))
-            pull[:, 0] += 1
-            back[some] += np.einsum("mj,mjs->ms", pull, t)
-            touched, index = np.unique(cells, return_inverse=True)
-            index = index.ravel()
-            as_target[touched] += np.bincount(index, minlength=len(touched))
-            g_unit = summed(index, pull[:, :, None] * h[:, None, :], len(touched))
-            move(self.target, past[1], g_unit, touched)
-            move(self.bias, past[2], np.bincount(index, weights=pull.ravel(), minlength=len(touched)), touched)
-            met, index = np.unique(np.concatenate([one, two]), return_inverse=True)
-            as_context[met] += np.bincount(index, minlength=len(met))
-            g_context = summed(index, np.concatenate([back * self.position[0], back * self.position[1]]), len(met))
-            move(self.context, past[0], g_context, met)
-            move(self.top_target, past[3], g_target)
-            move(self.top_bias, past[4], g_bias)
-            move(self.position, past[5], np.stack([(back * r1).sum(0), (back * r2).sum(0)]))
-        return seen, as_context, as_target
+            shelf = u.units.owner.take(word)
+            by = np.argsort(shelf.astype(np.uint16 if len(u.shelves) < 1 << 16 else np.int64), kind="stable")
+            word, one, two, shelf = word.take(by), one.take(by), two.take(by), shelf.take(by)
+            kind = u.shelves.owner.take(shelf)  # with the shelves, classes and sections are in order
+            section = u.classes.owner.take(kind)
+            r1, r2 = context.vectors.take(one, axis=0), context.vectors.take(two, axis=0)
+            hidden = np.ones((b, size + 1), np.float32)
+            np.multiply(r1, position[0], out=hidden[:, :-1])
+            hidden[:, :-1] += r2 * position[1]
+            back = np.zeros_like(hidden)
+            for table, parent, node in (
+                    (sections, np.zeros_like(section), section), (classes, section, kind), (shelves, kind, shelf), (targets, shelf, word)):
+                table.learn(parent, node, hidden, back)
+            columns = np.ascontiguousarray(back.T[:-1])
+            times = np.bincount(one, minlength=len(u)) + np.bincount(two, minlength=len(u))
+            met = np.flatnonzero(times)
+            as_context += times
+            place = np.zeros(len(u), np.int64)
+            place[met] = np.arange(len(met))
+            gradient = np.empty((size, len(met)))
+            first, second = place.take(one), place.take(two)
+            for s in range(size):
+                gradient[s] = np.bincount(first, weights=columns[s] * position[0, s], minlength=len(met))
+                gradient[s] += np.bincount(second, weights=columns[s] * position[1, s], minlength=len(met))
+            context.move(met, np.ascontiguousarray(gradient.T), b)
+            gradient = np.stack([np.einsum("ms,ms->s", back[:, :-1], r) for r in (r1, r2)]) / np.float32(np.sqrt(b))
+            power += gradient * gradient
+            position += RATE * gradient / np.sqrt(power)
+        self.unit[:, :size], self.unit[:, size:] = context.vectors, targets.vectors
+        self.section, self.kind, self.shelf = sections.vectors, classes.vectors, shelves.vectors
+        return seen, as_context, targets.moved, shelves.moved
+
+
+def _batches(chunks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    seen = 0
+    for columns in chunks:
+        at, n = 0, len(columns[0])
+        while at < n:
+            last = min(n, at + max(BATCH, (seen + at) // GROW))
+            yield tuple(x[at:last] for x in columns)
+            at = last
+        seen += n
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
@@ -249,41 +352,57 @@ def _log_sum(logits: np.ndarray) -> np.ndarray:
 class Scorer:
     """Normalised log-probabilities of units."""
 
+    SAFE = 80  # no product and bias beyond this: exponentials are summed as they are
+
     def __init__(self, model: Model):
         self.units, self.n = model.units, len(model.units)
-        self.context, self.position = np.ascontiguousarray(model.context), model.position
-        self.target, self.bias = np.ascontiguousarray(model.target), np.ascontiguousarray(model.bias)
-        self.top_target, self.top_bias = np.ascontiguousarray(model.top_target), np.ascontiguousarray(model.top_bias)
-
-    def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.position[0] + self.context[two] * self.position[1]
+        self.context, self.position = np.ascontiguousarray(model.unit[:, : model.size]), model.position
+        self.steps = []
+        for level, vectors, bias in model.steps():
+            longest = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max()))
+            room = self.SAFE - float(np.abs(bias).max())
+            self.steps.append((level, np.ascontiguousarray(vectors), np.ascontiguousarray(bias), np.exp(bias), room / max(longest, 1e-9)))
 
     def __call__(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         u = self.units
-        kind = u.owner[word]
-        pair, index = np.unique(one * self.n + two, return_inverse=True)
-        normaliser = np.empty(len(pair), np.float32)
-        for at in range(0, len(pair), 1024):
-            some = pair[at : at + 1024]
-            normaliser[at : at + 1024] = _log_sum(self.hidden(some // self.n, some % self.n) @ self.top_target.T + self.top_bias)
-        hidden = self.hidden(one, two)
-        out = np.einsum("ij,ij->i", hidden, self.top_target[kind]) + self.top_bias[kind] - normaliser[index]
-        inner = np.flatnonzero(u.many[kind])
-        inner = inner[np.argsort(kind[inner], kind="stable")]
-        out[inner] += np.einsum("ij,ij->i", hidden[inner], self.target[word[inner]]) + self.bias[word[inner]]
-        edges = np.searchsorted(kind[inner], np.arange(len(u.classes) + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            target, bias = (x[u.bounds[k] : u.bounds[k + 1]] for x in (self.target, self.bias))
-            for at in range(edges[k], edges[k + 1], 1024):
-                some = inner[at : min(at + 1024, edges[k + 1])]
-                out[some] -= _log_sum(hidden[some] @ target.T + bias)
-        return out
+        shelf = u.units.owner.take(word)
+        by = np.argsort(shelf.astype(np.uint16 if len(u.shelves) < 1 << 16 else np.int64), kind="stable")
+        shelf, word = shelf.take(by), word.take(by)  # with the shelves, classes and sections are in order
+        kind = u.shelves.owner.take(shelf)
+        section = u.classes.owner.take(kind)
+        hidden = self.context.take(one.take(by), axis=0)
+        hidden *= self.position[0]
+        second = self.context.take(two.take(by), axis=0)
+        second *= self.position[1]
+        hidden += second
+        longest = float(np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max(initial=0)))
+        out = np.zeros(len(word), np.float32)
+        parents, nodes = (np.zeros_like(section), section, kind, shelf), (section, kind, shelf, word)
+        for parent, node, (level, vectors, bias, weight, reach) in zip(parents, nodes, self.steps, strict=True):
+            safe = longest < reach
+            edges = np.searchsorted(parent, np.arange(len(level.many) + 1))
+            for k in np.flatnonzero(level.many & (np.diff(edges) > 0)).tolist():
+                first, last = level.bounds[k], level.bounds[k + 1]
+                own, own_bias, own_weight = vectors[first:last].T, bias[first:last], weight[first:last]
+                for at in range(edges[k], edges[k + 1], 2048):
+                    some = slice(at, min(at + 2048, edges[k + 1]))
+                    logits = hidden[some] @ own
+                    picked = node[some] - first
+                    out[some] += logits[np.arange(len(picked)), picked] + own_bias.take(picked)
+                    if safe:
+                        np.exp(logits, out=logits)
+                        out[some] -= np.log(logits @ own_weight)
+                    else:
+                        out[some] -= _log_sum(logits + own_bias)
+        back = np.empty_like(out)
+        back[by] = out
+        return back
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = []
-        for _, _, data, offsets in bytetext.chunks(batch.column("text")):
+        for _, _, data, offsets in bytetext.chunks(batch.column("text"), SCORED):
             lower = bytetext.LOWER[data]
             starts, ends, _ = bytetext.words(lower, offsets)
             found = pc.value_counts(bytetext.slices(lower, starts, ends))
@@ -302,40 +421,43 @@ def _train_task(vocabulary, start):
                 for _, _, data, offsets in bytetext.chunks(batch.column("text")):
                     t = Tokens(vocabulary.value, data, offsets)
                     order = np.random.default_rng(5).permutation(len(t.units))
-                    for at in range(0, len(order), BATCH):
-                        some = order[at : at + BATCH]
-                        yield t.units[some], t.one[some], t.two[some]
+                    yield t.units.take(order), t.one.take(order), t.two.take(order)
 
-        seen, as_context, as_target = model.train(parts())
+        seen, as_context, as_target, as_shelf = model.train(parts())
         if seen:
-            # A row of a unit has two weights, its context vector's and its target's; classes and positions the tokens seen.
+            # A row of a unit has two weights, its context vector's and its target's, a row of a shelf one; the rest the tokens seen.
             moved = np.stack([as_context, as_target], axis=1).astype(np.float32)
-            for i, at in enumerate(range(0, len(moved), BLOCK)):
-                yield _block(i, model.unit[at : at + BLOCK], moved[at : at + BLOCK])
-            rest = np.concatenate([model.top.ravel(), model.position.ravel()])
-            yield _block(-1, rest, np.array([seen], np.float32))
+            place = 0
+            for rows, weights in ((model.unit, moved), (model.shelf, as_shelf.astype(np.float32))):
+                for at in range(0, len(rows), BLOCK):
+                    yield _block(place + at * rows.shape[1], rows[at : at + BLOCK], weights[at : at + BLOCK])
+                place += rows.size
+            yield _block(place, model.parameters()[place:], np.array([seen], np.float32))
 
     return task
 
 
-def _block(i: int, value: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+def _block(at: int, value: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
-        {"i": pa.array([i], pa.int32()), "v": pa.array([value.tobytes()], pa.binary()), "w": pa.array([weight.tobytes()], pa.binary())})
+        {"at": pa.array([at], pa.int64()), "v": pa.array([value.tobytes()], pa.binary()), "w": pa.array([weight.tobytes()], pa.binary())})
+
 
+def _average(start, units: int, shelves: int):
+    """`units`, `shelves`: where the rows of units and of shelves end."""
 
-def _average(start):
     def average(table: pa.Table) -> pa.Table:
         """The tasks' values of one block; what no task moved keeps its start."""
-        i = table["i"][0].as_py()
+        at = table["at"][0].as_py()
         total = mass = None
         for v, w in zip(table["v"], table["w"], strict=True):
             weight = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
             value = np.frombuffer(v.as_py(), np.float32).astype(np.float64)
-            if i >= 0:
+            if at < units:
                 weight = np.repeat(weight.reshape(-1, 2), [SIZE, SIZE + 1], axis=1).ravel()
+            elif at < shelves:
+                weight = np.repeat(weight, SIZE + 1)
             total = value * weight if total is None else total + value * weight
             mass = weight if mass is None else mass + weight
-        at = max(i, 0) * BLOCK * (2 * SIZE + 1) if i >= 0 else len(start.value) - len(total)
         made = np.where(mass > 0, total / np.maximum(mass, 1e-9), start.value[at : at + len(total)]).astype(np.float32)
         return pa.table({"at": pa.array([at], pa.int64()), "v": pa.array([made.tobytes()], pa.binary())})
 
@@ -359,7 +481,7 @@ def _score(vocabulary, parameters, number: int):
             _scorers[number] = Scorer(Model(v.noise).load(parameters.value))
         scorer = _scorers[number]
         out = []
-        for first, last, data, offsets in bytetext.chunks(texts):
+        for first, last, data, offsets in bytetext.chunks(texts, SCORED):
             t = Tokens(v, data, offsets)
             docs = last - first
             log_p = scorer(t.units, t.one, t.two).astype(np.float64) / LN10
@@ -423,14 +545,15 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = 1) -> Trained:
     vocabulary = Vocabulary(
         [r["word"] for r in head], [r["n"] for r in head], int(ends), int(totals["n"] or 0), int(totals["v"]), masses)
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
-    parameters = Model(vocabulary.noise).parameters()
+    fresh = Model(vocabulary.noise)
+    parameters, ends = fresh.parameters(), (fresh.unit.size, fresh.unit.size + fresh.shelf.size)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(parameters)
         # As many tasks as cores: each sees enough text for the average to be of trained models.
         parts = texts.coalesce(max(1, spark.sparkContext.defaultParallelism))
-        sums = parts.mapInArrow(_train_task(shared_vocabulary, start), "i int, v binary, w binary")
+        sums = parts.mapInArrow(_train_task(shared_vocabulary, start), "at bigint, v binary, w binary")
         parameters = parameters.copy()
-        for row in sums.groupBy("i").applyInArrow(_average(start), "at bigint, v binary").collect():  # the parameters, once
+        for row in sums.groupBy("at").applyInArrow(_average(start, *ends), "at bigint, v binary").collect():  # the parameters, once
             part = np.frombuffer(row["v"], np.float32)
             parameters[row["at"] : row["at"] + len(part)] = part
     return Trained(vocabulary, parameters, counts)

@@ -125,6 +125,23 @@ def test_context_tells_rare_words_with_equal_endings_apart(spark, monkeypatch, h
     assert a.base_score == pytest.approx(b.base_score) and a.score > b.score + 4
 
 
+def test_a_unit_is_chosen_among_few_and_its_steps_are_normalised():
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([np.ones(128, int), np.full(192, 340), np.full(24, 2048)])  # the classes of a full vocabulary
+    units = lbl.Units(rng.integers(1, 50, sizes.sum()).astype(float), np.concatenate([[0], np.cumsum(sizes)]))
+    below = [np.diff(level.bounds) for level in (units.sections, units.classes, units.shelves, units.units)]
+    shelf, kind = units.units.owner, units.shelves.owner[units.units.owner]
+    choices = below[0][0] + below[1][units.classes.owner[kind]] + below[2][kind] + below[3][shelf]
+    assert choices.max() <= 150 and len(choices) == sizes.sum()  # one class and one unit of it: up to 2,392
+    for wide in (0.3, 9.0):  # 9: exponentials that need their greatest taken out
+        model = lbl.Model(units)
+        model.load(rng.normal(0, wide, len(model.parameters())).astype(np.float32))
+        scorer, every = lbl.Scorer(model), np.arange(len(units))
+        for one, two in ((0, 0), (700, 70_000)):
+            p = np.exp(scorer(every, np.full(len(every), one), np.full(len(every), two)).astype(float))
+            assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
 # --- token counts
 
 
