@@ -22,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +119,11 @@ class Encoder:
         """Where distinct pieces are in the cache."""
         if len(self.cache) + len(keys) > CACHE:
             self._sweep()
-        found = list(map(self.cache.get, keys))
-        if None in found:
-            self._learn([k for k, at in zip(keys, found, strict=True) if at is None])
-            found = list(map(self.cache.get, keys))
-        at = np.array(found, np.int64)
+        at = np.fromiter(map(self.cache.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.cache), len(self.cache) + len(new))  # where `_learn` puts them
+            self._learn([keys[i] for i in new.tolist()])
         self.asked[at] += 1
         return at
 
@@ -136,11 +137,13 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
         feeds, first = kind[starts] == FEED, np.searchsorted(starts, offsets[:-1])
-        words = coded.dictionary.to_pylist()
-        at = self._places([w for w in words if w != "\n"])
-        begin, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        named = np.array([w != "\n" for w in words], bool)
-        begin[named], lengths[named] = self.begin[at], self.begin[at + 1] - self.begin[at]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        feed = words.index("\n")  # in front of the first text
+        named = np.arange(len(words)) != feed
+        del words[feed]
+        at = self._places(words)
+        begin, lengths = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
+        begin[named], lengths[named] = self.begin.take(at), self.begin.take(at + 1) - self.begin.take(at)
         index = coded.indices.to_numpy()
         sizes = lengths[index] + feeds  # a line feed is one id, put in below
         ends = np.cumsum(sizes)

@@ -175,6 +175,26 @@ def test_ties_follow_the_tokenizer(seed):
 # --- Huffman files
 
 
+def test_each_distinct_piece_is_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as f:
+        encoder = huffman.Encoder(f.read())
+    encoder.cache = Counting(encoder.cache)
+    for texts in (["one two\nthree two", "two, one"], ["one four\nfive", "two six two"]):  # all new, then some new
+        before = encoder.cache.asked
+        ids, sizes = encoder.encode(pa.array(texts), 2)
+        whole = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(whole, []) and sizes.tolist() == [len(w) for w in whole]
+        pieces = {p for t in texts for p in re.findall(r" ?[a-z]+|,", t)}
+        assert encoder.cache.asked - before == len(pieces)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_code_round_trip(seed):
     rng = np.random.default_rng(seed)
