@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hindcast.operators import dense, uncertainty
+from hindcast.operators import dense, traces, uncertainty
 
 
 def plan(df) -> str:
@@ -75,3 +75,28 @@ def test_memory_of_a_resampling_task_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10e6
+
+
+def test_near_repeats_meet_in_cells_without_words_beside_pairs(spark, monkeypatch):
+    """Fails if the words of both sets are sent with every candidate pair (near_repeat_queries, 1 GB)."""
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 2}", i, [str(w) for w in rng.choice(16, rng.integers(0, 9), replace=False)]) for i in range(120)]
+    rows += [("g0", 200 + i, ["a", "b", "c", f"u{i}"]) for i in range(30)]  # a family of near copies
+    rows += [("g0", 7, ["a", "b", "c", "v"]), ("g0", 7, ["a", "b", "c", "v"]), ("g0", None, ["a", "b", "c", "v"]), (None, 1, ["a"]), (None, 2, ["a"]),
+             ("g1", 300, None)]
+    df = spark.createDataFrame(rows, "g string, seq long, words array<string>").repartition(3)
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.5
+
+    known = [(g, s, ws) for g, s, ws in rows if g and s is not None and ws]
+    want = sorted((g, s) for g, s, ws in known if any(g == h and t < s and alike(ws, vs) for h, t, vs in known))
+    code = traces.word_code
+    for chunk, matches, collide in ((4_096, 1 << 20, False), (8, 5, False), (30, 1 << 20, True)):
+        monkeypatch.setattr(traces, "LEAST_CHUNK", chunk)
+        monkeypatch.setattr(traces, "MOST_CHUNK", chunk)
+        monkeypatch.setattr(traces, "MATCHES", matches)
+        monkeypatch.setattr(traces, "word_code", lambda w, seed, c=collide: F.pmod(code(w, seed), F.lit(40)) if c and not seed else code(w, seed))
+        out = traces.near_repeats(df, "g", "seq", "words")
+        assert "array_intersect" not in plan(out)
+        assert sorted((r["g"], r["seq"]) for r in out.collect() if r["seq"] is not None) == want
