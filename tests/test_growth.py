@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from hindcast.operators import dense, traces, uncertainty
+from hindcast.functions.text import tokenize
+from hindcast.operators import dense, lexical, models, traces, uncertainty
 
 
 def plan(df) -> str:
@@ -100,3 +101,26 @@ def test_near_repeats_meet_in_cells_without_words_beside_pairs(spark, monkeypatc
         out = traces.near_repeats(df, "g", "seq", "words")
         assert "array_intersect" not in plan(out)
         assert sorted((r["g"], r["seq"]) for r in out.collect() if r["seq"] is not None) == want
+
+
+def test_norm_of_entries_is_computed_once_a_document(spark):
+    """Fails if a document's norm is summed anew for each of its entries (tfidf_features and the classifiers, 1 GB)."""
+    rows = [("a", 1, 2), ("b", 1, 1), ("a", 2, 1), ("b", 2, 1), ("c", 3, 1), ("c", 4, 3), ("once", 4, 1)]
+    index = spark.createDataFrame(rows, "term string, number long, tf long")
+    train = spark.createDataFrame([(1,), (2,), (3,), (4,)], "number long")
+    out, size = models.tfidf_entries(index, train, "number")
+    assert size == 3 and "/ sqrt(" not in plan(out)
+    got = {r["number"]: [e["w"] for e in r["entries"]] for r in out.collect()}
+    a = 1 + np.log(2)  # a, b and c are equally rare
+    assert np.allclose(sorted(got[1]), sorted([a / np.hypot(a, 1), 1 / np.hypot(a, 1)]))
+    assert np.allclose(got[2], [0.5**0.5] * 2) and np.allclose(got[3], [1]) and np.allclose(got[4], [1])
+
+
+def test_tokens_are_made_once(spark):
+    """Fails if a filter on the number of tokens makes them a second time (tfidf_features, tfidf_neighbours, bm25_topk, 1 GB and 6 GB)."""
+    docs = spark.createDataFrame([(1, 5, "One two two"), (2, 6, ""), (3, 7, None)], "number long, created long, text string").repartition(2, "number")
+    once = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    posts = lexical.postings(docs, "number", "created", tokenize(F.col("text")))
+    assert once(posts) and sorted(map(tuple, posts.collect())) == [("one", 1, 1, 3, 5), ("two", 1, 2, 3, 5)]
+    asked = lexical.query_terms(docs.withColumnRenamed("number", "q"), "q", "created", tokenize(F.col("text")))
+    assert once(asked) and sorted(map(tuple, asked.collect())) == [(1, 5, "one"), (1, 5, "two")]
