@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hindcast.functions.text import tokenize
-from hindcast.operators import dense, lexical, models, traces, uncertainty
+from hindcast.operators import blocks, dense, lexical, models, traces, uncertainty
 
 
 def plan(df) -> str:
@@ -124,3 +124,39 @@ def test_tokens_are_made_once(spark):
     assert once(posts) and sorted(map(tuple, posts.collect())) == [("one", 1, 1, 3, 5), ("two", 1, 2, 3, 5)]
     asked = lexical.query_terms(docs.withColumnRenamed("number", "q"), "q", "created", tokenize(F.col("text")))
     assert once(asked) and sorted(map(tuple, asked.collect())) == [(1, 5, "one"), (1, 5, "two")]
+
+
+def test_queries_by_term_numbers_travel_as_few_bytes(spark, monkeypatch):
+    """Fails if strings and weights of a query's terms are sent to every shard (tfidf_neighbours and tune_threshold, 1 GB)."""
+    rng, written = np.random.default_rng(6), {}
+    words = [" ".join(f"w{int(60 * x * x)}" for x in rng.random(rng.integers(0, 40))).split() for _ in range(60)]
+    words[7] = ["w1"] * 300 + ["w2"]  # frequencies of more than a byte
+    words[9] = words[7]
+    docs = spark.createDataFrame([(i, i // 2, w) for i, w in enumerate(words)], "number long, created long, tokens array<string>")
+    train = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(9,)], "number long")
+    keep = blocks.materialise
+    monkeypatch.setattr(blocks, "materialise", lambda frame, name: written.setdefault(name, keep(frame, name)))
+    monkeypatch.setattr(blocks, "SHARD_DOCS", 8)
+    found = {}
+    for r in lexical.tfidf_neighbours(docs, train, "number", F.col("tokens"), 3).collect():
+        found.setdefault(r["q"], []).append((-r["score"], r["number"]))
+    assert {"packed", "norm"} <= set(written["index-queries"].columns) and "terms" not in written["index-queries"].columns
+    fit = [set(words[i]) for i in {*range(0, 60, 3), 9} if words[i]]
+    idf = {t: np.log((1 + len(fit)) / (1 + n)) + 1 for t in set().union(*fit) if (n := sum(t in s for s in fit)) > 1}
+
+    def vector(ws):
+        v = {t: (1 + np.log(ws.count(t))) * idf[t] for t in set(ws) if t in idf}
+        return {t: x / np.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+
+    vectors = [vector(ws) for ws in words]
+    for q in {*range(0, 60, 3), 9}:
+        scores = [(-round(sum(x * vectors[i].get(t, 0.0) for t, x in vectors[q].items()), 9), i) for i in range(60) if i // 2 < q // 2]
+        want = sorted(s for s in scores if s[0] < 0)[:3]
+        assert [i for _, i in sorted(found.get(q, []))] == [i for _, i in want]
+        assert np.allclose([s for s, _ in sorted(found.get(q, []))], [s for s, _ in want], atol=2e-9)
+    numbers = np.sort(rng.choice(1 << 28, 500, replace=False))
+    batch = pa.RecordBatch.from_pydict({"q": [1], "terms": [numbers.tolist()], "weights": [[70_000] * 500]})
+    row = next(blocks._packed(iter([batch]))).column("packed")[0].as_py()
+    planes = np.frombuffer(row, np.uint8).reshape(8, -1)
+    assert (np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel()) == numbers).all()
+    assert (np.ascontiguousarray(planes[4:].T).view("<u4") == 70_000).all()
